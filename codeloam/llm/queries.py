@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloam.llm.neighbours import similar_pairs, similar_vectors
 from codeloam.llm.packing import pack_documents
 from codeloam.llm.splitting import split_oversized
 from codeloam.llm.tokenizer import encode_corpus
@@ -23,6 +24,14 @@ def _limit(spark: SparkSession, sf_dir: str, kind: str) -> tuple[int, int]:
     return int(row[0]), int(row[1] or 0)
 
 
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_vectors(load(spark, sf_dir, "chunk_vectors"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_pairs(load(spark, sf_dir, "chunk_vectors"))
+
+
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = split_oversized(load(spark, sf_dir, "code_chunks"), "chunk_row", "code", "code", *_limit(spark, sf_dir, "code"))
     body = split_oversized(load(spark, sf_dir, "document_entries"), "entry_row", "body", "body", *_limit(spark, sf_dir, "body"))
@@ -60,7 +69,7 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p4_found, p4_pieces, p6_ids, p7_containers, p7_fill)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_pieces, p6_ids, p7_containers, p7_fill)}
 
 
 def oracle_sql() -> dict[str, str]:
