@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloam.llm.neighbours import similar_pairs, similar_vectors
 from codeloam.llm.packing import pack_documents
+from codeloam.llm.parsing import parse_files, parse_rates
 from codeloam.llm.splitting import split_oversized
 from codeloam.llm.tokenizer import encode_corpus
 from codeloam.session import load
@@ -51,6 +52,18 @@ WHERE length(body) > (SELECT max_size FROM size_limits WHERE item_kind = 'body')
 """
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_files(load(spark, sf_dir, "code_chunks")).where(F.col("reason").isNotNull()).select("project", "file")
+
+
+def p5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_files(load(spark, sf_dir, "code_chunks"))
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_rates(load(spark, sf_dir, "code_chunks"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(load(spark, sf_dir, "documents"))
 
@@ -69,7 +82,7 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_pieces, p6_ids, p7_containers, p7_fill)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_pieces, p5_found, p5_files, p5_rates, p6_ids, p7_containers, p7_fill)}
 
 
 def oracle_sql() -> dict[str, str]:
