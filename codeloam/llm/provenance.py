@@ -26,11 +26,16 @@ FAMILY = {"ts": "js", "tsx": "js", "js": "js", "jsx": "js", "mjs": "js", "cjs":
 #: Names per family at the most that the model keeps no count of: it counts trigrams only, and their
 #: number is bounded by the alphabet (57 signs).
 SHINGLE, SIMILARITY = 5, 0.8
+#: A text can only share shingles with a known package if it has one of the package's words; those
+#: longer than this are looked for before any shingle is made.
+RARE = 8
 #: Bits per character above which a file's names count as mangled.
 MANGLED_BITS = 4.0
 
 _NAME = re.compile(r"[A-Za-z_$][\w$]*")
-_DECLARED = re.compile(r"(?:\bfunction\s+&?|\bclass\s+|\binterface\s+|\bconst\s+|\bvar\s+|\blet\s+|\b(?:public|protected|private|static)\s+(?:static\s+)?(?:function\s+)?\$?|\.prototype\.|^\s+(?:async\s+|static\s+)?(?=[\w$]+\([^)]*\)\s*\{))([A-Za-z_$][\w$]*)", re.M)
+_DECLARED = re.compile(r"(?:function &?|class |interface |const |var |let |public |protected |private |\.prototype\.)(?:static |function |readonly |int |string |array |\?)*\$?([A-Za-z_$][\w$]*)")
+_METHOD = re.compile(r"\n[ \t]+(?:async |static )?([A-Za-z_$][\w$]*)\([^()\n]*\)[^\n{};]*\{")
+_BLOCKS = frozenset("if for while switch catch function".split())
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[_$]+")
 _HEAD_COMMENT = re.compile(r"\s*(?:<\?php\s*)?(?:#![^\n]*\n\s*)?((?:\s*(?://[^\n]*|#[^\n]*|/\*[\s\S]*?\*/|<!--[\s\S]*?-->))+)")
 # What tools write at the head of the files they make, in several languages.
@@ -44,7 +49,7 @@ _TRANSPILED = re.compile(r"\(this && this\.__\w+\)|\"__esModule\"|_super\.apply\
 _BUNDLED = re.compile(r"\(function\s*\((?:modules|e|t|n)\)\s*\{[\s\S]{0,400}?(?:\bload\b|require|cache)[\s\S]{0,400}?\}\)\(\{?\[?\s*\n?\s*(?:\d+|\"[^\"]+\")?\s*:?\s*function|__webpack_require__|webpackJsonp|System\.register\(|define\.amd")
 _LOCKED = re.compile(r"\"?lockfileVersion\"?\s*:|\"content-hash\"\s*:|^# yarn lockfile|^\s*\"?(?:resolved|integrity|checksum|_hash|sha(?:256|512)|resolution)\"?\s*[:=]", re.M)
 _LITERAL = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`]*)`|(?<![\w$])-?\d+(?:\.\d+)?(?:e[+-]?\d+)?\b")
-_RECORD = re.compile(r"(?<![^\n])[^\n;,\t|]{0,40}([;,\t|])(?:[^\n;,\t|]{0,60}\1){1,}[^\n;,\t|]{0,60}\r?(?=\n|\Z)")
+_KEYS = re.compile(r"-----BEGIN [A-Z ]+-----[\s\S]*?-----END [A-Z ]+-----")
 _KEYWORD = re.compile(r"\b(?:function|return|if|for|while|class|import|export|const|let|var|new|throw|switch)\b")
 
 
@@ -82,8 +87,7 @@ class NameModel:
         return total / (len(s) - 2)
 
 
-def shingles(text: str) -> set[int]:
-    words = re.findall(r"\w+", text)
+def shingles(words: list[str]) -> set[int]:
     return {xxhash.xxh3_64_intdigest(" ".join(words[i : i + SHINGLE])) for i in range(len(words) - SHINGLE + 1)}
 
 
@@ -94,6 +98,7 @@ def template_like(declared: list[str]) -> bool:
         return False
     numbered: Counter = Counter()
     rest: dict[str, set[str]] = {}
+    uses: Counter = Counter()
     inner: Counter = Counter()
     verbs: Counter = Counter()
     for name in declared:
@@ -104,19 +109,23 @@ def template_like(declared: list[str]) -> bool:
         words = [w for w in words if w.strip("_$")]
         if len(words) > 1:
             verbs[words[0].lower()] += 1
-            rest.setdefault("".join(words[1:]).lower(), set()).add(words[0].lower())
+            what = "".join(words[1:]).lower()
+            uses[what] += 1
+            rest.setdefault(what, set()).add(words[0].lower())
             inner.update({w for w in words[1:] if len(w) > 2 and not w.isdigit()})
     if sum(c for c in numbered.values() if c >= 4) >= 0.6 * n:
         return True
     if inner and n >= 8 and inner.most_common(1)[0][1] >= 0.9 * n:
         return True
-    paired = sum(len(v) for v in rest.values() if len(v) > 1)
+    paired = sum(c for k, c in uses.items() if len(rest[k]) > 1)
     few = sum(c for _, c in verbs.most_common(4))
     return paired >= 0.6 * n and few >= 0.85 * sum(verbs.values()) and bool(rest)
 
 
 def data_share(text: str) -> float:
-    """Share of a text's visible characters in numbers and in literals no one writes by hand."""
+    """Share of a text's visible characters in numbers and in literals no one writes by hand (key
+    blocks, which are credentials, do not count)."""
+    text = _KEYS.sub("", text)
     visible = len(text) - sum(map(text.count, " \n\t\r"))
     if not visible:
         return 0.0
@@ -143,7 +152,7 @@ def records(text: str) -> bool:
     return False
 
 
-def judge(kind: str, text: str, model: NameModel | None, library: dict[int, list[int]], sizes: list[int]) -> tuple[str, str] | None:
+def judge(kind: str, text: str, model: NameModel | None, library: dict[int, list[int]], sizes: list[int], rare: set[str]) -> tuple[str, str] | None:
     """(class, reason) of a file that is no hand-written source, else None."""
     text = text.removeprefix("﻿")
     head = _HEAD_COMMENT.match(text)
@@ -159,8 +168,8 @@ def judge(kind: str, text: str, model: NameModel | None, library: dict[int, list
         g = _GENERATED.search(top)
         if g and not _GENERATOR_ITSELF.search(top[top.rfind("\n", 0, g.start()) + 1 :][:200]):
             return "generated", "header"
-    if library:
-        mine = shingles(text)
+    if library and not rare.isdisjoint(words := re.findall(r"\w+", text)):
+        mine = shingles(words)
         if len(mine) >= 8:
             shared: Counter = Counter()
             for s in mine:
@@ -189,11 +198,12 @@ def judge(kind: str, text: str, model: NameModel | None, library: dict[int, list
         short = sum(len(x) <= 3 for x in names) / len(names)
         if blank < 0.12 and (short > 0.45 or bits > MANGLED_BITS):
             return "minified", "mangled names"
-    if template_like(_DECLARED.findall(text)):
+    if template_like(_DECLARED.findall(text) + [x for x in _METHOD.findall(text) if x not in _BLOCKS]):
         return "generated", "template names"
     if records(text):
         return "data", "delimited records"
-    if data_share(text) > 0.5 and len(text) > 300:
+    digits = sum(map(text.count, "0123456789"))
+    if digits > 0.08 * len(text) and len(text) > 150 and data_share(text) > 0.45:
         return "data", "literals"
     return None
 
@@ -238,20 +248,22 @@ def judge_files(chunks: DataFrame, library_files: DataFrame, library_limit_mb: i
         raise ValueError(f"the table of known packages has {size} characters, more than {library_limit_mb} MB")
     library: dict[int, list[int]] = {}
     sizes: list[int] = []
+    rare: set[str] = set()
     for (text,) in library_files.where(F.length("code") > 0).select("code").toLocalIterator():
-        own = shingles(text)
+        own = shingles(words := re.findall(r"\w+", text))
+        rare.update(w for w in words if len(w) > RARE)
         for s in own:
             library.setdefault(s, []).append(len(sizes))
         sizes.append(len(own))
-    shared = spark.sparkContext.broadcast((models, library, sizes))
+    shared = spark.sparkContext.broadcast((models, library, sizes, rare))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, library, sizes = shared.value
+        models, library, sizes, rare = shared.value
         for batch in batches:
             found = []
             for e, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 kind = FAMILY.get(e, "other")
-                found.append(judge(kind, text, models.get(kind), library if kind == "js" or kind == "php" else {}, sizes) if text and kind != "other" else None)
+                found.append(judge(kind, text, models.get(kind), library if kind == "js" or kind == "php" else {}, sizes, rare) if text and kind != "other" else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f and f[0] for f in found], pa.string()), pa.array([f and f[1] for f in found], pa.string())], names=["project", "file", "class", "reason"])
 
     verdicts = whole_files(chunks).withColumn("__ending", ending(F.col("file"))).select("project", "file", "__ending", "code").mapInArrow(run, "project string, file string, class string, reason string")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codeloam.llm.neighbours import similar_pairs, similar_vectors
 from codeloam.llm.packing import pack_documents
 from codeloam.llm.parsing import parse_files, parse_rates
+from codeloam.llm.provenance import judge_files
 from codeloam.llm.secrets import find_credentials, redact_credentials
 from codeloam.llm.splitting import split_oversized
 from codeloam.llm.tokenizer import encode_corpus
@@ -46,6 +47,14 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact_credentials(load(spark, sf_dir, "code_chunks"))
 
 
+def p3_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_files(load(spark, sf_dir, "code_chunks"), load(spark, sf_dir, "library_files"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_files(spark, sf_dir).where(F.col("class").isNotNull()).select("project", "file")
+
+
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = split_oversized(load(spark, sf_dir, "code_chunks"), "chunk_row", "code", "code", *_limit(spark, sf_dir, "code"))
     body = split_oversized(load(spark, sf_dir, "document_entries"), "entry_row", "body", "body", *_limit(spark, sf_dir, "body"))
@@ -95,7 +104,7 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_credentials, p2_redacted, p4_found, p4_pieces, p5_found, p5_files, p5_rates, p6_ids, p7_containers, p7_fill)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_credentials, p2_redacted, p3_found, p3_files, p4_found, p4_pieces, p5_found, p5_files, p5_rates, p6_ids, p7_containers, p7_fill)}
 
 
 def oracle_sql() -> dict[str, str]:
