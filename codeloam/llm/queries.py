@@ -12,6 +12,7 @@ from codeloam.llm.packing import pack_documents
 from codeloam.llm.parsing import parse_files, parse_rates
 from codeloam.llm.provenance import judge_files
 from codeloam.llm.secrets import find_credentials, redact_credentials
+from codeloam.llm.spam_pages import spam_shares
 from codeloam.llm.splitting import split_oversized
 from codeloam.llm.tokenizer import encode_corpus
 from codeloam.session import load
@@ -103,8 +104,16 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.select("containers", F.ceil(F.col("tokens") / capacity).alias("least"), "tokens", (F.col("tokens") / (F.col("containers") * capacity)).alias("filled"))
 
 
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam_shares(load(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_shares(spark, sf_dir).where(F.col("spam") > 0.5).select("doc_id")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_credentials, p2_redacted, p3_found, p3_files, p4_found, p4_pieces, p5_found, p5_files, p5_rates, p6_ids, p7_containers, p7_fill)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_credentials, p2_redacted, p3_found, p3_files, p4_found, p4_pieces, p5_found, p5_files, p5_rates, p6_ids, p7_containers, p7_fill, p8_found, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
