@@ -75,9 +75,11 @@ def retrieval_expand(edges: DataFrame, hits: DataFrame) -> DataFrame:
     """Symbols two calls out of, or one call into, the hits ``(project, symbol)``, without the hits."""
     e = distinct_edges(edges)
     hits = hits.select("project", "symbol").distinct()
-    one = hits.join(e, (e["project"] == hits["project"]) & (e["src"] == hits["symbol"])).select(e["project"], F.col("dst").alias("symbol")).distinct()
-    two = one.join(e, (e["project"] == one["project"]) & (e["src"] == one["symbol"])).select(e["project"], F.col("dst").alias("symbol"))
-    back = hits.join(e, (e["project"] == hits["project"]) & (e["dst"] == hits["symbol"])).select(e["project"], F.col("src").alias("symbol"))
+    forward = e.select("project", F.col("src").alias("symbol"), F.col("dst").alias("to"))
+    backward = e.select("project", F.col("dst").alias("symbol"), F.col("src").alias("to"))
+    follow = lambda a, arcs: a.join(arcs, ["project", "symbol"]).select("project", F.col("to").alias("symbol"))
+    one = follow(hits, forward).distinct()
+    two, back = follow(one, forward), follow(hits, backward)
     return one.unionByName(two).unionByName(back).distinct().join(hits, ["project", "symbol"], "left_anti")
 
 
