@@ -52,8 +52,8 @@ def recent_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {ENTRIES}, n AS (SELECT project, unnest(topics) AS topic FROM (SELECT *, {POS} AS pos FROM entries) WHERE pos <= 20)
-SELECT project, topic, count(*) AS n FROM n GROUP BY project, topic QUALIFY row_number() OVER (PARTITION BY project ORDER BY n DESC, topic) <= 5"""
+    f"""WITH {ENTRIES}, listed AS (SELECT project, unnest(topics) AS topic FROM (SELECT *, {POS} AS pos FROM entries) WHERE pos <= 20)
+SELECT project, topic, count(*) AS n FROM listed GROUP BY project, topic QUALIFY row_number() OVER (PARTITION BY project ORDER BY n DESC, topic) <= 5"""
 )
 def topic_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.topic_histogram(_entries(spark, sf_dir))
