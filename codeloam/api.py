@@ -18,6 +18,7 @@ from codeloam.operators.ordering import first_per_key
 from codeloam.sources import files as FS
 from codeloam.sources import git
 from codeloam.sources.store import NotIndexedError, Store
+from codeloam.session import materialise
 
 __all__ = ["Engine", "NotIndexedError"]
 
@@ -59,7 +60,7 @@ class Engine:
     def _sources(self) -> DataFrame:
         wanted = FS.scan(self.spark, self.root)
         code = wanted.where(FS.extension(F.col("rel")).isin(*FS.SOURCE_EXTENSIONS))
-        return code.select(F.lit(self.project).alias("project"), F.col("rel").alias("file"), F.decode("content", F.lit("UTF-8")).alias("text"), "mtime_ms")
+        return code.select(F.lit(self.project).alias("project"), F.col("rel").alias("file"), F.decode("content", "UTF-8").alias("text"), "mtime_ms")
 
     def _chunks(self, sources: DataFrame) -> DataFrame:
         symbols = source.extract_chunks(sources, ["project"]).join(sources.select("file", "mtime_ms"), "file")
@@ -98,20 +99,21 @@ class Engine:
         docs = FS.document_files(FS.scan(self.spark, self.root)).withColumn("project", F.lit(self.project))
         entries = memory.document_entries(docs)
         previous = self.store.read_or_none("entries")
+        known = materialise(previous.select("project", "id")) if previous is not None else None  # outlives the old table
         if self.repository:
             log = git.history(self.spark, self.repository).withColumn("project", F.lit(self.project))
             had = previous.where("kind = 'change'") if previous is not None else None
             new = log if had is None else log.join(had.select("sha"), "sha", "left_anti")
             built = memory.change_entries(new.drop("patch"), git.change_touches(new, self.repository))
             if had is not None:
-                built = had.join(log.select("sha"), "sha", "left_semi").unionByName(built, allowMissingColumns=True)
+                built = had.drop("log_pos").join(log.select("sha", "log_pos"), "sha").unionByName(built, allowMissingColumns=True)
             entries = built.unionByName(entries, allowMissingColumns=True)
         if "sha" not in entries.columns:
             none = "array<struct<file:string,status:string,symbols:array<string>,hints:array<string>>>"
             entries = entries.select("*", F.lit(None).cast("string").alias("sha"), F.lit(None).cast(none).alias("impacts"), *(F.lit(None).cast("string").alias(c) for c in ("author_name", "author_email")))
         text = F.when(F.col("kind") == "change", T.change_embedding_text()).otherwise(T.document_embedding_text())
         stored = self.store.write("entries", entries.withColumn("embedding_text", text))
-        difference = incremental.entry_difference(previous, stored) if previous is not None else stored.select("project", "id", F.lit("added").alias("change")).distinct()
+        difference = incremental.entry_difference(known, stored) if known is not None else stored.select("project", "id", F.lit("added").alias("change")).distinct()
         counts = {r["change"]: r["n"] for r in difference.groupBy("change").agg(F.count("*").alias("n")).collect()}
         self.store.write("memory_vectors", vectors.embed_column(stored.dropDuplicates(["id"]), ["project", "id"], "embedding_text"))
         return counts.get("added", 0), counts.get("stale", 0)
@@ -120,7 +122,7 @@ class Engine:
         if sync:
             self.sync_memory()
         e = self.store.read("entries").dropDuplicates(["project", "id"])
-        return e.withColumn("kind_ord", F.when(F.col("kind") == "change", 0).otherwise(1)).withColumn("at", memory.instant(F.col("timestamp")))
+        return memory.dated(e.withColumn("kind_ord", F.when(F.col("kind") == "change", 0).otherwise(1)))
 
     # ---- code tools
 

@@ -26,27 +26,27 @@ def parse_patches(diffs: DataFrame, keys: list[str], text: str) -> DataFrame:
     """File patches of unified diffs: ``file_no``, ``path``, ``old_path``, ``status`` (A, M, D, R) and
     ``hunks``. Header lines count only before a file's first hunk, so a removed line that begins
     with ``-- `` is no header. Null and empty diffs give no rows."""
-    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    lines = diffs.select(*keys, F.posexplode(F.split(F.col(text), "\r?\n")).alias("pos", "line"))
-    numbered = lines.withColumn("file_no", F.sum(F.col("line").startswith("diff --git ").cast("int")).over(w)).where("file_no > 0")
-    fw = Window.partitionBy(*keys, "file_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    marked = numbered.withColumn("is_hunk", F.col("line").rlike(HUNK)).withColumn("hunks_so_far", F.sum(F.col("is_hunk").cast("int")).over(fw))
-    head = F.col("hunks_so_far") == 0
-    last = lambda cond, value: F.max_by(value, F.when(head & cond, F.col("pos")))
-    line = F.col("line")
+    w = Window.partitionBy(*keys).orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
+    lines = diffs.select(*keys, F.posexplode(F.split(F.col(text), "\r?\n")).alias("__pos", "__line"))
+    numbered = lines.withColumn("file_no", F.sum(F.col("__line").startswith("diff --git ").cast("int")).over(w)).where("file_no > 0")
+    fw = Window.partitionBy(*keys, "file_no").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
+    marked = numbered.withColumn("__is_hunk", F.col("__line").rlike(HUNK)).withColumn("__hunks_so_far", F.sum(F.col("__is_hunk").cast("int")).over(fw))
+    head = F.col("__hunks_so_far") == 0
+    last = lambda cond, value: F.max_by(value, F.when(head & cond, F.col("__pos")))
+    line = F.col("__line")
     old = last(line.startswith("--- ") & ~line.startswith("--- /dev/null"), diff_path(F.substring(line, 5, 1_000_000)))
     new = last(line.startswith("+++ ") & ~line.startswith("+++ /dev/null"), diff_path(F.substring(line, 5, 1_000_000)))
     rename_from = last(line.startswith("rename from "), F.substring(line, 13, 1_000_000))
     rename_to = last(line.startswith("rename to "), F.substring(line, 11, 1_000_000))
     named = last(line.startswith("diff --git "), diff_path(F.regexp_extract(line, r'^diff --git .* ("?b/.*)$', 1)))
     grouped = marked.groupBy(*keys, "file_no").agg(
-        old.alias("o"), new.alias("n"), rename_from.alias("rf"), rename_to.alias("rt"), named.alias("g"),
-        F.max(head & line.startswith("new file mode")).alias("added"), F.max(head & line.startswith("deleted file mode")).alias("deleted"),
-        F.array_sort(F.collect_list(F.when(F.col("is_hunk"), F.struct("pos", hunk(line).alias("h"))))).alias("hs"),
+        old.alias("__old"), new.alias("__new"), rename_from.alias("__from"), rename_to.alias("__to"), named.alias("__named"),
+        F.max(head & line.startswith("new file mode")).alias("__added"), F.max(head & line.startswith("deleted file mode")).alias("__deleted"),
+        F.array_sort(F.collect_list(F.when(F.col("__is_hunk"), F.struct("__pos", hunk(line).alias("h"))))).alias("__hunks"),
     )
-    status = F.when(F.col("added"), "A").when(F.col("deleted"), "D").when(F.col("rf").isNotNull(), "R").otherwise("M")
-    path = F.when(F.col("deleted"), F.coalesce("o", "g")).otherwise(F.coalesce("rt", "n", "g", "o"))
-    return grouped.select(*keys, "file_no", path.alias("path"), F.coalesce("rf", F.when(F.col("o") != path, F.col("o"))).alias("old_path"), status.alias("status"), F.transform("hs", lambda x: x["h"]).alias("hunks"))
+    status = F.when(F.col("__added"), "A").when(F.col("__deleted"), "D").when(F.col("__from").isNotNull(), "R").otherwise("M")
+    path = F.when(F.col("__deleted"), F.coalesce("__old", "__named")).otherwise(F.coalesce("__to", "__new", "__named", "__old"))
+    return grouped.select(*keys, "file_no", path.alias("path"), F.coalesce("__from", F.when(F.col("__old") != path, F.col("__old"))).alias("old_path"), status.alias("status"), F.transform("__hunks", lambda x: x["h"]).alias("hunks"))
 
 
 def parse_status(lines: DataFrame, text: str) -> DataFrame:

@@ -27,10 +27,18 @@ def unify(changes: DataFrame, documents: DataFrame) -> DataFrame:
     """Changes and documents as one table; ``at`` is the instant, ``kind_ord`` 0 for changes."""
     c = changes.dropDuplicates(["project", "id"]).withColumn("kind_ord", F.lit(0))
     d = documents.dropDuplicates(["project", "id"]).withColumn("kind_ord", F.lit(1))
-    return c.unionByName(d, allowMissingColumns=True).withColumn("at", instant(F.col("timestamp")))
+    return dated(c.unionByName(d, allowMissingColumns=True))
 
 
-NEWEST_FIRST = (F.col("at").desc_nulls_last(), F.col("kind_ord"), F.col("id"))
+def dated(entries: DataFrame) -> DataFrame:
+    """Adds ``at``, and ``log_pos`` where a table has no log positions."""
+    e = entries if "log_pos" in entries.columns else entries.withColumn("log_pos", F.lit(None).cast("int"))
+    return e.withColumn("at", instant(F.col("timestamp")))
+
+
+def newest_first() -> list[Column]:
+    """By time; of the same instant changes first, in log order, then by id."""
+    return [F.col("at").desc_nulls_last(), F.col("kind_ord"), F.col("log_pos").asc_nulls_last(), F.col("id")]
 
 
 def timeline(entries: DataFrame) -> DataFrame:
@@ -38,12 +46,12 @@ def timeline(entries: DataFrame) -> DataFrame:
 
     A range-partitioned sort: no project, however large, lands in one task because of it.
     """
-    return entries.orderBy("project", *NEWEST_FIRST)
+    return entries.orderBy("project", *newest_first())
 
 
 def newest(entries: DataFrame, n: int) -> DataFrame:
     """The ``n`` newest entries of each project with their place ``pos``."""
-    w = Window.partitionBy("project").orderBy(*NEWEST_FIRST)
+    w = Window.partitionBy("project").orderBy(*newest_first())
     return entries.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= n)
 
 

@@ -318,3 +318,32 @@ def file_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = load(spark, sf_dir, "code_chunks")
     return c.select("chunk_row", F.sha2(T.chunk_embedding_text(F.col("file"), F.col("symbol"), F.col("code")), 256).alias("text_hash"))
+
+
+def _whole_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = load(spark, sf_dir, "code_chunks").where((F.lower("type") == "file") & F.lower("file").rlike(r"\.(ts|tsx|js|jsx|php)$"))
+    return c.select("project", "file", F.col("code").alias("text")).distinct()
+
+
+def extracted_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbol chunks cut from every whole source file."""
+    from codeloam.extract.source import extract_chunks
+
+    return extract_chunks(_whole_sources(spark, sf_dir), ["project"]).select("project", "id", "file", "symbol", "type", "start_line", "end_line", F.sha2("code", 256).alias("code_hash"))
+
+
+def extracted_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloam.extract.source import symbol_ranges
+
+    return symbol_ranges(_whole_sources(spark, sf_dir), ["project"])
+
+
+def extracted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Call edges of every whole source file."""
+    from codeloam.extract.source import call_edges
+
+    return call_edges(_whole_sources(spark, sf_dir), ["project"])
+
+
+for _f in (extracted_chunks, extracted_ranges, extracted_edges):
+    query()(_f)

@@ -41,8 +41,8 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql.window import Window
 
-    e = _entries(spark, sf_dir).select("project", "id", "kind", "at", "kind_ord")
-    w = Window.partitionBy("project").orderBy(*memory.NEWEST_FIRST)
+    e = _entries(spark, sf_dir).select("project", "id", "kind", "at", "kind_ord", "log_pos")
+    w = Window.partitionBy("project").orderBy(*memory.newest_first())
     return e.withColumn("pos", F.row_number().over(w).cast("long")).select("project", "id", "kind", "pos")
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from codeloam.functions import constants as K
 from codeloam.functions import text as T
@@ -35,16 +37,54 @@ def is_doc_file(path: Column, size: Column) -> Column:
     return (size <= K.DOC_BYTES) & ~is_secret_file(path) & (base_name(path).isin(*K.DOC_NAMES) | F.lower(extension(path)).isin(*K.DOC_EXTENSIONS))
 
 
+class _Paths(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+
+class _TreeReader(DataSourceReader):
+    def __init__(self, options):
+        self.root, self.per = options["path"], int(options.get("filespertask", 2000))
+
+    def partitions(self):
+        paths: list[str] = []
+        for here, dirs, names in os.walk(self.root):
+            dirs[:] = sorted(d for d in dirs if d not in K.SKIPPED_DIRS)
+            paths += (os.path.relpath(os.path.join(here, n), self.root) for n in sorted(names))
+        return [_Paths(paths[i : i + self.per]) for i in range(0, len(paths), self.per)] or [_Paths([])]
+
+    def read(self, partition):
+        for rel in partition.paths:
+            full = os.path.join(self.root, rel)
+            try:
+                at = os.stat(full)
+                with open(full, "rb") as f:
+                    yield rel.replace(os.sep, "/"), at.st_mtime * 1000, at.st_size, f.read()
+            except OSError:
+                continue  # unreadable, or gone since it was listed
+
+
+class SourceTree(DataSource):
+    """``spark.read.format("source_tree").load(root)``: every file, hidden ones included (Spark's own
+    file sources leave those out). Names are listed on the driver, contents are read by the tasks from
+    a path that all executors see. Option ``filesPerTask``."""
+
+    @classmethod
+    def name(cls):
+        return "source_tree"
+
+    def schema(self):
+        return "rel string, mtime_ms double, size long, content binary"
+
+    def reader(self, schema):
+        return _TreeReader(self.options)
+
+
 def walk_files(spark: SparkSession, root: str) -> DataFrame:
     """Every file under ``root`` but those in skipped directories: ``rel`` (path from the root),
-    ``mtime_ms``, ``size`` and ``content`` (read only if asked for)."""
-    root = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    plain = F.regexp_replace("path", r"^[a-z]+:/*(?=/)", "")
-    rel = F.substring(plain, len(root) + 2, 1_000_000)
-    skipped = "|".join(re.escape(d) for d in K.SKIPPED_DIRS)
-    files = raw.select(rel.alias("rel"), (F.unix_micros("modificationTime") / 1000).alias("mtime_ms"), F.col("length").alias("size"), "content")
-    return files.where(~F.col("rel").rlike(rf"(^|/)({skipped})/"))
+    ``mtime_ms``, ``size`` and ``content``."""
+    spark.dataSource.register(SourceTree)
+    return spark.read.format("source_tree").load(root)
 
 
 def rule_pattern(directory: str, rule: str) -> str:
@@ -62,7 +102,7 @@ def ignore_rules(files: DataFrame) -> DataFrame:
     """``dir`` and ``rule`` of every line of the ignore files among ``files``; blank lines, comments
     and negated rules (``!``), which are not supported, are dropped."""
     own = files.where(base_name(F.col("rel")) == ".gitignore")
-    lines = own.select(F.regexp_replace("rel", r"/?\.gitignore$", "").alias("dir"), F.explode(F.split(F.decode("content", F.lit("UTF-8")), "\r?\n")).alias("rule"))
+    lines = own.select(F.regexp_replace("rel", r"/?\.gitignore$", "").alias("dir"), F.explode(F.split(F.decode("content", "UTF-8"), "\r?\n")).alias("rule"))
     return lines.withColumn("rule", T.trim(F.col("rule"))).where("rule <> '' AND NOT startswith(rule, '#') AND NOT startswith(rule, '!')").distinct()
 
 
@@ -86,11 +126,11 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
 
 def plain_chunks(files: DataFrame) -> DataFrame:
     """One chunk for each plain file: its path is file and symbol, its whole text the code."""
-    code = F.decode("content", F.lit("UTF-8"))
+    code = F.decode("content", "UTF-8")
     kept = files.where(is_plain_file(F.col("rel"), F.col("size")))
     return kept.select(T.chunk_id(F.col("rel"), F.lit(None).cast("string")).alias("id"), F.col("rel").alias("file"), F.col("rel").alias("symbol"), F.lit("file").alias("type"), code.alias("code"), F.array().cast("array<string>").alias("imports"), "mtime_ms")
 
 
 def document_files(files: DataFrame) -> DataFrame:
     """Documents among the files: ``path``, ``text``, ``mtime_ms``."""
-    return files.where(is_doc_file(F.col("rel"), F.col("size"))).select(F.col("rel").alias("path"), F.decode("content", F.lit("UTF-8")).alias("text"), "mtime_ms")
+    return files.where(is_doc_file(F.col("rel"), F.col("size"))).select(F.col("rel").alias("path"), F.decode("content", "UTF-8").alias("text"), "mtime_ms")
