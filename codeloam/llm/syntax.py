@@ -51,7 +51,7 @@ _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(`|\$\{)?")
 _BLOCK_END = re.compile(r"\*/")
 #: After these an operand follows.
-_JS_BEFORE_OPERAND = frozenset("return typeof case do else in of instanceof new delete void throw await yield extends default import export async const let var function class if while for switch with catch finally try static get set type interface namespace module declare abstract readonly public private protected override as is keyof infer unique asserts from satisfies enum global implements accessor out require".split())
+_JS_BEFORE_OPERAND = frozenset("return typeof case do else in of instanceof new delete void throw await yield extends default import export async const let var function class if while for switch with catch finally try static get set type interface namespace module declare abstract readonly public private protected override as is keyof infer unique asserts from satisfies enum global implements accessor out require continue break".split())
 _JS_INFIX = frozenset("in of instanceof as is extends implements from satisfies".split())
 _JS_RESERVED = frozenset("const var return throw new delete typeof void case if while switch else do class".split())
 _JS_CONTROL = frozenset("if while for switch with catch".split())
@@ -341,7 +341,7 @@ _PHP = re.compile(
     r"|(/\*)"  # 2
     r"|(<<<[ \t]*(?:\"(\w+)\"|'(\w+)'|(\w+))\r?\n)"  # 3 4 5 6
     r"|(\$+[A-Za-z_\x80-￿][\w\x80-￿]*)"  # 7 variable
-    r"|(\\?[A-Za-z_\x80-￿][\w\x80-￿]*(?:\\[A-Za-z_\x80-￿][\w\x80-￿]*)*)"  # 8 word
+    r"|(\\?[A-Za-z_\x80-￿][\w\x80-￿]*(?:\\[A-Za-z_\x80-￿][\w\x80-￿]*)*(?:\\(?=\{))?)"  # 8 word
     r"|('(?:[^'\\]|\\[\s\S])*'|\"(?:[^\"\\]|\\[\s\S])*\"|`(?:[^`\\]|\\[\s\S])*`)"  # 9 string
     r"|((?:0[xXbBoO][\da-fA-F_]+|\d[\d_]*(?:\.[\d_]*)?(?:[eE][+-]?\d+)?|\.\d[\d_]*(?:[eE][+-]?\d+)?))"  # 10 number
     r"|(\#\[|[([{])"  # 11
@@ -433,7 +433,7 @@ def check_php(text: str) -> None:
                 elif tok == "{":
                     if prev == ")" and after_match:
                         what = "match"
-                    elif member:
+                    elif member or low.endswith("\\"):
                         what = "name"
                     elif kind in ("var", "str", "num"):
                         raise Invalid("brace after an operand", start)
@@ -603,7 +603,7 @@ def check_toml(text: str) -> None:
 
 # ---------------------------------------------------------------- YAML
 
-_YAML_KEY = re.compile(r"(?:\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\n]|'')*'|(?:[^\s\-?:,\[\]{}#&*!|>'\"%@`]|[-?:](?=\S))(?:[^:#\n]|:(?=\S)|(?<=\S)#)*?)\s*:(?=\s|\Z)|<<\s*:(?=\s|\Z)|\?(?=\s)")
+_YAML_KEY = re.compile(r"(?:\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\n]|'')*'|(?:[^\s\-?:,\[\]{}#&*!|>'\"%@`]|[-?:](?=\S))(?:[^:#\n]|:(?=\S)|(?<=\S)#)*?)\s*:(?=\s|\Z)|<<\s*:(?=\s|\Z)|[?:](?=\s|\Z)")
 _YAML_PROPERTY = re.compile(r"(?:[&!][^\s,\[\]{}]*|!<[^>]*>)(?:\s+|\Z)")
 _YAML_FLOW = re.compile(r"\"(?:[^\"\\]|\\[\s\S])*\"|'(?:[^']|'')*'|([\[{])|([\]}])|(?<=\s)#[^\n]*|([\"'])(?<=[\[{,:\s][\"'])|[^\[\]{}\"'\s#]+|[\s#\"']")
 _YAML_BLOCK = re.compile(r"[|>](?:[+-]?[1-9]?|[1-9][+-])[ \t]*(?:\s#.*)?\Z")
@@ -752,8 +752,11 @@ def check_yaml(text: str) -> None:
             m = _YAML_PROPERTY.match(body)
             inner = body[m.end() :] if m else body
             if kind == ":":
-                if key.group()[0] == "?":
-                    continue
+                if key.group() in ("?", ":") and not re.match(r"[|>\[{\"']", body):
+                    if _YAML_KEY.match(body) or body[0] == "-":
+                        continue
+                    i = value(body, i, column, stack[-1][0])
+                    break
                 if inner and _YAML_KEY.match(inner) and inner[0] not in "[{\"'":
                     raise Invalid("a mapping where a value is expected", starts[i] + column)
                 if re.match(r"-\s", inner):
