@@ -26,8 +26,7 @@ FAMILY = {"ts": "js", "tsx": "js", "js": "js", "jsx": "js", "mjs": "js", "cjs":
 #: Names per family at the most that the model keeps no count of: it counts trigrams only, and their
 #: number is bounded by the alphabet (57 signs).
 SHINGLE, SIMILARITY = 5, 0.8
-#: A text can only share shingles with a known package if it has one of the package's words; those
-#: longer than this are looked for before any shingle is made.
+#: Names longer than this tell one package from another.
 RARE = 8
 #: Bits per character above which a file's names count as mangled.
 MANGLED_BITS = 4.0
@@ -91,6 +90,28 @@ def shingles(words: list[str]) -> set[int]:
     return {xxhash.xxh3_64_intdigest(" ".join(words[i : i + SHINGLE])) for i in range(len(words) - SHINGLE + 1)}
 
 
+class KnownPackages:
+    """Names and word shingles of third-party files."""
+
+    def __init__(self, texts: list[str]):
+        words = [re.findall(r"\w+", t) for t in texts]
+        self.shingles = [shingles(w) for w in words]
+        names = [{x for x in _NAME.findall(t) if len(x) > RARE} for t in texts]
+        self.sizes = [len(n) for n in names]
+        self.by_name: dict[str, list[int]] = {}
+        for i, n in enumerate(names):
+            for x in n:
+                self.by_name.setdefault(x, []).append(i)
+
+    def nearest(self, names: set[str]) -> tuple[int, float, float]:
+        """(file with most of these names, their share of the names given, and of its own)."""
+        shared = Counter(i for x in names for i in self.by_name.get(x, ()))
+        if not shared or len(names) < 3:
+            return 0, 0.0, 0.0
+        i, n = shared.most_common(1)[0]
+        return i, n / len(names), n / self.sizes[i]
+
+
 def template_like(declared: list[str]) -> bool:
     """Do a few templates make most declared names?"""
     n = len(declared)
@@ -152,7 +173,7 @@ def records(text: str) -> bool:
     return False
 
 
-def judge(kind: str, text: str, model: NameModel | None, library: dict[int, list[int]], sizes: list[int], rare: set[str]) -> tuple[str, str] | None:
+def judge(kind: str, text: str, model: NameModel | None, packages: KnownPackages | None) -> tuple[str, str] | None:
     """(class, reason) of a file that is no hand-written source, else None."""
     text = text.removeprefix("﻿")
     head = _HEAD_COMMENT.match(text)
@@ -168,17 +189,15 @@ def judge(kind: str, text: str, model: NameModel | None, library: dict[int, list
         g = _GENERATED.search(top)
         if g and not _GENERATOR_ITSELF.search(top[top.rfind("\n", 0, g.start()) + 1 :][:200]):
             return "generated", "header"
-    if library and not rare.isdisjoint(words := re.findall(r"\w+", text)):
-        mine = shingles(words)
-        if len(mine) >= 8:
-            shared: Counter = Counter()
-            for s in mine:
-                for i in library.get(s, ()):
-                    shared[i] += 1
-            if shared:
-                i, n = shared.most_common(1)[0]
-                if n >= SIMILARITY * min(len(mine), sizes[i]):
-                    return "third-party", "text of a known package"
+    names = _NAME.findall(text) if kind in ("js", "php") else []
+    if packages is not None and names:
+        i, share, covered = packages.nearest({x for x in names if len(x) > RARE})
+        if share >= SIMILARITY:
+            return "third-party", "names of a known package"
+        if covered >= 0.5 or share >= 0.4:
+            mine = shingles(re.findall(r"\w+", text))
+            if len(mine) >= 8 and len(mine & packages.shingles[i]) >= SIMILARITY * min(len(mine), len(packages.shingles[i])):
+                return "third-party", "text of a known package"
     if top and _PACKAGE.search(top):
         return "third-party", "package header"
     if kind == "js":
@@ -189,7 +208,6 @@ def judge(kind: str, text: str, model: NameModel | None, library: dict[int, list
     lines = [x for x in text.split("\n") if x.strip()]
     if not lines:
         return None
-    names = _NAME.findall(text)
     average = len(text) / len(lines)
     if model and kind in ("js", "php") and average > 90 and names:
         distinct = set(names)
@@ -238,7 +256,7 @@ def judge_files(chunks: DataFrame, library_files: DataFrame, library_limit_mb: i
     row for each whole file; both are null for hand-written source.
 
     Null and empty code is hand-written; of copies of a file's row any flagged one counts. The table
-    of known packages is broadcast as shingles; it is measured first and must stay under
+    of known packages is broadcast as names and shingles; it is measured first and must stay under
     ``library_limit_mb`` (it is a table of fixed size).
     """
     spark = chunks.sparkSession
@@ -246,24 +264,16 @@ def judge_files(chunks: DataFrame, library_files: DataFrame, library_limit_mb: i
     size = library_files.agg(F.coalesce(F.sum(F.length("code")), F.lit(0))).first()[0]
     if size > library_limit_mb << 20:
         raise ValueError(f"the table of known packages has {size} characters, more than {library_limit_mb} MB")
-    library: dict[int, list[int]] = {}
-    sizes: list[int] = []
-    rare: set[str] = set()
-    for (text,) in library_files.where(F.length("code") > 0).select("code").toLocalIterator():
-        own = shingles(words := re.findall(r"\w+", text))
-        rare.update(w for w in words if len(w) > RARE)
-        for s in own:
-            library.setdefault(s, []).append(len(sizes))
-        sizes.append(len(own))
-    shared = spark.sparkContext.broadcast((models, library, sizes, rare))
+    packages = KnownPackages([r[0] for r in library_files.where(F.length("code") > 0).select("code").toLocalIterator()])
+    shared = spark.sparkContext.broadcast((models, packages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, library, sizes, rare = shared.value
+        models, packages = shared.value
         for batch in batches:
             found = []
             for e, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 kind = FAMILY.get(e, "other")
-                found.append(judge(kind, text, models.get(kind), library if kind == "js" or kind == "php" else {}, sizes, rare) if text and kind != "other" else None)
+                found.append(judge(kind, text, models.get(kind), packages if kind in ("js", "php") else None) if text and kind != "other" else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f and f[0] for f in found], pa.string()), pa.array([f and f[1] for f in found], pa.string())], names=["project", "file", "class", "reason"])
 
     verdicts = whole_files(chunks).withColumn("__ending", ending(F.col("file"))).select("project", "file", "__ending", "code").mapInArrow(run, "project string, file string, class string, reason string")

@@ -73,7 +73,7 @@ def test_template_names():
 
 @pytest.mark.parametrize("text", ["a" * 300_000, "\n" * 9999, "/*" * 9999, "1," * 50_000, "'" * 5000])
 def test_long_and_odd_texts(text):
-    from codeloam.llm.provenance import judge
+    from codeloam.llm.provenance import KnownPackages, judge
 
     for kind in ("js", "php", "data"):
-        judge(kind, text, NameModel({"^ab": 1}), {1: [0]}, [1], {"abcdefghij"})
+        judge(kind, text, NameModel({"^ab": 1}), KnownPackages([LIBRARY, ""]))
