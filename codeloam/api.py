@@ -5,9 +5,10 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import os
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from codeloam.extract import source
@@ -53,7 +54,7 @@ class Engine:
         self.repository = git.git_root(self.root)
         self.branch = git.branch_name(self.repository) if self.repository else None
         self.project = hashlib.sha256(f"{self.root}\n{self.branch}".encode() if self.branch else self.root.encode()).hexdigest()[:8]
-        self.store = Store(spark, f"{store or self.root + '/.code-intelligence'}/{self.project}")
+        self.store = Store(spark, f"{store or self.root + '/.codeloam'}/{self.project}")
 
     # ---- indexing
 
@@ -70,14 +71,17 @@ class Engine:
         last = every.withColumn("chunk_row", F.xxhash64("id", F.coalesce("start_line", F.lit(0))))
         return first_per_key(last, ["id"], F.col("start_line").desc_nulls_last())
 
-    def index_project(self) -> Counters:
+    def index_project(self, progress: Callable[[str, int, int], None] | None = None) -> Counters:
         """Extracts, compares with the last index, deletes what is stale or orphaned, embeds what has no
-        vector, and refreshes the project memory; the manifest is written last."""
+        vector, and refreshes the project memory; the manifest is written last. ``progress`` is called
+        with (phase, done, total) as vectors are embedded and stored."""
         sources = self._sources()
         chunks = self.store.write("chunks", self._chunks(sources))
         edges = self.store.write("edges", source.call_edges(sources, ["project"]))
         manifest = incremental.build_manifest(chunks)
         old, kept, deleted, orphans = self.store.read_or_none("manifest"), self.store.read_or_none("chunk_vectors"), 0, 0
+        if kept is not None:  # vectors of another length, say of an older embedder, are made again
+            kept = kept.where(F.size("vector") == K.VECTOR_DIMS)
         if old is not None and kept is not None:
             stale = incremental.stale_chunks(old, manifest).withColumnRenamed("chunk_id", "id")
             deleted = stale.count()
@@ -88,7 +92,12 @@ class Engine:
         todo = chunks if kept is None else chunks.join(kept.select("project", "id"), ["project", "id"], "left_anti")
         fresh = vectors.embed_column(todo.withColumn("t", T.chunk_embedding_text(F.col("file"), F.col("symbol"), F.col("code"))), ["project", "id"], "t")
         embedded = todo.count()
+        tell = progress or (lambda *_: None)
+        tell("embedding", 0, embedded)
+        watch = Observation()
+        fresh = fresh.observe(watch, F.count("*").alias("stored"))
         self.store.write("chunk_vectors", fresh if kept is None else kept.unionByName(fresh))
+        tell("storing", watch.get["stored"] if embedded else 0, embedded)
         added, gone = self.sync_memory()
         self.store.write("manifest", manifest)
         return Counters(manifest.count(), chunks.count(), edges.count(), embedded, deleted, orphans, added, gone)

@@ -6,6 +6,7 @@ import argparse
 
 from pyspark.sql import DataFrame
 
+from codeloam import render
 from codeloam.api import Engine, NotIndexedError
 from codeloam.session import build_session
 
@@ -34,19 +35,17 @@ def main(argv: list[str] | None = None) -> int:
     engine = Engine(build_session(), a.dir, a.store)
     try:
         if a.command == "index":
-            print(engine.index_project())
+            print(engine.index_project(lambda phase, done, total: print(f"{phase} {render.progress_bar(done, total)}")))
         elif a.command == "query":
-            _show(engine.query_project(a.question), ["label", "file", "symbol", "type"], "no result")
+            _show(render.result_lines(engine.query_project(a.question)).orderBy("pos"), ["line"], "no result")
         elif a.command == "status":
-            for part, rows in engine.project_status().items():
-                print(f"[{part}]")
-                _show(rows, [c for c in ("timestamp", "title", "path", "status", "topic", "change_type", "n") if c in rows.columns], "none")
+            _show(render.status_lines(engine.project_status()), ["part", "line"], "nothing yet")
         elif a.command == "changes":
-            _show(engine.recent_changes(a.limit or 10, a.type, a.topic), ["timestamp", "change_type", "title", "summary"], "no changes")
+            _show(render.change_lines(engine.recent_changes(a.limit or 10, a.type, a.topic)).orderBy("pos"), ["line"], "no changes")
         elif a.command == "features":
-            _show(engine.feature_map(), ["part", "title", "summary"], "no features")
+            _show(render.feature_lines(engine.feature_map()).orderBy("part", "pos"), ["part", "line"], "no features")
         else:
-            _show(engine.query_project_memory(a.question, a.limit or 5), ["score", "kind", "title", "summary"], "no result")
+            _show(render.memory_lines(engine.query_project_memory(a.question, a.limit or 5)), ["line"], "no result")
     except NotIndexedError as e:
         print(f"not indexed: {e}")
         return 1

@@ -8,6 +8,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
+from codeloam import render
 from codeloam.api import Engine, NotIndexedError
 from codeloam.sources import files as FS
 from codeloam.sources import git
@@ -79,7 +80,9 @@ def test_engine(spark, tree, tmp_path):
     engine = Engine(spark, str(tree), str(tmp_path))
     with pytest.raises(NotIndexedError):
         engine.get_symbol("x").count()
-    first = engine.index_project()
+    told = []
+    first = engine.index_project(lambda *x: told.append(x))
+    assert told == [("embedding", 0, first.embedded), ("storing", first.embedded, first.embedded)]
     assert first.chunks == first.embedded > 5 and first.deleted == first.orphans == 0
     newest = engine.recent_changes(sync=False).first()
     assert newest["change_type"] == "fix" and newest["symbols"] == ["AuthService.login"] and newest["files"] == ["src/auth.ts"]
@@ -100,6 +103,9 @@ def test_engine(spark, tree, tmp_path):
     assert [r["title"] for r in engine.feature_map(sync=False).where("part = 'documented'").collect()] == ["What It Does"]
     hits = engine.query_project_memory("what does the login feature do", 3, dt.datetime(2030, 1, 1), sync=False).collect()
     assert hits and hits[0]["score"] >= hits[-1]["score"]
+    lines = {(r["part"], r["line"]) for r in render.status_lines(status).collect()}
+    assert ("recent_fixes", "fix login of padded names") in lines and render.memory_lines(engine.query_project_memory("login", 1, dt.datetime(2030, 1, 1), sync=False)).first()["line"][1] == "."
+    assert render.feature_lines(engine.feature_map(sync=False)).first()["line"].startswith("What It Does: ") and render.result_lines(engine.query_project("auth login")).count() == len(answer)
     for bad in (lambda: engine.expand_graph(["a"], 4), lambda: engine.get_symbols([]), lambda: engine.recent_changes(0, sync=False)):
         with pytest.raises(ValueError):
             bad()
@@ -133,6 +139,10 @@ def test_stream_merges_like_a_batch(spark, data_dir, tmp_path):
     assert spark.sql("SELECT count(*) FROM activity").first()[0] > 0
 
 
+def test_progress_bar():
+    assert render.progress_bar(3, 10, 10) == "[###-------]  3/10" and render.progress_bar(0, 0, 4) == "[####] 0/0"
+
+
 def test_store_replaces_whole_tables(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     store.write("t", spark.range(3))
