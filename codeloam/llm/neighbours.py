@@ -313,7 +313,7 @@ def class_neighbours(vectors: DataFrame, vec_id: str, vector: str, dims: int, k:
 
     n_shards = int(first[-1])
     routed = table.mapInArrow(route, schema)
-    found = routed.repartition(n_shards, "shard").sortWithinPartitions("shard", "query", "digest", "vec_id").mapInArrow(search, "rep bigint, near array<struct<far: double, rep: bigint>>")
+    found = routed.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", "query", "digest", "vec_id").mapInArrow(search, "rep bigint, near array<struct<far: double, rep: bigint>>")
     return found.groupBy("rep").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
 
 
