@@ -83,10 +83,22 @@ def retrieval_expand(edges: DataFrame, hits: DataFrame) -> DataFrame:
     return one.unionByName(two).unionByName(back).distinct().join(hits, ["project", "symbol"], "left_anti")
 
 
+def inverse(edges: DataFrame) -> DataFrame:
+    """``symbol``, ``caller``, ``edge_ord``: one row for each distinct call. A hub's callers can be a large
+    part of all edges, so they are rows, not an array."""
+    return distinct_edges(edges).select("project", F.col("dst").alias("symbol"), F.col("src").alias("caller"), "edge_ord")
+
+
 def with_neighbours(results: DataFrame, edges: DataFrame) -> DataFrame:
-    """Adds ``callees`` and ``callers`` to rows with a symbol; empty where there are none."""
+    """Adds ``callees`` and ``callers`` to a result list's rows; empty where there are none. Only edges
+    of the listed symbols are read into arrays."""
     none = F.array().cast("array<string>")
-    joined = results.join(adjacency(edges), ["project", "symbol"], "left").join(adjacency(edges, inverse=True), ["project", "symbol"], "left")
+    listed = results.select("project", "symbol").distinct()
+
+    def of(end: str) -> DataFrame:
+        return edges.join(listed.withColumnRenamed("symbol", end), ["project", end], "left_semi")
+
+    joined = results.join(adjacency(of("src")), ["project", "symbol"], "left").join(adjacency(of("dst"), inverse=True), ["project", "symbol"], "left")
     return joined.withColumn("callees", F.coalesce("callees", none)).withColumn("callers", F.coalesce("callers", none))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from codeloam.functions import constants as K
 from codeloam.functions import text as T
 from codeloam.operators.ordering import first_per_key
+from codeloam.session import materialise
 
 
 def instant(timestamp: Column) -> Column:
@@ -42,11 +43,23 @@ def newest_first() -> list[Column]:
 
 
 def timeline(entries: DataFrame) -> DataFrame:
-    """All entries, newest first within a project; changes before documents of the same instant.
+    """All entries with their place ``pos`` in their project: newest first, changes before documents of
+    the same instant.
 
-    A range-partitioned sort: no project, however large, lands in one task because of it.
+    Entries are range-partitioned by (project, order), so a project with a third of all rows is spread
+    over as many partitions as it fills; places within a partition are shifted by the counts of the
+    partitions before it.
     """
-    return entries.orderBy("project", *newest_first())
+    order = [F.col("project"), *newest_first()]
+    parts = entries.sparkSession.sparkContext.defaultParallelism
+    placed = materialise(entries.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    inner = Window.partitionBy("project", "__part").orderBy(*newest_first())
+    counts = placed.groupBy("project", "__part").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("project").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("project", "__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    ranked = placed.withColumn("__at", F.row_number().over(inner))
+    on = ranked["project"].eqNullSafe(offsets["project"]) & (ranked["__part"] == offsets["__part"])
+    return ranked.join(offsets, on).select(*(ranked[c] for c in entries.columns), (F.col("__at") + F.col("__before")).alias("pos"))
 
 
 def newest(entries: DataFrame, n: int) -> DataFrame:

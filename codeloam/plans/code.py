@@ -139,9 +139,9 @@ def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.adjacency(load(spark, sf_dir, "call_edges")).withColumn("callees", F.array_join("callees", ","))
 
 
-@query(f"WITH e AS ({EDGES}) SELECT project, dst AS symbol, string_agg(src, ',' ORDER BY edge_ord, src) AS callers FROM e GROUP BY ALL")
+@query(f"WITH e AS ({EDGES}) SELECT project, dst AS symbol, src AS caller, edge_ord FROM e")
 def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.adjacency(load(spark, sf_dir, "call_edges"), inverse=True).withColumn("callers", F.array_join("callers", ","))
+    return graph.inverse(load(spark, sf_dir, "call_edges"))
 
 
 DEGREES = f"""e AS ({EDGES}), d AS (

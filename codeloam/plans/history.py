@@ -39,11 +39,8 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ENTRIES} SELECT project, id, kind, {POS} AS pos FROM entries")
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
     e = _entries(spark, sf_dir).select("project", "id", "kind", "at", "kind_ord", "log_pos")
-    w = Window.partitionBy("project").orderBy(*memory.newest_first())
-    return e.withColumn("pos", F.row_number().over(w).cast("long")).select("project", "id", "kind", "pos")
+    return memory.timeline(e).select("project", "id", "kind", "pos")
 
 
 @query(f"WITH {ENTRIES} SELECT project, id, pos FROM (SELECT project, id, {POS} AS pos FROM entries WHERE kind = 'change' AND change_type = 'fix' AND len(list_filter(coalesce(topics, []), lambda t: contains(t, 'er'))) > 0) WHERE pos <= 10")

@@ -162,3 +162,14 @@ def test_exact_search_ties_and_unusable(spark):
 def test_embedder_is_deterministic():
     a, b = vectors.embed(["readConfig file", ""]), vectors.embed(["readConfig file", None])
     assert (a == b).all() and abs((a[0] ** 2).sum() - 1) < 1e-5 and not a[1].any()
+
+
+def test_timeline_places_in_a_large_project(spark):
+    rows = [("big" if i % 10 else "small", f"{i:04}", "change", f"2024-01-{1 + i % 9:02}T00:00:00Z", "t", "fix", [], None) for i in range(400)] + [("big", "none", "document", None, "t", None, None, None), (None, "x", "change", None, "t", None, None, None)]
+    e = entries(spark, rows).repartition(4)
+    got = memory.timeline(e).collect()
+    assert len(got) == len(rows) and set(got[0].asDict()) == {*e.columns, "pos"}
+    for project in ("big", "small", None):
+        mine = sorted((r["pos"], r["id"]) for r in got if r["project"] == project)
+        want = sorted((r for r in rows if r[0] == project), key=lambda r: (r[3] is None, [-ord(c) for c in r[3] or ""], r[2] != "change", r[1]))
+        assert mine == [(i + 1, r[1]) for i, r in enumerate(want)]
