@@ -47,7 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = sc.getConf().get(_CHECKPOINT, None) or spark.conf.get(_CHECKPOINT, None) or sc.getCheckpointDir()
     if not named:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError(f"{_CHECKPOINT} must name a folder that all executors share")
         named = Path(tempfile.mkdtemp(prefix="codeloam-")).as_uri()
     if not sc.getCheckpointDir():
