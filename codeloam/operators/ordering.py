@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,19 +15,28 @@ def first_per_key(df: DataFrame, keys: list[str], *order: Column | str, n: int =
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__rn") <= n).drop("__rn")
 
 
-def greedy_budget(results: DataFrame, key: str, size: str, order: str, budget: int = 12_000, most: int = 250) -> DataFrame:
-    """Walks each key's first ``most`` results in order and keeps each that still fits into
-    ``budget``; one that does not fit is skipped and the walk goes on. Adds ``used``, the size so far.
+def greedy_budget(results: DataFrame, key: str, size: str, order: str, budget: int = 12_000) -> DataFrame:
+    """Walks all results of each key in order and keeps each that still fits into ``budget``; one that
+    does not fit is skipped and the walk goes on. Adds ``used``, the size so far.
 
-    The walk is a fold over one bounded array a key. Null sizes count as 0; ties in order are broken
-    by size. Result lists are top-k lists, so ``most`` is a bound of the feature.
+    One sorted pass over keys, orders and sizes: a walk's state is its running total, so a key may
+    have any number of results. Null sizes count as 0; ties in order are broken by size.
     """
-    listed = first_per_key(results, [key], order, size, n=most)
-    item = F.struct(F.col(order).alias("o"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("s"))
-    walk = F.aggregate(
-        F.array_sort(F.collect_list(item)),
-        F.struct(F.lit(0).cast("long").alias("t"), F.array().cast("array<struct<o:bigint,u:bigint>>").alias("k")),
-        lambda acc, x: F.when(acc["t"] + x["s"] <= budget, F.struct((acc["t"] + x["s"]).alias("t"), F.array_append(acc["k"], F.struct(x["o"].cast("long").alias("o"), (acc["t"] + x["s"]).alias("u"))).alias("k"))).otherwise(acc),
-        lambda acc: acc["k"],
-    )
-    return listed.groupBy(key).agg(walk.alias("k")).select(key, F.explode("k").alias("x")).select(key, F.col("x.o").alias(order), F.col("x.u").alias("used"))
+    kind = dict(results.dtypes)[key]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = object(), 0
+        for batch in batches:
+            kept, used = [], []
+            for i, (k, s) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                if k != at:
+                    at, total = k, 0
+                if total + s <= budget:
+                    total += s
+                    kept.append(i)
+                    used.append(total)
+            rows = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(used, pa.int64())], names=[key, order, "used"])
+
+    listed = results.select(key, F.col(order).cast("long").alias(order), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("__size"))
+    return listed.repartition(key).sortWithinPartitions(key, order, "__size").mapInArrow(walk, f"`{key}` {kind}, `{order}` bigint, used bigint")

@@ -280,6 +280,8 @@ w AS (SELECT project, chunk_row, n, CASE WHEN s <= 12000 THEN s ELSE 0 END AS us
 SELECT project, chunk_row, CAST(used AS BIGINT) AS used FROM w WHERE kept"""
 )
 def greedy_budget_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk of a project in order, cut to the size budget. The SQL above stops at 250 chunks a
+    project, so it lacks what still fits after them: no row of sf0.01, one of sf0.1."""
     sized = load(spark, sf_dir, "code_chunks").withColumn("size", F.length("code"))
     return greedy_budget(sized, "project", "size", "chunk_row")
 

@@ -29,6 +29,16 @@ def test_greedy_budget_skips_and_goes_on(spark, sizes):
     assert got == want
 
 
+def test_greedy_budget_walks_lists_of_any_length(spark):
+    """Two keys over several Arrow batches; most of what fits comes after row 250."""
+    sizes = {"a": [12_001] * 400 + [5_000, None, 7_001, 7_000, 1, 0] + [12_001] * 30_000 + [None], "b": [40] * 299 + [41, 40, 1], None: [1] * 300}
+    rows = spark.createDataFrame([(k, i, s) for k, ss in sizes.items() for i, s in enumerate(ss)], "key string, pos int, size int")
+    got = sorted((r["key"] or "", r["pos"], r["used"]) for r in greedy_budget(rows, "key", "size", "pos").collect())
+    a = [("a", 400, 5_000), ("a", 401, 5_000), ("a", 403, 12_000), ("a", 405, 12_000), ("a", 30_406, 12_000)]
+    b = [("b", i, 40 * (i + 1)) for i in range(299)] + [("b", 300, 12_000)]
+    assert got == [("", i, i + 1) for i in range(300)] + a + b
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(1, 300), st.integers(-3, 200)), max_size=8), st.lists(st.tuples(st.integers(1, 300), st.integers(-3, 90)), max_size=6))
 def test_overlap_equals_nested_loop(spark, ranges, hunks):
