@@ -204,6 +204,7 @@ def spans(text: str, ending: str = "") -> list[tuple[int, int, str]]:
         low = "".join(c if len(x := c.lower()) != 1 else x for c in text)
     done_names: set[int] = set()
     lines_noted: set[int] = set()
+    lines_keyed: set[int] = set()
     cues = _cues(low)
     has = {w for _, w in cues}
     if "begin " in has:
@@ -268,8 +269,8 @@ def spans(text: str, ending: str = "") -> list[tuple[int, int, str]]:
                     if v and secret_like(v, 2):
                         found.append((line + at, line + at + len(v), "note"))
                         break
-        if word in ("hmac", "cipher", "openssl_", "jwt") and line not in lines_noted:
-            lines_noted.add(line)
+        if word in ("hmac", "cipher", "openssl_", "jwt") and line not in lines_keyed:
+            lines_keyed.add(line)
             end = text.find("\n", line)
             whole = text[line : end if end >= 0 else len(text)]
             call = _KEYED_CALL.search(whole)

@@ -28,6 +28,12 @@ def test_found(ending, text, value):
     assert value not in out and len(out) == len(text) and out[: places[0][0]] == text[: places[0][0]] and out[places[0][1] :] == text[places[0][1] :]
 
 
+@pytest.mark.parametrize("text", ["const clientSignature = createHmac('sha256', '{}');", "user.session = jwt.sign(p, '{}');", "connect(a); s = createCipheriv('aes-256-cbc', '{}', iv)"])
+def test_keyed_call_after_a_login_word(text):
+    text = text.format("k3yLiteral99xyz")
+    assert [text[s:e] for s, e, _ in spans(text, "ts")] == ["k3yLiteral99xyz"]
+
+
 @pytest.mark.parametrize(("ending", "text"), CLEAN)
 def test_clean(ending, text):
     assert spans(text, ending) == []
