@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,7 +44,16 @@ _FLAG = re.compile(r"(?<!\S)(?:-u|--user)[ =]['\"]?([^\s:'\"$]+):([^\s'\"]+)")
 _OPTION = re.compile(r"(?<!\S)--?[\w-]*?(?:password|passwd|pass|token|api-?key|secret|secret-key|access-key|pw)[ =](['\"]?)([^\s'\"]+)\1", re.I)
 _LOGIN_CALL = re.compile(r"(?:\b|_)(?:login|log_in|signin|sign_in|authenticate|auth|connect|setCredentials|withCredentials|basicAuth|PDO|mysqli|mysqli?_connect|new\s+\w*(?:Client|Connection|Pool|Session)|createConnection|ftp_login)\s*\(", re.I)
 _ENCODED = re.compile(r"[:=][ \t]*[\"']?([A-Za-z0-9+/]{10,}={1,2}|[A-Za-z0-9+/]{16,})[\"']?,?\r?$", re.M)
-_KEYED_CALL = re.compile(r"(?:createHmac|hash_hmac|createCipheriv|createDecipheriv|openssl_encrypt|openssl_decrypt|jwt\.sign|jwt\.verify|JWT::encode|JWT::decode|hmac\.new|sign|verify)\s*\(", re.I)
+_KEYED_CALL = re.compile(r"(?:createHmac|hash_hmac|createCipheriv|createDecipheriv|openssl_encrypt|openssl_decrypt|jwt\s*\.\s*sign|jwt\s*\.\s*verify|JWT::encode|JWT::decode|hmac\.new|(?<!as)(?<!de)sign|verify)\s*\(", re.I)
+#: The argument that holds the credential, of calls where it has one place; calls whose only argument is one; calls that say it by other words of their line.
+_PLACE_OF = {"pdo": 2, "mysqli": 2, "mysqli_connect": 2, "mysql_connect": 2, "ftp_login": 2, "createhmac": 1, "hash_hmac": 2, "createcipheriv": 1, "createdecipheriv": 1, "openssl_encrypt": 2, "openssl_decrypt": 2, "jwt.sign": 1, "jwt.verify": 1, "jwt::encode": 1, "jwt::decode": 1, "hmac.new": 0}
+_ALONE = re.compile(r"_?(?:login|log_in|signin|sign_in|authenticate|auth|setCredentials|withCredentials|basicAuth)\Z", re.I)
+_VAGUE = re.compile(r"(?:sign|verify|new\w*(?:Pool|Session))\Z", re.I)
+_LOGIN_CUES = ("login", "access:", "zugang", "account", "konto", "connect", "pdo", "mysqli", "client", "signin", "sign_in", "auth", "user", "credential")
+_KEYED_CUES = ("hmac", "cipher", "openssl_", "jwt")
+_ALGORITHM = re.compile(r"(?:sha|aes|md|hs|rs|es|des)-?\d", re.I)
+_CALL_TOKEN = re.compile(r"[\w$]+|['\"`()\[\]{},;]|=>|[=!]==?|[:=]|//|/\*|(?<=\s)#")
+_KEY_AFTER = re.compile(r"\s*(?:=>|:(?!:))")
 _NOTE = re.compile(r"(?:(?:login|log in|credentials?|zugang\w*|access|sign in|account|acceso|acc[eè]s|acesso|anmeldung)\b[^\n]{0,60}?[:=])\s*([^\n]*)", re.I)
 _NOTE_PAIR = re.compile(r"(?:\b\w[\w.@-]*\s*[/|]\s*(\S+))|(?:\b(?:key|password|passwd|pass|pw|pwd|token|secret|passwort|kennwort|clave|contrase\w+|senha|mot de passe|schl[uü]ssel|code|pin)\b\s*[:=]?\s*(?:is\s+)?(\S+))", re.I)
 _COMMENT = re.compile(r"(?://|#|/\*|\*|<!--|;|--)\s")
@@ -185,6 +195,135 @@ def _statement(text: str, at: int, quoted_format: bool) -> Iterator[tuple[int, i
         at += 1
 
 
+class _Frame:
+    """An open bracket of an argument list: ``call`` is the call whose arguments it holds, if any;
+    ``first``: nothing but first places lead from there to here."""
+
+    __slots__ = ("bracket", "call", "index", "first", "filled", "key", "word", "literals")
+
+    def __init__(self, bracket: str, call: str, first: bool):
+        self.bracket, self.call, self.first = bracket, call, first
+        self.index, self.filled, self.key, self.word = 0, False, "", ""
+        self.literals: list[tuple[int, int, int, bool, str, str]] | None = None
+
+
+def _arguments(text: str, openings: dict[int, str], places: list[int], at: int, limit: int, remark: bool = False) -> Iterator[tuple[str, int, list[tuple[int, int, int, bool, str, str]]]]:
+    """(call, number of arguments, literals) of each call whose bracket is in ``openings`` (place:
+    name; ``places``: in order), each to its closing bracket, over any number of lines. A literal is (start, end, argument
+    it stands in, whether it begins that argument list, key, call that holds it). One pass; brackets
+    in strings and comments are calls of their own that end there at the latest."""
+    while (i := bisect_left(places, at)) < len(places) and places[i] < limit:
+        at = places[i]
+        commented = remark or re.match(r"\s*(?://|#|/?\*|--|;)", text[text.rfind("\n", 0, at) + 1 : at]) is not None
+        stack: list[_Frame] = []
+        owners: list[_Frame] = []
+        dead: dict[str, int] = {}
+        word = ""
+        while True:
+            t = _CALL_TOKEN.search(text, at, limit)
+            if not t:
+                at = limit
+                break
+            c, at = t.group(), t.end()
+            top = stack[-1] if stack else None
+            if c in "'\"`":
+                m = _STRING.match(text, t.start(), limit) if t.start() >= dead.get(c, 0) else None
+                if not m:
+                    if t.start() >= dead.get(c, 0):
+                        line_end = text.find("\n", at)
+                        dead[c] = limit if c == "`" or line_end < 0 else line_end
+                    continue
+                k, at = m.lastindex, m.end()
+                yield from _arguments(text, openings, places, m.start(k), m.end(k))
+                if _KEY_AFTER.match(text, at, limit) and top.bracket in "{[":
+                    top.key, top.word = m[k], ""
+                elif top.call and owners:
+                    owners[-1].literals.append((m.start(k), m.end(k), owners[-1].index, top.first and not top.index, top.key if top.key or top.bracket != "{" else "?", "" if top is owners[-1] else top.call))
+                top.filled, word = True, ""
+            elif c in "([{":
+                f = _Frame(c, "", False)
+                if t.start() in openings:
+                    f.call, f.first, f.literals = openings[t.start()], True, []
+                    owners.append(f)
+                elif top and top.call and not (c == "(" and LOOKUPS.match(word)) and not (c == "[" and word) and not (top.bracket == "{" and c != "{"):
+                    f.call, f.first = word if c == "(" and word else top.call, top.first and not top.index
+                if top:
+                    top.filled = True
+                stack.append(f)
+                word = ""
+            elif c in ")]}" or c == ";" and top.bracket != "{" and not (top.bracket == "(" and top.word == "for"):
+                opens = {")": "(", "]": "[", "}": "{", ";": "{"}[c]
+                while stack and (c == ";" and stack[-1].bracket != "{" or c != ";"):
+                    f = stack.pop()
+                    if f.literals is not None:
+                        owners.pop()
+                        yield f.call, f.index + f.filled, f.literals
+                    if f.bracket == opens:
+                        break
+                word = ""
+                if not stack:
+                    break
+            elif c == ",":
+                top.index, top.filled, top.key, top.word, word = top.index + 1, False, "", "", ""
+            elif c in ("//", "/*") or c == "#":
+                if not commented:
+                    end = text.find("*/" if c == "/*" else "\n", at, limit)
+                    end = limit if end < 0 else end
+                    yield from _arguments(text, openings, places, at, end, True)
+                    at = end
+            elif c in (":", "=", "=>"):
+                if top.word and (c != ":" or top.bracket == "{" or text[t.end() : t.end() + 1] != ":"):
+                    top.key, top.word = top.word, ""
+                word = ""
+            elif c[0] in "=!":
+                top.word = word = ""
+            else:
+                top.word = "" if top.filled else c
+                top.filled, word = True, c
+        for f in reversed(owners):  # the text ends within
+            yield f.call, f.index + f.filled, f.literals
+
+
+def _passed(text: str, low: str, cues: list[tuple[int, str]], has: set[str]) -> Iterator[tuple[int, int]]:
+    """The credentials passed to login calls (by place, else by what the value looks like; not the
+    first of several arguments, which is a user or a host) and to calls that take a key."""
+    openings: dict[int, str] = {}
+    keyed: set[str] = set()
+    lines: dict[tuple[str, ...], set[int]] = {}
+
+    def cued(place: int, words: tuple[str, ...]) -> bool:
+        if words not in lines:
+            lines[words] = {text.rfind("\n", 0, p) for p, w in cues if w in words}
+        return text.rfind("\n", 0, place) in lines[words]
+
+    for pattern, words in ((_LOGIN_CALL, _LOGIN_CUES), (_KEYED_CALL, _KEYED_CUES)):
+        if not has.isdisjoint(words) or pattern is _LOGIN_CALL and "log_in" in low:
+            for m in pattern.finditer(text):
+                call = re.sub(r"\s+", "", m.group()[:-1])
+                if not _VAGUE.match(call) or cued(m.start(), words):
+                    openings[m.end() - 1] = call
+                    if pattern is _KEYED_CALL:
+                        keyed.add(call)
+    for call, n, literals in _arguments(text, openings, sorted(openings), 0, len(text)) if openings else ():
+        place = _PLACE_OF.get(call.lower().lstrip("_"))
+        for s, e, index, first, key, inner in literals:
+            v = text[s:e]
+            if key:
+                if named(key) and secret_like(v, 2):
+                    yield s, e
+            elif call in keyed:
+                if (place is None or index == place) and secret_like(v, 2) and not _ALGORITHM.match(v):
+                    yield s, e
+            elif place is not None and n > 1:
+                if index == place and secret_like(v, 2):
+                    yield s, e
+            elif n > 1 or not first:
+                if not first and secret_like(v, 2):
+                    yield s, e
+            elif "://" not in v and secret_like(v, 2) and (_ALONE.match(call) or not re.search(r"[=;:/]", v) and any(c.isdigit() for c in v) and any(c.isupper() for c in v) and any(c.islower() for c in v)):
+                yield s, e
+
+
 def _decoded(value: str) -> str:
     try:
         return base64.b64decode(value + "=" * (-len(value) % 4), validate=True).decode("ascii")
@@ -204,7 +343,6 @@ def spans(text: str, ending: str = "") -> list[tuple[int, int, str]]:
         low = "".join(c if len(x := c.lower()) != 1 else x for c in text)
     done_names: set[int] = set()
     lines_noted: set[int] = set()
-    lines_keyed: set[int] = set()
     cues = _cues(low)
     has = {w for _, w in cues}
     if "begin " in has:
@@ -243,23 +381,15 @@ def spans(text: str, ending: str = "") -> list[tuple[int, int, str]]:
         plain = _decoded(m[1])
         if len(m[1]) % 4 == 0 and plain.isprintable() and secret_like(plain.rsplit(":", 1)[-1], 2):
             found.append((m.start(1), m.end(1), "encoded"))
+    found += [(s, e, "argument") for s, e in _passed(text, low, cues, has)]
     for place, word in cues:
         if word in ("://", "begin ", "bearer ", "basic ", "-u "):
             continue
         line = text.rfind("\n", 0, place) + 1
-        if word in ("login", "access:", "zugang", "account", "konto", "connect", "pdo", "mysqli", "client", "signin", "sign_in", "auth", "user", "credential") and line not in lines_noted:
+        if word in _LOGIN_CUES and line not in lines_noted:
             lines_noted.add(line)
             end = text.find("\n", line)
             whole = text[line : end if end >= 0 else len(text)]
-            call = _LOGIN_CALL.search(whole)
-            if call:
-                strings = [s for s in _STRING.finditer(whole, call.end())]
-                if len(strings) >= 2:
-                    for s in strings[1:4]:
-                        k = s.lastindex
-                        if secret_like(s[k], 2):
-                            found.append((line + s.start(k), line + s.end(k), "argument"))
-                            break
             note = _NOTE.search(whole)
             if note and (_COMMENT.search(whole, 0, note.start()) or ending in ("md", "mdx", "txt") or _COMMENT.match(whole.lstrip() + " ")):
                 for p in _NOTE_PAIR.finditer(whole, note.start(1)):
@@ -269,16 +399,6 @@ def spans(text: str, ending: str = "") -> list[tuple[int, int, str]]:
                     if v and secret_like(v, 2):
                         found.append((line + at, line + at + len(v), "note"))
                         break
-        if word in ("hmac", "cipher", "openssl_", "jwt") and line not in lines_keyed:
-            lines_keyed.add(line)
-            end = text.find("\n", line)
-            whole = text[line : end if end >= 0 else len(text)]
-            call = _KEYED_CALL.search(whole)
-            for s in _STRING.finditer(whole, call.end()) if call else ():
-                k = s.lastindex
-                if secret_like(s[k], 2) and not re.match(r"(?:sha|aes|md|hs|rs|es|des)-?\d", s[k], re.I):
-                    found.append((line + s.start(k), line + s.end(k), "argument"))
-                    break
         head = _NAME_HEAD.search(text, max(0, place - 80), place).start()
         tail = _NAME_TAIL.match(text, place).end()
         if head in done_names:

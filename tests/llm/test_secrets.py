@@ -34,6 +34,29 @@ def test_keyed_call_after_a_login_word(text):
     assert [text[s:e] for s, e, _ in spans(text, "ts")] == ["k3yLiteral99xyz"]
 
 
+@pytest.mark.parametrize(
+    ("text", "values"),
+    [
+        ("new PDO(\n  dsn,\n  user,\n  'S3cret!99'\n)", ["S3cret!99"]), ("jwt.sign(\n  payload,\n  'pl4inLiteral',\n  { algorithm: 'HS256', keyid: 'k-2024-01' }\n);", ["pl4inLiteral"]), ("client.auth('Passw0rd!9')", ["Passw0rd!9"]),
+        ("a.login('bob','Tr33house9');b.login('eve','Cl0udy-day');x(createHmac('sha256','k3yLiteral99').update('v1-payload-22'))", ["Tr33house9", "Cl0udy-day", "k3yLiteral99"]), ("// client.login(\n//   'bob',\n//   'Tr33house9'\n// );", ["Tr33house9"]),
+        ("connect('h1', opts, (e) => {\n  show('panel-2024');\n  y.login('bob', 'Tr33house9'); });\nshow('panel-2025')", ["Tr33house9"]), ("new mysqli('db-1.local', 'app_2024', 'Tr33house9', 'shop_2024')", ["Tr33house9"]),
+        ("login(user, getenv('APP_PASS_2'))", []), ("connect('db-server-1')", []), ("connect('mongodb://h/db?retry=1')", []), ("connect({ host: 'db-server-1', schema: 'shop_2024' })", []), ("connect('bob', 'Tr33house9'", ["Tr33house9"]), ("login (\nlabel(x); x = 'panel-2025'; y('panel-2026')", []),
+    ],
+)
+def test_every_call_to_its_closing_bracket(text, values):
+    assert [text[s:e] for s, e, _ in spans(text, "ts")] == values
+    assert all(v not in redact(text, spans(text, "ts")) for v in values)
+
+
+@pytest.mark.parametrize("text", ["auth('" * 20_000, "login(" * 50_000, "auth(`\\`" * 20_000, "connect(a, // login(\n" * 20_000, "login( // " * 20_000, "jwt.sign({a: [" * 20_000, "login('bob', 'Tr33house9');" * 20_000])
+def test_calls_take_linear_time(text):
+    import time
+
+    began = time.process_time()
+    spans(text, "ts")
+    assert time.process_time() - began < 20
+
+
 @pytest.mark.parametrize(("ending", "text"), CLEAN)
 def test_clean(ending, text):
     assert spans(text, ending) == []
