@@ -75,6 +75,10 @@ _PLACEHOLDER = re.compile(
     r"|[x*.#•_-]{3,}\Z|\$[A-Za-z_]\w*\Z|(?:env|vault|secret|secrets|ref|file|ssm|arn|op|kms|keyring|sops|gcp|aws|config)[:.].*|@\w+\Z|\[.*\]\Z|<.*|test|password|passwd|secret|token|key|changeit",
     re.I | re.S,
 )
+_SPACE, _WORD = re.compile(r"\s*"), re.compile(r"[\w$]+")
+_GOES_ON = re.compile(r"[ \t]*(?:\r?\n[ \t]*(?=[+.?|]))?([+.?|&]|\|\||\?\?)?")
+_KEY_RUN = re.compile(r"[A-Za-z0-9+/=]{16,}")
+_KEY_BODY = re.compile(r"(?:\\[nr]|[A-Za-z0-9+/=\s\"'+.,:-])*")
 _UPPER_NAME = re.compile(r"[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\Z")
 _PLACE = re.compile(r"(?:\.{1,2}/|/[\w.-]+(?:/[\w.-]+)*/?\Z|~/|[A-Za-z]:\\)|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?::\d+)?\Z|[\w.+-]+@[\w-]+\.[\w.]+\Z|[a-z][a-z+.-]*://")
 _ID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\Z|(?:sha\d+|md5)[-:]", re.I)
@@ -142,57 +146,79 @@ def secret_like(value: str, trust: int) -> bool:
     return digits and (kinds >= 3 or len(v) >= 10) or len(v) >= 20 and upper and lower
 
 
-def _statement(text: str, at: int, quoted_format: bool) -> Iterator[tuple[int, int, str, str]]:
-    """The string literals of the expression at ``at``: (start, end, content, name of the call or
-    the index that holds it)."""
-    depth, n = 0, len(text)
+def _statement(text: str, at: int, walked: dict[int, tuple[list, int, int, int]]) -> list[tuple[int, int, str, str]]:
+    """The string literals of the expression at ``at``, to its end: (start, end, content, name of the
+    call or the index that holds it). ``walked``, one for each text, keeps what every bracket held
+    (literals from, to, place after it or -1 if the expression ends within), so that none is lexed
+    again for the names inside it."""
+    n = len(text)
+    out: list[tuple[int, int, str, str]] = []
+    opened: list[tuple[int, int]] = []
     calls: list[str] = []
     word = ""
-    limit = min(n, at + 20_000)
-    while at < limit:
+    before = at
+    while before and text[before - 1].isspace():
+        before -= 1
+    last = text[before - 1 : before]
+    while at < n:
         c = text[at]
         if c in "'\"`":
             m = _STRING.match(text, at)
             if not m:
-                return
+                break
             k = m.lastindex
-            yield m.start(k), m.end(k), m[k], calls[-1] if calls else ""
-            at, word = m.end(), ""
-            if not depth:
-                rest = re.compile(r"[ \t]*(?:\r?\n[ \t]*(?=[+.?|]))?([+.?|&]|\|\||\?\?)?").match(text, at)
+            out.append((m.start(k), m.end(k), m[k], calls[-1] if calls else ""))
+            at, word, last = m.end(), "", c
+            if not opened:
+                rest = _GOES_ON.match(text, at)
                 if not rest[1]:
-                    return
+                    break
             continue
         if c in "([{":
-            if c == "{" and not depth:
-                return
+            if c == "{" and not opened:
+                break
+            if at in walked:
+                literals, i, j, after = walked[at]
+                out += literals[i:j]
+                if after < 0:
+                    break
+                at, word, last = after, "", text[after - 1]
+                continue
             calls.append(word if c == "(" else "[" + word if c == "[" and word else "")
-            depth += 1
+            opened.append((at, len(out)))
         elif c in ")]}":
-            if not depth:
-                return
-            depth -= 1
+            if not opened:
+                break
             calls.pop()
-        elif c == ";" or (c == "," and not depth):
-            return
-        elif c == "\n" and not depth:
+            place, i = opened.pop()
+            walked[place] = out, i, len(out), at + 1
+        elif c == ";" or (c == "," and not opened):
+            break
+        elif c == "\n" and not opened:
             # goes on only if an operator ends this line or begins the next
-            before = text[:at].rstrip()[-1:]
-            after = text[at:].lstrip()[:1] if before not in "=+?|:(,." else ""
-            if before not in "=+?|:(,." and after not in ("+", "?", "|", "."):
-                return
+            after = _SPACE.match(text, at).end()
+            if last not in "=+?|:(,." and text[after : after + 1] not in ("+", "?", "|", "."):
+                break
+            at = after
+            continue
         elif c == "/" and text[at : at + 2] in ("//", "/*") or c == "#" and text[at - 1 : at].isspace():
             end = text.find("*/" if text.startswith("/*", at) else "\n", at)
-            at = limit if end < 0 else end
+            end = n if end < 0 else end
+            at, last = end, text[at:end].rstrip()[-1:]
             continue
-        m = re.compile(r"[\w$]+").match(text, at)
+        m = _WORD.match(text, at)
         if m:
             word, at = m.group(), m.end()
+            last = word[-1]
             continue
         if not c.isspace():
+            last = c
             if c not in "([{":
                 word = ""
         at += 1
+    for place, i in opened:
+        walked[place] = out, i, len(out), -1
+    return out
 
 
 class _Frame:
@@ -343,15 +369,20 @@ def spans(text: str, ending: str = "") -> list[tuple[int, int, str]]:
         low = "".join(c if len(x := c.lower()) != 1 else x for c in text)
     done_names: set[int] = set()
     lines_noted: set[int] = set()
+    walked: dict[int, tuple[list, int, int, int]] = {}
     cues = _cues(low)
     has = {w for _, w in cues}
     if "begin " in has:
+        stop = 0
+        ends = [m.span() for m in _KEY_BLOCK_END.finditer(text)]
         for m in _KEY_BLOCK.finditer(text):
-            end = _KEY_BLOCK_END.search(text, m.end())
-            body = text[m.end() : end.start() if end else m.end() + 4000]
-            if re.search(r"[A-Za-z0-9+/=]{16,}", body):
-                stop = end.start() if end else m.end() + re.match(r"(?:\\[nr]|[A-Za-z0-9+/=\s\"'+.,:-])*", body).end()
-                found.append((m.start(), end.end() if end else stop, "key block"))
+            if m.start() < stop:
+                continue  # within the block before
+            k = bisect_left(ends, (m.end(), 0))
+            body, after = ends[k] if k < len(ends) else [_KEY_BODY.match(text, m.end()).end()] * 2
+            if _KEY_RUN.search(text, m.end(), body):
+                stop = after
+                found.append((m.start(), stop, "key block"))
     for m in _PREFIXED.finditer(text) if any(x in text for x in _PREFIXES) else ():
         if not _PLACEHOLDER.match(m.group()[4:]) and len(set(m.group()[4:])) > 5:
             found.append((m.start(), m.end(), "prefixed token"))
@@ -480,7 +511,7 @@ def spans(text: str, ending: str = "") -> list[tuple[int, int, str]]:
             continue
         if first not in "'\"`" and kind in (2, 1) and ending in ("xml",):
             continue
-        literals = [x for x in _statement(text, at, ending in BARE)]
+        literals = _statement(text, at, walked)
         usable = []
         for s, e, v, call in literals:
             if call and (LOOKUPS.match(call) or call.startswith("[")):
