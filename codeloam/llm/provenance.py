@@ -173,22 +173,29 @@ def records(text: str) -> bool:
     return False
 
 
+def _marked(top: str) -> bool:
+    """Has a head comment the mark of a generated file, in a line that is not about a generator?"""
+    for g in _GENERATED.finditer(top):
+        line = top.rfind("\n", 0, g.start()) + 1
+        if not _GENERATOR_ITSELF.search(top[line : line + 200]):
+            return True
+    return False
+
+
 def judge(kind: str, text: str, model: NameModel | None, packages: KnownPackages | None) -> tuple[str, str] | None:
     """(class, reason) of a file that is no hand-written source, else None."""
     text = text.removeprefix("﻿")
     head = _HEAD_COMMENT.match(text)
-    top = head[1][:1500] if head else ""
+    top = head[1] if head else ""
     if kind == "data":
         locked = _LOCKED.findall(text)
         if locked and ("lockfileVersion" in locked[0] or "content-hash" in text or "yarn lockfile" in text) or len(locked) >= 4 and len(locked) >= 0.12 * text.count("\n"):
             return "generated", "dependency lock"
-        if top and _GENERATED.search(top) and not _GENERATOR_ITSELF.search(top):
+        if _marked(top):
             return "generated", "header"
         return None
-    if top:
-        g = _GENERATED.search(top)
-        if g and not _GENERATOR_ITSELF.search(top[top.rfind("\n", 0, g.start()) + 1 :][:200]):
-            return "generated", "header"
+    if _marked(top):
+        return "generated", "header"
     names = _NAME.findall(text) if kind in ("js", "php") else []
     if packages is not None and names:
         i, share, covered = packages.nearest({x for x in names if len(x) > RARE})

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from codeloam.llm.provenance import NameModel, judge_files, name_trigrams, template_like
+from codeloam.llm.provenance import NameModel, judge, judge_files, name_trigrams, template_like
 
 HAND = """import { readOrder } from './orders';
 
@@ -42,6 +42,20 @@ CASES = {
 }
 
 
+LICENCE = "".join(f" * {i}. Redistributions in any form must keep this notice, with no warranty of any kind.\n" for i in range(60))
+
+
+@pytest.mark.parametrize(
+    ("kind", "text", "want"),
+    [
+        ("js", f"/*\n{LICENCE} */\n// Code generated by order-gen. DO NOT EDIT.\nexport const a = 1;\n", "generated"), ("js", f"/*\n{LICENCE} * (c) 2020 the widgetry contributors\n */\nexport const a = 1;\n", "third-party"), ("js", f"/*\n{LICENCE} */\nexport const a = 1;\n", None),
+        ("data", "# Code generated by order-gen. DO NOT EDIT.\n" + "# a setting\n" * 200 + "# builds the list\na: 1\n", "generated"), ("js", "// This tool writes: code generated by x-gen\n" + "// \n" * 99 + "// Code generated by order-gen. DO NOT EDIT.\nexport const a = 1;\n", "generated"),
+    ],
+)
+def test_whole_head_comment_is_searched(kind, text, want):
+    assert (judge(kind, text, None, None) or (None,))[0] == want
+
+
 def test_files(spark):
     rng = random.Random(3)
     rows = [("p", f, "file", f, "x", code) for f, (code, _) in CASES.items()]
