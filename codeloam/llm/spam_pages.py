@@ -56,13 +56,17 @@ FUNCTION_WORDS = frozenset(
 
 
 def parts_of(text: str) -> Iterator[tuple[str, bool]]:
-    """(line or part of a long line, is it inside a code fence)."""
-    fenced = False
-    for line in text.replace("\r", "\n").split("\n"):
+    """(line or part of a long line, is it inside a code fence). A fence that no later line of its sign
+    closes is an ordinary line."""
+    fenced, sign = False, ""
+    lines = text.replace("\r", "\n").split("\n")
+    closes = {m.group()[-1]: i for i, line in enumerate(lines) if (m := _FENCE.match(line))}
+    for i, line in enumerate(lines):
         if not line or line.isspace():
             continue
-        if _FENCE.match(line):
-            fenced = not fenced
+        fence = _FENCE.match(line)
+        if fence and (fence.group()[-1] == sign if fenced else closes[fence.group()[-1]] > i):
+            fenced, sign = not fenced, fence.group()[-1]
             yield line, True
             continue
         if len(line) <= PART or fenced:
@@ -90,8 +94,9 @@ def observe(part: str, fenced: bool, common: Callable[[], frozenset[str]]) -> st
     """The symbol of one line: p sentence, q sentence with links, g heading, s short phrase, r phrase of
     the page's most repeated words, k delimited items, l links, h hashtags, n counted tags, m menu, c code
     or log, x noise, t table row, u anything else."""
-    if fenced:
-        return "c"
+    if fenced:  # code, unless it is a list of links or tags
+        found = "c" if _CODE.match(part.strip()) else observe(part, False, common)
+        return found if found in "lhnk" else "c"
     s = part.strip()
     n = len(s)
     linked = "://" in s or "](" in s or "href=" in s or "/" in s and _LINKISH.search(s) is not None

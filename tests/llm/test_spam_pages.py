@@ -14,6 +14,17 @@ PAGES = {
 }
 
 
+def test_fences():
+    def symbols(lines):
+        return read_page("\n".join(lines))[0]
+
+    assert symbols(LINKS).count("l") == len(LINKS)
+    assert symbols(["```", *LINKS]).count("l") == len(LINKS)  # never closed
+    assert symbols(["```js", "const a = 1;", "~~~", "run x", "```", "~~~", *PROSE]) == "cccccu" + symbols(PROSE)
+    assert symbols(["```", *LINKS, "```"]).count("l") == len(LINKS)
+    assert set(symbols(["```sh", "npm run build", "make all", "const a = [1, 2];", "```"])) == {"c"}
+
+
 def test_pages(spark):
     rows = [(i, text, "x") for i, (text, _) in enumerate(PAGES.values())] + [(1000 + i, "\n".join(PROSE[i % 4 :]), "x") for i in range(40)] + [(0, PAGES["prose"][0], "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, seen string").repartition(3)
