@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,34 +17,72 @@ from codeloam.session import materialise
 
 #: States: what a line is. ``other`` holds code, logs, data and noise, which are no spam.
 STATES = ("prose", "links", "tags", "menu", "other")
-#: Observations, one for each line (or each part of a long one).
-SYMBOLS = "pqgsrklhnmcxtu"
-#: First guess of what each state shows, as shares; re-estimated from all documents.
-_GUESS = {
-    "prose": dict(p=70, q=10, g=8, s=5, t=4, u=2, k=0.6, r=0.5, l=0.3, c=0.2, m=0.1, h=0.05, n=0.05, x=0.1),
-    "links": dict(l=80, q=1.5, s=3, u=4, g=2, p=0.8, k=2, r=2, m=2, t=1, c=0.2, h=0.2, n=0.2, x=0.1),
-    "tags": dict(k=35, r=30, h=14, n=10, s=6, u=2, g=1.5, p=0.7, l=0.6, m=1, t=0.5, q=0.2, c=0.2, x=0.2),
-    "menu": dict(m=75, s=8, u=5, k=5, l=3, r=2, g=1, p=0.5, h=0.2, n=0.5, t=0.5, q=0.2, c=0.2, x=0.1),
-    "other": dict(c=62, x=10, s=6, u=6, t=8, p=2.5, g=1, q=0.5, l=0.5, k=0.6, r=0.8, m=0.4, h=0.1, n=0.1),
+#: What is seen of a line: for each feature its bins, and the first guess of how each state spreads over
+#: them (as shares). A line's observation is one bin of each feature; none of them names a state.
+FEATURES: dict[str, tuple[int, dict[str, list[float]]]] = {
+    # share of the visible characters in links: none, to 0.25, 0.5, 0.75, more
+    "linked": (5, dict(prose=[70, 20, 8, 1, 1], links=[2, 3, 10, 35, 50], tags=[94, 3, 1, 1, 1], menu=[80, 8, 4, 4, 4], other=[90, 5, 2, 2, 1])),
+    # share of function words: none, to 0.06, 0.12, 0.2, 0.3, more; the same for scripts without blanks
+    "functional": (12, dict(prose=[6, 5, 10, 25, 30, 24, 2, 4, 10, 25, 30, 29], links=[80, 8, 5, 4, 2, 1, 80, 8, 4, 4, 2, 2], tags=[60, 18, 12, 6, 2, 2, 70, 14, 8, 4, 2, 2], menu=[80, 8, 5, 4, 2, 1, 80, 8, 4, 4, 2, 2], other=[70, 8, 8, 7, 4, 3, 76, 10, 8, 4, 1, 1])),
+    # words between separators: no separator, to 1.5, 2.5, 4, 7, more
+    "item": (6, dict(prose=[45, 1, 2, 7, 15, 30], links=[50, 10, 15, 15, 5, 5], tags=[40, 15, 20, 18, 6, 1], menu=[20, 35, 30, 10, 4, 1], other=[50, 14, 14, 11, 6, 5])),
+    # how it ends: a full stop or the like, a colon, inner full stops only, none, a semicolon or brace
+    "end": (5, dict(prose=[78, 6, 6, 9.5, 0.5], links=[3, 2, 10, 84, 1], tags=[16, 2, 2, 79, 1], menu=[3, 3, 4, 89, 1], other=[8, 7, 15, 45, 25])),
+    # words: none, to 2, 5, 10, 25, more
+    "length": (6, dict(prose=[1, 3, 8, 22, 53, 13], links=[12, 25, 38, 15, 7, 3], tags=[4, 20, 28, 16, 17, 15], menu=[2, 20, 30, 25, 20, 3], other=[10, 28, 28, 20, 10, 4])),
+    # share of words that the page repeats: none, to 0.15, 0.3, 0.5, 0.75, more; the same without blanks
+    "repeated": (12, dict(prose=[40, 24, 22, 11, 2, 0.5, 30, 12, 16, 20, 12, 10], links=[35, 15, 20, 15, 8, 7, 30, 14, 14, 14, 14, 14], tags=[12, 5, 8, 15, 25, 35, 6, 4, 10, 20, 25, 35], menu=[50, 15, 13, 12, 6, 4, 40, 12, 12, 12, 12, 12], other=[38, 12, 15, 14, 11, 10, 40, 12, 12, 12, 12, 12])),
+    # share of distinct words, of lines of six words and more: fewer words, to 0.4, 0.6, 0.8, more
+    "varied": (5, dict(prose=[20, 0.2, 0.6, 18, 61], links=[75, 3, 4, 8, 10], tags=[50, 15, 17, 13, 5], menu=[50, 3, 5, 17, 25], other=[60, 5, 7, 13, 15])),
+    # share of code marks: none, to 0.03, 0.07, 0.14, more; the line is fenced
+    "marks": (6, dict(prose=[62, 20, 10, 5, 2, 1], links=[60, 14, 10, 8, 7, 1], tags=[82, 10, 4, 2, 1, 1], menu=[80, 10, 4, 3, 2, 1], other=[20, 6, 8, 14, 27, 25])),
+    # share of digits: none, to 0.06, 0.15, 0.4, more
+    "digits": (5, dict(prose=[66, 22, 9, 2, 1], links=[74, 14, 8, 3, 1], tags=[72, 20, 7, 0.9, 0.1], menu=[85, 8, 4, 2, 1], other=[25, 15, 20, 25, 15])),
+    # share of words that are hashtags or have a count after them: none, to 0.25, 0.6, more
+    "tagged": (4, dict(prose=[97, 2, 0.5, 0.5], links=[97, 1, 1, 1], tags=[60, 6, 9, 25], menu=[97, 1, 1, 1], other=[95, 3, 1, 1])),
+    # how it begins: plain, heading, list item, table, quote or remark, markup
+    "start": (6, dict(prose=[64, 10, 16, 5, 4, 1], links=[44, 4, 36, 3, 1, 12], tags=[77, 6, 13, 0.5, 2, 1], menu=[75, 4, 14, 1, 1, 5], other=[60, 6, 6, 14, 6, 8])),
+    # arrows and bars between words: none, one, more
+    "arrows": (3, dict(prose=[95, 4, 1], links=[92, 5, 3], tags=[82, 5, 13], menu=[8, 12, 80], other=[82, 8, 10])),
+    # characters a word: to 3, 8, 12, 25, 45, more; a script without blanks
+    "width": (7, dict(prose=[3, 87, 6, 2, 0.8, 0.2, 1], links=[4, 60, 20, 8, 5, 1, 2], tags=[3, 68, 15, 9, 1.9, 0.1, 3], menu=[4, 70, 15, 6, 2.8, 0.2, 2], other=[15, 35, 16, 12, 8, 12, 2])),
 }
+#: A line's features depend on each other, so their evidence counts less than its sum.
+EVIDENCE = 0.5
 _STAY = 0.85
 #: Parts of a long line are at most about this long.
 PART = 240
 
 _LINKISH = re.compile(r"://|\bhref=|\]\(|\bwww\.|[\w-]+\.(?:com|org|net|io|test|example|invalid|info|biz|ru|cn|de|co|dev|app)/")
-_LINK = re.compile(r"<a\b[^>]*>|</a>|!?\[[^\]\n]{0,200}\]\([^)\s]*\)|\[[^\]\n]{0,120}\]:\s*\S+(?:\s+\"[^\"\n]*\")?|(?:https?://|ftp://|www\.)[^\s<>\"')\]]+|\b[\w-]+(?:\.[\w-]+)*\.(?:com|org|net|io|test|example|invalid|info|biz|ru|cn|de|co|dev|app)/[^\s<>\"')\]]*|</?(?:ul|ol|li|nav|div|p|br|span|td|tr)\b[^>]*>")
+_LINK = re.compile(r"\[\[[^\]\n]+\]\]|<a\b[^>]*>[^<]*</a>|<a\b[^>]*>|</a>|!?\[(?:!\[[^\]\n]*\]\([^)\s]*\)|[^\]\n])*\]\([^)\s]*\)|\[[^\]\n]*\]:\s*\S+(?:\s+\"[^\"\n]*\")?|(?:https?://|ftp://|www\.)[^\s<>\"')\]]+|\b[\w-]+(?:\.[\w-]+)*\.(?:com|org|net|io|test|example|invalid|info|biz|ru|cn|de|co|dev|app)/[^\s<>\"')\]]*")
+_MARKUP = re.compile(r"</?(?:ul|ol|li|nav|div|p|br|span|td|tr)\b[^>]*>")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯ก-๿]")
-_STOP = re.compile(r"[。！？]")
-_KANA = re.compile(r"[぀-ゟ]")
 _END = re.compile(r"[.!?…。！？][\"'”’)\]*_`]*\s*(?:\(?\[[^\]]*\]\([^)]*\)\)?)?\s*\|?\s*\Z|:\s*\Z")
 _SENTENCE_CUT = re.compile(r"(?<=[.!?])\s+(?=[^\s])|(?<=[。！？])")
-_CODE = re.compile(r"\s*(?:[{}\[\]();]+,?\s*\Z|\"[^\"]+\"\s*:|at [\w$.<>]+ ?\(|\d{4}-\d\d-\d\d[ T]\d\d:\d\d|<\?|#!|import |export |const |let |var |function |class |return\b|if ?\(|for ?\(|while ?\(|switch ?\(|case |default:|break;|try ?\{|\} ?catch|throw |public |private |\$\w+|[\w-]+-tool\b|commit [0-9a-f]{20,}|Author: |[-+]?[\d.,\s]+\Z|```|~~~|@@|diff )|.*[;{}]\s*\Z|.*\) ?(?:=>|\{)")
 _FENCE = re.compile(r"\s*(?:```|~~~)")
-_ITEMS = re.compile(r"\s*(?:[,;|·•、，；｜]|\s[-–*/]\s)\s*")
-_COUNTED = re.compile(r"[^\W\d_]+\s?\(\d+\)|[^\W\d_]+ ×\d+|[^\W\d_]+:\s?\d+(?=\s|,|\Z)")
-_HEADING = re.compile(r"\s{0,3}#{1,6}\s|\s*={3,}\s*\Z|\s*-{3,}\s*\Z")
-_MENU = re.compile(r"(?:[^>»›→\n]{1,40}\s[>»›→]\s){2,}|^(?:[^|\n]{1,25}\s\|\s){3,}[^|\n]{1,25}$")
+_COUNTED = re.compile(r"(?<=[^\W\d_])\s?(?:\(\d+\)|×\d+)|(?<=[^\W\d_]):\s?\d+(?=\s|,|\Z)")
+_START = re.compile(r"(#{1,6}\s|={3,}\s*\Z|-{3,}\s*\Z)|([-*+•]\s|\d+[.)]\s)|(\|)|(>|//|/\*|\*/)|(<)")
+_WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯ก-๿]")
+#: Classes of characters, each with a bit.
+DIGIT, MARK, SEPARATOR, WIDE, PARTICLE, BLANK, DASH, ARROW = (1 << i for i in range(8))
+# The characters of each class; particles and function characters of Japanese and Chinese.
+_CLASSES = {
+    DIGIT: "0123456789", MARK: "{}()=<>$[]\\@`\"", SEPARATOR: ",;|·•、，；｜#", BLANK: " \t\u3000", DASH: "/-–—*~", ARROW: ">»›→|",
+    PARTICLE: "はをにがでのともへやかられますだるいくきむ的了是在会将从后和与或不如果先然本再被把就也都这那有为以上下中",
+}
+_WIDE_RANGES = ((0x3040, 0x30FF), (0x3400, 0x9FFF), (0xAC00, 0xD7AF), (0x0E00, 0x0E7F))
+
+
+@cache
+def _character_classes() -> np.ndarray:
+    table = np.zeros(0x110000, np.uint8)
+    for a, b in _WIDE_RANGES:
+        table[a : b + 1] |= WIDE
+    for bit, signs in _CLASSES.items():
+        table[[ord(c) for c in signs]] |= bit
+    return table
+
+
 # Common function words of the languages that use spaces.
 FUNCTION_WORDS = frozenset(
     "a about after all also an and any are as at be because been before but by can do does each for from had has have how if in into is it its many may more most must no not nor of off on once one only or other otherwise our over per so some than that the their them then there these they this those to too under until up upon usually was we were what when where which while who why will with without would you your"
@@ -69,7 +108,7 @@ def parts_of(text: str) -> Iterator[tuple[str, bool]]:
             fenced, sign = not fenced, fence.group()[-1]
             yield line, True
             continue
-        if len(line) <= PART or fenced:
+        if len(line) <= PART:
             yield line, fenced
             continue
         held = ""
@@ -90,89 +129,116 @@ def parts_of(text: str) -> Iterator[tuple[str, bool]]:
             yield held, fenced
 
 
-def observe(part: str, fenced: bool, common: Callable[[], frozenset[str]]) -> str:
-    """The symbol of one line: p sentence, q sentence with links, g heading, s short phrase, r phrase of
-    the page's most repeated words, k delimited items, l links, h hashtags, n counted tags, m menu, c code
-    or log, x noise, t table row, u anything else."""
-    if fenced:  # code, unless it is a list of links or tags
-        found = "c" if _CODE.match(part.strip()) else observe(part, False, common)
-        return found if found in "lhnk" else "c"
-    s = part.strip()
-    n = len(s)
-    linked = "://" in s or "](" in s or "href=" in s or "/" in s and _LINKISH.search(s) is not None
-    if not linked and s[-1] in ".!?:":  # the usual sentence, without any pattern
-        tokens = s.lower().split()
-        f = sum(map(FUNCTION_WORDS.__contains__, tokens))
-        if len(tokens) >= 4 and f >= 0.2 * len(tokens) and s[0] not in "#|" and not (tokens[0] == "at" and "(" in s):
-            return "p"
-    if linked:
-        rest = _LINK.sub(" ", s)
-        words = rest.lower().split()
-        if len(words) >= 6 and sum(map(FUNCTION_WORDS.__contains__, words)) >= max(2, 0.2 * len(words)) or len(_KANA.findall(rest)) >= 4 or len(_WIDE.findall(rest)) >= 6 and _STOP.search(rest):
-            return "q"
-        if n - len(rest.strip()) >= 0.4 * n or len(words) <= 8:
-            return "m" if _MENU.search(rest) and n - len(rest.strip()) < 0.3 * n else "l"
-    if s.count("#") >= 2 and sum(w[0] == "#" and len(w) > 1 for w in s.split()) >= 0.6 * len(s.split()) or s[0] == "#" and n > 1 and s[1] not in "# \t\xa0" and " " not in s:
-        return "h"
-    if ("(" in s or "×" in s or ":" in s) and (len(_COUNTED.findall(s)) >= 3 or _COUNTED.fullmatch(s) and ":" not in s):
-        return "n"
-    if _HEADING.match(s):
-        return "g"
-    if _MENU.search(s):
-        return "m"
-    words = [w.lower() for w in _WORD.findall(s)]
-    wide = 0 if s.isascii() else len(_WIDE.findall(s))
-    if wide >= 4 and (wide > n / 5 or _STOP.search(s)):
-        kana = len(_KANA.findall(s))
-        items = [x for x in _ITEMS.split(s) if x]
-        if _STOP.search(s) and len(items) < 3 + n / 8 or kana > wide / 5 and len(items) < 3 + n / 15:
-            return "p"
-        if len(items) >= 3 or not kana and " " in s:
-            return "k"
-        return "p" if _END.search(s) or kana else "r" if len(items) > 1 or wide < 16 else "u"
-    if not words:
-        return "x" if n > 30 else "u"
-    if n > 60 and len(s.split()) <= n / 45:
-        return "x"
-    functional = sum(w in FUNCTION_WORDS for w in words)
-    if _CODE.match(s) and functional < 0.3 * len(words):
-        return "c"
-    items = [x for x in _ITEMS.split(s) if x]
-    if s[0] == "|" and s.count("|") > 2:
-        return "p" if functional >= 5 else "t"
-    ended = _END.search(s) is not None
-    varied = len(set(words)) > 0.75 * len(words)
-    if ended and len(words) >= 4 and (functional >= 0.15 * len(words) or functional and varied and len(words) > 3 * len(items)):
-        return "p"
-    if len(words) >= 8 and functional >= 0.25 * len(words) and len(items) < 3 + len(words) / 6:
-        return "p"
-    if len(items) >= 4 and len(words) <= (3 if ended and varied else 6) * len(items) and functional < 0.25 * len(words):
-        return "k"
-    often = common()
-    if sum(w in often for w in words) >= 0.5 * len(words) and functional <= 0.2 * len(words):
-        return "r"
-    if len(words) <= 8:
-        return "s"
-    return "r" if functional < 0.12 * len(words) else "u"
-
-
-def read_page(text: str | None) -> tuple[str, list[int]]:
-    """(symbols of a page's lines, their visible characters)."""
-    if not text or text.isspace():
-        return "", []
-    parts = [p for p in parts_of(text.replace("\xa0", " ").replace("\u200b", "")) if not p[0].isspace()]
-
-    @cache
-    def common() -> frozenset[str]:
-        counts = Counter(w.lower() for w in _WORD.findall(_LINK.sub(" ", text) if _LINKISH.search(text) else text))
+_ROOM = len(FEATURES)
+
+
+def _bins(values: np.ndarray, edges: tuple[float, ...]) -> np.ndarray:
+    """0 for none, else 1 and the number of edges below."""
+    return np.where(values <= 0, 0, np.searchsorted(edges, values) + 1)
+
+
+def read_pages(texts: list[str | None]) -> list[tuple[bytes, np.ndarray]]:
+    """(observations of a page's lines, one byte a feature; their visible characters) of each text."""
+    lines: list[str] = []  # without links
+    words: list[list[str]] = []
+    # of each line: visible characters, those outside links, fenced, tags, start, end, function words, repeated, distinct
+    facts: list[tuple] = []
+    ends: list[int] = []
+    for text in texts:
+        first = len(facts)
+        for part, fenced in parts_of(text.replace("\xa0", " ").replace("\u200b", "")) if text and not text.isspace() else ():
+            s = rest = part.strip()
+            if not s:
+                continue
+            visible = outside = len(s) - s.count(" ")
+            if "://" in s or "](" in s or "href=" in s or "[[" in s or "/" in s and _LINKISH.search(s):
+                rest = _LINK.sub(" ", s)
+                if "<" in rest and len(rest) < 0.9 * len(s):
+                    rest = _MARKUP.sub(" ", rest)
+                outside = len(rest) - rest.count(" ")
+            tagged = 0
+            if "(" in rest or "×" in rest or ":" in rest:
+                rest, tagged = _COUNTED.subn("", rest)
+            start = _START.match(s)
+            if start and start[3]:
+                rest = rest.replace("|", " ")
+            low = rest.lower()
+            tokens = low.split()
+            if "#" in low:
+                tagged += sum(w[0] == "#" and len(w) > 1 and w[1] not in "#0123456789" for w in tokens)
+            last = rest.rstrip("\"'”’)]*_`| ")[-1:]
+            end = 0 if last and last in ".!?…。！？" else 1 if last == ":" else 4 if last and last in ";{}" else 2 if ". " in rest or "。" in rest else 3
+            known = tokens if low.isascii() or not _WIDE.search(low) else _WORD.findall(low)
+            distinct = len(set(known)) / len(known) if len(known) > 5 else 2.0
+            functional = sum(map(FUNCTION_WORDS.__contains__, tokens))
+            facts.append((visible, outside, fenced, tagged, start.lastindex if start else 0, end, functional, len(tokens), distinct))
+            lines.append(rest)
+            words.append(known)
+        # words (no function words) that make at least a fortieth of the page, and occur four times
+        counts = Counter(chain.from_iterable(words[first:]))
         least = max(4, 0.025 * sum(counts.values()))
-        return frozenset(w for w, c in counts.most_common(12) if c >= least and w not in FUNCTION_WORDS)
+        common = {w for w, c in counts.items() if c >= least and 1 < len(w) < 25 and w not in FUNCTION_WORDS}
+        for i in range(first, len(facts)):
+            w = words[i]
+            facts[i] += (sum(map(common.__contains__, w)) / len(w) if w and common else 0.0,)
+        ends.append(len(facts))
+    if not facts:
+        return [(b"", np.zeros(0, np.int32))] * len(texts)
+    visible, outside, fenced, tagged, start, end, functional, tokens, distinct, often = np.array(facts, np.float64).T
+    sizes = np.array([len(x) + 1 for x in lines])
+    kinds = _character_classes()[np.frombuffer("\n".join([*lines, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    begins = np.cumsum(sizes) - sizes
+    count = lambda mask: np.add.reduceat(mask, begins, dtype=np.int64)
+    of = lambda bit: count((kinds & bit) != 0)
+    n = np.maximum(1, sizes - 1)
+    spaced = np.zeros(len(kinds), bool)  # between blanks
+    spaced[1:-1] = ((kinds[:-2] & BLANK) != 0) & ((kinds[2:] & BLANK) != 0)
+    wide, blanks = of(WIDE), of(BLANK)
+    unspaced = (wide > n / 5) & (wide >= 4)
+    length = np.where(unspaced, np.maximum(1, wide // 2), tokens)
+    separators = of(SEPARATOR) + count(spaced & ((kinds & DASH) != 0)) + np.where(unspaced, blanks, 0)
+    arrows = np.where(start == 3, 0, count(spaced & ((kinds & ARROW) != 0)))
+    share = np.where(unspaced, of(PARTICLE) / 2, functional) / np.maximum(1, length)
+    seen = np.stack(
+        [
+            _bins(1 - outside / np.maximum(1, visible), (0.25, 0.5, 0.75)),
+            _bins(share, (0.06, 0.12, 0.2, 0.3)) + 6 * unspaced,
+            np.where(separators == 0, 0, np.searchsorted((1.5, 2.5, 4, 7), length / (separators + 1)) + 1),
+            end,
+            _bins(length, (2, 5, 10, 25)),
+            _bins(often, (0.15, 0.3, 0.5, 0.75)) + 6 * unspaced,
+            np.where(distinct > 1, 0, np.searchsorted((0.4, 0.6, 0.8), distinct) + 1),
+            np.where(fenced > 0, 5, _bins(of(MARK) / n, (0.03, 0.07, 0.14))),
+            _bins(of(DIGIT) / n, (0.06, 0.15, 0.4)),
+            _bins(tagged / np.maximum(1, tokens), (0.25, 0.6)),
+            start,
+            np.minimum(2, arrows),
+            np.where(unspaced, 6, np.searchsorted((3, 8, 12, 25, 45), n / np.maximum(1, tokens))),
+        ],
+        axis=1,
+    ).astype(np.uint8)
+    return [(seen[a:b].tobytes(), visible[a:b].astype(np.int32)) for a, b in zip([0, *ends], ends)]
+
+
+#: Where each feature's bins begin in one row of a state's emissions.
+_FROM = np.concatenate([[0], np.cumsum([n for n, _ in FEATURES.values()])]).astype(np.int64)
+BINS = int(_FROM[-1])
+_AT = dict(zip(FEATURES, _FROM.tolist()))
+#: Runs of bins that share 1. The script is no evidence: features that are read in two ways share 1 for
+#: each, and the width of a line without blanks says nothing.
+_RUNS = [(a, b) for a, b in zip(_FROM.tolist(), _FROM[1:].tolist()) if a not in (_AT["functional"], _AT["repeated"], _AT["width"])]
+_RUNS += [(_AT[f] + i, _AT[f] + i + 6) for f, i in (("functional", 0), ("functional", 6), ("repeated", 0), ("repeated", 6), ("width", 0))]
+_RUNS += [(_AT["width"] + 6, _AT["width"] + 7)]
+
 
-    return "".join([observe(p, f, common) for p, f in parts]), [len(p) - p.count(" ") for p, _ in parts]
+def _places(seen: bytes) -> np.ndarray:
+    """Lines by features: the column of each observed bin in the emissions."""
+    return np.frombuffer(seen, np.uint8).reshape(-1, _ROOM) + _FROM[:-1]
 
 
 class LineModel:
-    """Hidden Markov model with discrete observations; log shares."""
+    """Hidden Markov model; a line's observation is one bin of each feature, independent given the
+    state. Kept as logarithms of shares."""
 
     def __init__(self, start: np.ndarray, step: np.ndarray, show: np.ndarray):
         self.start, self.step, self.show = (np.log(x) for x in (start, step, show))
@@ -180,31 +246,36 @@ class LineModel:
     @classmethod
     def guess(cls) -> LineModel:
         k = len(STATES)
-        show = np.array([[_GUESS[s].get(c, 0.05) for c in SYMBOLS] for s in STATES])
+        show = np.array([np.concatenate([f[s] for _, f in FEATURES.values()]) for s in STATES], np.float64)
+        for a, b in _RUNS:
+            show[:, a:b] /= show[:, a:b].sum(1, keepdims=True)
         step = np.full((k, k), (1 - _STAY) / (k - 1))
         np.fill_diagonal(step, _STAY)
-        return cls(np.full(k, 1 / k), step, show / show.sum(1, keepdims=True))
+        return cls(np.full(k, 1 / k), step, show)
 
-    def label(self, pages: list[str]) -> list[np.ndarray]:
+    def evidence(self, seen: bytes) -> np.ndarray:
+        """Lines by states: how well each state explains the line."""
+        return EVIDENCE * self.show[:, _places(seen)].sum(2).T
+
+    def label(self, pages: list[bytes]) -> list[np.ndarray]:
         """Most likely states of each page's lines (Viterbi, many pages at a time)."""
         out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(pages)
         order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: -len(pages[i]))
-        place = {c: i for i, c in enumerate(SYMBOLS)}
         for a in range(0, len(order), 256):
             some = order[a : a + 256]
-            sizes = np.array([len(pages[i]) for i in some])
-            seen = np.zeros((len(some), sizes[0]), np.int64)
-            for row, i in enumerate(some):
-                seen[row, : sizes[row]] = [place[c] for c in pages[i]]
-            best = self.start + self.show[:, seen[:, 0]].T
+            sizes = np.array([len(pages[i]) // _ROOM for i in some])
+            ends = np.cumsum(sizes)
+            shown = self.evidence(b"".join([pages[i] for i in some]))
+            first = ends - sizes
+            best = self.start + shown[first]
             back = np.zeros((sizes[0], len(some), len(STATES)), np.int8)
             for t in range(1, sizes[0]):
                 m = int((sizes > t).sum())  # pages come longest first
                 via = best[:m, :, None] + self.step
                 back[t, :m] = via.argmax(1)
-                best[:m] = via.max(1) + self.show[:, seen[:m, t]].T
+                best[:m] = via.max(1) + shown[first[:m] + t]
             state = best.argmax(1)
-            paths = np.zeros(seen.shape, np.int8)
+            paths = np.zeros((len(some), sizes[0]), np.int8)
             for t in range(sizes[0] - 1, -1, -1):
                 m = int((sizes > t).sum())
                 paths[:m, t] = state[:m]
@@ -215,52 +286,57 @@ class LineModel:
 
 
 def observe_pages(documents: DataFrame, item_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``item_id``, ``seen`` (one symbol for each line) and ``size`` (visible characters of each)."""
+    """``item_id``, ``seen`` (one byte a feature for each line) and ``size`` (visible characters of each
+    line)."""
     kind = dict(documents.dtypes)[item_id]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pages = [read_page(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p[0] for p in pages], pa.string()), pa.array([p[1] for p in pages], pa.list_(pa.int32()))], names=[item_id, "seen", "size"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                pages = read_pages(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([p[0] for p in pages], pa.binary()), pa.array([p[1] for p in pages], pa.list_(pa.int32()))], names=[item_id, "seen", "size"])
 
-    return documents.select(F.col(item_id), F.col(text).alias("__text")).mapInArrow(run, f"`{item_id}` {kind}, seen string, size array<int>")
+    return documents.select(F.col(item_id), F.col(text).alias("__text")).mapInArrow(run, f"`{item_id}` {kind}, seen binary, size array<int>")
 
 
-def train(observed: DataFrame, rounds: int = 2, weight: float = 200.0) -> LineModel:
-    """Re-estimates the model from all pages (Viterbi training). The first guess stays in as
-    ``weight`` lines a state, so that a corpus without some kind of line keeps its meaning. Counts are
-    summed in each task; what comes back is a table of states by states and symbols."""
-    model = LineModel.guess()
-    prior = LineModel.guess()
-    k, v = len(STATES), len(SYMBOLS)
+def train(observed: DataFrame, rounds: int = 2, weight: float = 2000.0) -> LineModel:
+    """Re-estimates steps and emissions from all pages (Viterbi training); a page may begin with any kind
+    of line. The first guess counts as ``weight`` lines a state. Counts are summed in each task; what comes back is a table of states by
+    states and bins."""
+    model = prior = LineModel.guess()
+    k = len(STATES)
     for _ in range(rounds):
 
         def count(batches: Iterator[pa.RecordBatch], model: LineModel = model) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((k, 1 + k + v))
-            place = {c: i for i, c in enumerate(SYMBOLS)}
+            total = np.zeros((k, k + BINS))
             for batch in batches:
                 pages = batch.column(0).to_pylist()
                 for page, path in zip(pages, model.label(pages)):
                     if page:
-                        total[path[0], 0] += 1
-                        np.add.at(total, (path[:-1], 1 + path[1:]), 1)
-                        np.add.at(total, (path, 1 + k + np.array([place[c] for c in page])), 1)
+                        np.add.at(total, (path[:-1], path[1:]), 1)
+                        np.add.at(total, (path[:, None], k + _places(page)), 1)
             at, to = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(to, pa.int32()), pa.array(total[at, to])], names=["state", "place", "n"])
 
         rows = observed.select("seen").mapInArrow(count, "state int, place int, n double").groupBy("state", "place").agg(F.sum("n").alias("n")).collect()
-        total = np.zeros((k, 1 + k + v))
+        total = np.zeros((k, k + BINS))
         for r in rows:
             total[r["state"], r["place"]] = r["n"]
-        start = total[:, 0] + weight * np.exp(prior.start)
-        step = total[:, 1 : 1 + k] + weight * np.exp(prior.step)
-        # a state keeps at least half of its first meaning: hard labels else drift to the largest state
-        seen = total[:, 1 + k :] + weight * np.exp(prior.show)
-        show = 0.5 * seen / seen.sum(1, keepdims=True) + 0.5 * np.exp(prior.show)
-        model = LineModel(start / start.sum(), step / step.sum(1, keepdims=True), show)
+        model = estimated(total, prior, weight)
     return model
 
 
+def estimated(total: np.ndarray, prior: LineModel, weight: float) -> LineModel:
+    """The model of counted steps and bins, with the prior as so many lines a state."""
+    k = len(STATES)
+    step = total[:, :k] + weight * np.exp(prior.step)
+    show = total[:, k:] + weight * np.exp(prior.show)
+    for a, b in _RUNS:
+        show[:, a:b] /= show[:, a:b].sum(1, keepdims=True)
+    return LineModel(np.exp(prior.start), step / step.sum(1, keepdims=True), show)
+
+
 def spam_shares(documents: DataFrame, item_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``item_id`` and the shares ``links``, ``tags``, ``menu`` and ``spam`` (their sum) of its visible
     characters; one row for each row of ``documents``. Null, empty and blank texts have shares of 0."""

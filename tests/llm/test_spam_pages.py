@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from codeloam.llm.spam_pages import STATES, SYMBOLS, LineModel, read_page, spam_shares
+from codeloam.llm.spam_pages import BINS, FEATURES, STATES, LineModel, estimated, read_pages, spam_shares
 
 PROSE = ["The batch command reads a batch file and prints one batch per line.", "If the queue is missing, the worker returns an empty list and logs a warning.", "During the migration the old table stays readable for two weeks.", "Why was the port changed? Because the proxy no longer listens on it."] * 3
 LINKS = [f"- [tool {i}](https://site{i}.example/a/b)" for i in range(14)]
@@ -15,14 +15,20 @@ PAGES = {
 
 
 def test_fences():
-    def symbols(lines):
-        return read_page("\n".join(lines))[0]
+    model = LineModel.guess()
+    marks = list(FEATURES).index("marks")
 
-    assert symbols(LINKS).count("l") == len(LINKS)
-    assert symbols(["```", *LINKS]).count("l") == len(LINKS)  # never closed
-    assert symbols(["```js", "const a = 1;", "~~~", "run x", "```", "~~~", *PROSE]) == "cccccu" + symbols(PROSE)
-    assert symbols(["```", *LINKS, "```"]).count("l") == len(LINKS)
-    assert set(symbols(["```sh", "npm run build", "make all", "const a = [1, 2];", "```"])) == {"c"}
+    def states(lines):
+        seen, size = read_pages(["\n".join(lines)])[0]
+        assert len(seen) == len(size) * len(FEATURES)
+        fenced = [x == 5 for x in seen[marks :: len(FEATURES)]]
+        return [STATES[i] for i in model.label([seen])[0]], fenced
+
+    assert states(LINKS)[0].count("links") == len(LINKS)
+    assert states(["```", *LINKS])[0].count("links") >= len(LINKS)  # never closed
+    assert states(["```js", "const a = 1;", "~~~", "run x", "```", "~~~", *PROSE])[1] == [True] * 5 + [False] * (1 + len(PROSE))
+    assert states(["```", *LINKS, "```"])[0].count("links") >= len(LINKS)
+    assert set(states(["```sh", "npm run build", "make all", "const a = [1, 2];", "```"])[0]) == {"other"}
 
 
 def test_pages(spark):
@@ -39,14 +45,22 @@ def test_viterbi_equals_all_paths():
     import itertools
 
     m = LineModel.guess()
-    place = {c: i for i, c in enumerate(SYMBOLS)}
-    for page in ("plkh", "c", "ssl", "rrpp"):
-        best = max(itertools.product(range(len(STATES)), repeat=len(page)), key=lambda p: m.start[p[0]] + sum(m.step[a, b] for a, b in zip(p, p[1:])) + sum(m.show[s, place[c]] for s, c in zip(p, page)))
-        assert m.label(["", page, page + page])[1].tolist() == list(best)
-    assert [len(x) for x in m.label(["", "p" * 3000])] == [0, 3000] and np.allclose(np.exp(m.step).sum(1), 1)
+    pages = [p for p, _ in read_pages(["\n".join(x) for x in (LINKS[:2] + PROSE[:2], ["const a = 1;"], ["buy cheap tool", "Home > A > B", "tag (3)"], PROSE[:4])])]
+    assert [p for p, _ in read_pages([None, "", " \n"])] == [b""] * 3
+    for page in pages:
+        shown = m.evidence(page)
+        best = max(itertools.product(range(len(STATES)), repeat=len(shown)), key=lambda p: m.start[p[0]] + sum(m.step[a, b] for a, b in zip(p, p[1:])) + sum(shown[i, s] for i, s in enumerate(p)))
+        assert m.label([b"", page, page + page])[1].tolist() == list(best)
+    assert [len(x) for x in m.label([b"", pages[1] * 3000])] == [0, 3000] and np.allclose(np.exp(m.step).sum(1), 1)
+
+
+def test_estimates_without_pages_are_the_first_guess():
+    prior = LineModel.guess()
+    same = estimated(np.zeros((len(STATES), len(STATES) + BINS)), prior, 10.0)
+    assert np.allclose(same.show, prior.show) and np.allclose(same.step, prior.step)
 
 
-@pytest.mark.parametrize("text", ["a" * 200_000, "# " * 9999, "x, " * 20_000, "\r" * 999, "[](" * 5000, "🙂 " * 5000, "​\xa0 \n​"])
+@pytest.mark.parametrize("text", ["a" * 200_000, "# " * 9999, "x, " * 20_000, "\r" * 999, "[](" * 5000, "```\n" + "[" * 200_000 + "\n```", "🙂 " * 5000, "​\xa0 \n​"])
 def test_long_and_odd_texts(text):
-    seen, size = read_page(text)
-    assert len(seen) == len(size)
+    seen, size = read_pages([text, "One line."])[0]
+    assert len(seen) == len(size) * len(FEATURES)
