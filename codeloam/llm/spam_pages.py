@@ -44,8 +44,8 @@ FEATURES: dict[str, tuple[int, dict[str, list[float]]]] = {
     "start": (6, dict(prose=[64, 10, 16, 5, 4, 1], links=[44, 4, 36, 3, 1, 12], tags=[77, 6, 13, 0.5, 2, 1], menu=[75, 4, 14, 1, 1, 5], other=[60, 6, 6, 14, 6, 8])),
     # arrows and bars between words: none, one, more
     "arrows": (3, dict(prose=[95, 4, 1], links=[92, 5, 3], tags=[82, 5, 13], menu=[8, 12, 80], other=[82, 8, 10])),
-    # characters a word: to 3, 8, 12, 25, 45, more; a script without blanks
-    "width": (7, dict(prose=[3, 87, 6, 2, 0.8, 0.2, 1], links=[4, 60, 20, 8, 5, 1, 2], tags=[3, 68, 15, 9, 1.9, 0.1, 3], menu=[4, 70, 15, 6, 2.8, 0.2, 2], other=[15, 35, 16, 12, 8, 12, 2])),
+    # characters a word: no word, to 1.5, 3, 8, 12, 25, 45, more; a script without blanks
+    "width": (9, dict(prose=[1, 0.2, 2, 87, 6, 2, 0.8, 0.2, 1], links=[40, 0.2, 3, 40, 11, 4, 2, 1, 1], tags=[1, 0.2, 2, 68, 15, 9, 1.9, 0.1, 3], menu=[1, 0.2, 3, 70, 15, 6, 2.8, 0.2, 2], other=[3, 9, 8, 32, 15, 12, 8, 11, 2])),
 }
 #: A line's features depend on each other, so their evidence counts less than its sum.
 EVIDENCE = 0.5
@@ -144,6 +144,7 @@ def read_pages(texts: list[str | None]) -> list[tuple[bytes, np.ndarray]]:
     # of each line: visible characters, those outside links, fenced, tags, start, end, function words, repeated, distinct
     facts: list[tuple] = []
     ends: list[int] = []
+    particles = frozenset(_CLASSES[PARTICLE])
     for text in texts:
         first = len(facts)
         for part, fenced in parts_of(text.replace("\xa0", " ").replace("\u200b", "")) if text and not text.isspace() else ():
@@ -174,10 +175,10 @@ def read_pages(texts: list[str | None]) -> list[tuple[bytes, np.ndarray]]:
             facts.append((visible, outside, fenced, tagged, start.lastindex if start else 0, end, functional, len(tokens), distinct))
             lines.append(rest)
             words.append(known)
-        # words (no function words) that make at least a fortieth of the page, and occur four times
+        # words (no function words and no clauses) that make at least a fortieth of the page, and occur four times
         counts = Counter(chain.from_iterable(words[first:]))
         least = max(4, 0.025 * sum(counts.values()))
-        common = {w for w, c in counts.items() if c >= least and 1 < len(w) < 25 and w not in FUNCTION_WORDS}
+        common = {w for w, c in counts.items() if c >= least and 1 < len(w) < 25 and w not in FUNCTION_WORDS and (w.isascii() or sum(map(particles.__contains__, w)) < 2)}
         for i in range(first, len(facts)):
             w = words[i]
             facts[i] += (sum(map(common.__contains__, w)) / len(w) if w and common else 0.0,)
@@ -213,7 +214,7 @@ def read_pages(texts: list[str | None]) -> list[tuple[bytes, np.ndarray]]:
             _bins(tagged / np.maximum(1, tokens), (0.25, 0.6)),
             start,
             np.minimum(2, arrows),
-            np.where(unspaced, 6, np.searchsorted((3, 8, 12, 25, 45), n / np.maximum(1, tokens))),
+            np.where(unspaced, 8, np.where(tokens == 0, 0, np.searchsorted((1.5, 3, 8, 12, 25, 45), n / np.maximum(1, tokens)) + 1)),
         ],
         axis=1,
     ).astype(np.uint8)
@@ -227,8 +228,8 @@ _AT = dict(zip(FEATURES, _FROM.tolist()))
 #: Runs of bins that share 1. The script is no evidence: features that are read in two ways share 1 for
 #: each, and the width of a line without blanks says nothing.
 _RUNS = [(a, b) for a, b in zip(_FROM.tolist(), _FROM[1:].tolist()) if a not in (_AT["functional"], _AT["repeated"], _AT["width"])]
-_RUNS += [(_AT[f] + i, _AT[f] + i + 6) for f, i in (("functional", 0), ("functional", 6), ("repeated", 0), ("repeated", 6), ("width", 0))]
-_RUNS += [(_AT["width"] + 6, _AT["width"] + 7)]
+_RUNS += [(_AT[f] + i, _AT[f] + i + n) for f, i, n in (("functional", 0, 6), ("functional", 6, 6), ("repeated", 0, 6), ("repeated", 6, 6), ("width", 0, 8))]
+_RUNS += [(_AT["width"] + 8, _AT["width"] + 9)]
 
 
 def _places(seen: bytes) -> np.ndarray:
