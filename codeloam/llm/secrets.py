@@ -1,8 +1,9 @@
 """Credentials in source and configuration text: found lexically, redacted in place (problem 2).
 
-A literal is flagged if it is assigned or passed to a credential-named identifier and is no
-placeholder; literals whose own form gives them away (key blocks, prefixed tokens, URLs and headers
-that hold one) are flagged wherever they stand. Only the characters of the value are replaced, so
+Every text with a cue is cut into tokens (``lexer``). A literal is flagged if it is assigned or passed
+to a credential-named identifier and is no placeholder; forms that give themselves away (key blocks,
+prefixed tokens, URLs and headers that hold one) are looked for inside literals and comments, or
+anywhere in texts whose values need no quotes. Only the characters of the value are replaced, so
 delimiters, escapes and everything around stay as they were.
 """
 
@@ -11,13 +12,15 @@ from __future__ import annotations
 import base64
 import binascii
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloam.llm.lexer import COMMENT, FAMILIES, NAME, NUMBER, OPERATOR, PIECE, STRING, TEXT, Tokens, groups, lex, literal_text
+
 # Words that name a credential by themselves, and those that do after a qualifier.
 STRONG = frozenset("password passwd pwd passphrase passcode secret apikey authtoken accesstoken secretkey privatekey credential credentials passwort kennwort contrasena contraseña clave senha motdepasse wachtwoord parola haslo pw pass pin".split())
 WEAK_KEY = frozenset("api secret private access signing encryption auth master session service account storage shared client webhook ssh deploy hmac jwt crypt cipher admin root aes rsa app consumer".split())
@@ -28,7 +31,7 @@ NEUTRAL = frozenset("value literal string str const default raw plain text b64 b
 LOOKUPS = re.compile(r"(?:getenv|env|read\w*|get\w*|lookup\w*|fetch\w*|find\w*|load\w*|config|require|import|include|vault\w*|resolve\w*|param\w*|input|header|option|file_get_contents|constant|defined|hash\w*|md5|sha\w*|has|isset|test|match|replace|split|log|warn|error|debug|info|print\w*|echo|throw|Error|describe|it|t|__)\Z", re.I)
 # Words near which a credential may stand; looked for in lower case.
 CUES = (*"pass pwd pw secret token key credential kennwort contrase clave senha motdep mot_de mot-de wachtw parola haslo pin auth login access: zugang user connect pdo mysqli client signin sign_in account konto hmac cipher openssl_ jwt ://".split(), "bearer ", "basic ", "begin ", "-u ")
-_NAME_HEAD, _NAME_TAIL = re.compile(r"[\w$.\-ñ]*\Z"), re.compile(r"[\w$\-ñ]*")
+_NAME_TAIL = re.compile(r"[\w$\-ñ]*")
 _PARTS = re.compile(r"[A-ZÑ]+(?![a-zñ])|[A-ZÑ]?[a-zñ]+|\d+")
 
 _PREFIXED = re.compile(
@@ -52,11 +55,9 @@ _VAGUE = re.compile(r"(?:sign|verify|new\w*(?:Pool|Session))\Z", re.I)
 _LOGIN_CUES = ("login", "access:", "zugang", "account", "konto", "connect", "pdo", "mysqli", "client", "signin", "sign_in", "auth", "user", "credential")
 _KEYED_CUES = ("hmac", "cipher", "openssl_", "jwt")
 _ALGORITHM = re.compile(r"(?:sha|aes|md|hs|rs|es|des)-?\d", re.I)
-_CALL_TOKEN = re.compile(r"[\w$]+|['\"`()\[\]{},;]|=>|[=!]==?|[:=]|//|/\*|(?<=\s)#")
-_KEY_AFTER = re.compile(r"\s*(?:=>|:(?!:))")
-_NOTE = re.compile(r"(?:(?:login|log in|credentials?|zugang\w*|access|sign in|account|acceso|acc[eè]s|acesso|anmeldung)\b[^\n]{0,60}?[:=])\s*([^\n]*)", re.I)
+_NOTE = re.compile(r"(?:login|log in|credentials?|zugang\w*|access|sign in|account|acceso|acc[eè]s|acesso|anmeldung)\b", re.I)
+_NOTE_IS = re.compile(r"[:=]")
 _NOTE_PAIR = re.compile(r"(?:\b\w[\w.@-]*\s*[/|]\s*(\S+))|(?:\b(?:key|password|passwd|pass|pw|pwd|token|secret|passwort|kennwort|clave|contrase\w+|senha|mot de passe|schl[uü]ssel|code|pin)\b\s*[:=]?\s*(?:is\s+)?(\S+))", re.I)
-_COMMENT = re.compile(r"(?://|#|/\*|\*|<!--|;|--)\s")
 
 _ASSIGN = re.compile(
     r"[\"'`\])]*[ \t]*(?:\?[ \t]*)?(?:"
@@ -68,15 +69,12 @@ _ASSIGN = re.compile(
     r"|(\s*\|)"  # 6 table cell
     r")[ \t]*"
 )
-_STRING = re.compile(r"'''([\s\S]*?)'''|\"\"\"([\s\S]*?)\"\"\"|'((?:[^'\\\n]|\\.)*)'|\"((?:[^\"\\\n]|\\.)*)\"|`((?:[^`\\]|\\.)*)`", re.S)
 _PLACEHOLDER = re.compile(
     r"(?:your|my|insert|enter|some|sample|example|demo|fake|dummy|placeholder|change|replace|todo|fixme|tbd|xxx|null|none|nil|undefined|true|false|yes|no|on|off|redacted|hidden|masked|optional|required|empty|default|n/?a)(?:[-_ ./].*|me\b.*|this.*|it.*|\d*)?\Z"
     r"|.*(?:your[-_ ]|[-_ ]here\b|change[-_ ]?me|change[-_ ]?it|placeholder|example[-_ ]?(?:key|token|secret|password)|<[^>]*>|\$\{|\{\{|\$\(|%\(|%[A-Z_]+%|@@|#\{).*"
     r"|[x*.#•_-]{3,}\Z|\$[A-Za-z_]\w*\Z|(?:env|vault|secret|secrets|ref|file|ssm|arn|op|kms|keyring|sops|gcp|aws|config)[:.].*|@\w+\Z|\[.*\]\Z|<.*|test|password|passwd|secret|token|key|changeit",
     re.I | re.S,
 )
-_SPACE, _WORD = re.compile(r"\s*"), re.compile(r"[\w$]+")
-_GOES_ON = re.compile(r"[ \t]*(?:\r?\n[ \t]*(?=[+.?|]))?([+.?|&]|\|\||\?\?)?")
 _KEY_RUN = re.compile(r"[A-Za-z0-9+/=]{16,}")
 _KEY_BODY = re.compile(r"(?:\\[nr]|[A-Za-z0-9+/=\s\"'+.,:-])*")
 _UPPER_NAME = re.compile(r"[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\Z")
@@ -108,6 +106,8 @@ def named(name: str) -> int:
     if not parts:
         return 0
     last, before = parts[-1], parts[-2] if len(parts) > 1 else ""
+    if last[-1] == "s" and (last[:-1] in STRONG or last in ("keys", "tokens")):
+        last = last[:-1]
     if before == "public" or "min" in parts or "max" in parts:
         return 0
     if last in STRONG or before + last in STRONG or "".join(parts[-3:]) == "motdepasse":
@@ -116,7 +116,7 @@ def named(name: str) -> int:
         return 2
     if last == "key":
         return 2 if before in WEAK_KEY else 0
-    if last in ("token", "tokens"):
+    if last == "token":
         return 2 if before in TOKEN_KIND or len(parts) == 1 else 1
     if last in ("auth", "authorization"):
         return 1
@@ -146,78 +146,58 @@ def secret_like(value: str, trust: int) -> bool:
     return digits and (kinds >= 3 or len(v) >= 10) or len(v) >= 20 and upper and lower
 
 
-def _statement(text: str, at: int, walked: dict[int, tuple[list, int, int, int]]) -> list[tuple[int, int, str, str]]:
-    """The string literals of the expression at ``at``, to its end: (start, end, content, name of the
-    call or the index that holds it). ``walked``, one for each text, keeps what every bracket held
-    (literals from, to, place after it or -1 if the expression ends within), so that none is lexed
-    again for the names inside it."""
-    n = len(text)
+def _expression(tokens: Tokens, i: int, walked: dict[int, tuple[list, int, int, int]]) -> list[tuple[int, int, str, str]]:
+    """The string literals of the expression whose first token is ``i``, to its end: (start, end,
+    content, name of the call or the index that holds it). ``walked`` keeps what every bracket held
+    (literals from, to, token after it or -1 if the expression ends within), so that none is read again
+    for the names inside it."""
+    n, text = len(tokens), tokens.text
     out: list[tuple[int, int, str, str]] = []
     opened: list[tuple[int, int]] = []
     calls: list[str] = []
-    word = ""
-    before = at
-    while before and text[before - 1].isspace():
-        before -= 1
-    last = text[before - 1 : before]
-    while at < n:
-        c = text[at]
-        if c in "'\"`":
-            m = _STRING.match(text, at)
-            if not m:
+    word, last = "", tokens.value(i - 1)[-1:] if 0 < i <= n else ""
+    first = i
+    while i < n:
+        kind = tokens.kind[i]
+        c = tokens.value(i) if kind == OPERATOR else ""
+        if not opened and i > first and kind != COMMENT and last not in ("=", "+", "?", "|", ":", "(", ",", ".", "&") and c[:1] not in ("+", "?", "|", ".") and tokens.fresh(i):
+            break  # goes on only if an operator ends this line or begins the next
+        if kind == STRING:
+            out.append((tokens.a[i], tokens.b[i], text[tokens.a[i] : tokens.b[i]], calls[-1] if calls else ""))
+            word, last = "", '"'
+            if not opened and not (i + 1 < n and tokens.kind[i + 1] == OPERATOR and tokens.value(i + 1)[0] in "+.?|&"):
                 break
-            k = m.lastindex
-            out.append((m.start(k), m.end(k), m[k], calls[-1] if calls else ""))
-            at, word, last = m.end(), "", c
-            if not opened:
-                rest = _GOES_ON.match(text, at)
-                if not rest[1]:
+        elif kind in (NAME, NUMBER):
+            word = tokens.value(i)
+            last = word[-1]
+        elif kind == OPERATOR:
+            if c in ("(", "[", "{"):
+                if c == "{" and not opened:
                     break
-            continue
-        if c in "([{":
-            if c == "{" and not opened:
-                break
-            if at in walked:
-                literals, i, j, after = walked[at]
-                out += literals[i:j]
-                if after < 0:
+                if i in walked:
+                    literals, a, b, after = walked[i]
+                    out += literals[a:b]
+                    if after < 0:
+                        break
+                    i, word, last = after, "", ")"
+                    continue
+                calls.append(word if c == "(" else "[" + word if c == "[" and word else "")
+                opened.append((i, len(out)))
+            elif c in (")", "]", "}"):
+                if not opened:
                     break
-                at, word, last = after, "", text[after - 1]
-                continue
-            calls.append(word if c == "(" else "[" + word if c == "[" and word else "")
-            opened.append((at, len(out)))
-        elif c in ")]}":
-            if not opened:
-                break
-            calls.pop()
-            place, i = opened.pop()
-            walked[place] = out, i, len(out), at + 1
-        elif c == ";" or (c == "," and not opened):
-            break
-        elif c == "\n" and not opened:
-            # goes on only if an operator ends this line or begins the next
-            after = _SPACE.match(text, at).end()
-            if last not in "=+?|:(,." and text[after : after + 1] not in ("+", "?", "|", "."):
+                calls.pop()
+                place, a = opened.pop()
+                walked[place] = out, a, len(out), i + 1
+                word = ""
+            elif c == ";" or c == "," and not opened:
                 break
-            at = after
-            continue
-        elif c == "/" and text[at : at + 2] in ("//", "/*") or c == "#" and text[at - 1 : at].isspace():
-            end = text.find("*/" if text.startswith("/*", at) else "\n", at)
-            end = n if end < 0 else end
-            at, last = end, text[at:end].rstrip()[-1:]
-            continue
-        m = _WORD.match(text, at)
-        if m:
-            word, at = m.group(), m.end()
-            last = word[-1]
-            continue
-        if not c.isspace():
-            last = c
-            if c not in "([{":
+            else:
                 word = ""
-        at += 1
-    for place, i in opened:
-        walked[place] = out, i, len(out), -1
+            last = c[-1]
+        i += 1
+    for place, a in opened:
+        walked[place] = out, a, len(out), -1
     return out
 
 
@@ -233,43 +213,41 @@ class _Frame:
         self.literals: list[tuple[int, int, int, bool, str, str]] | None = None
 
 
-def _arguments(text: str, openings: dict[int, str], places: list[int], at: int, limit: int, remark: bool = False) -> Iterator[tuple[str, int, list[tuple[int, int, int, bool, str, str]]]]:
-    """(call, number of arguments, literals) of each call whose bracket is in ``openings`` (place:
-    name; ``places``: in order), each to its closing bracket, over any number of lines. A literal is (start, end, argument
-    it stands in, whether it begins that argument list, key, call that holds it). One pass; brackets
-    in strings and comments are calls of their own that end there at the latest."""
-    while (i := bisect_left(places, at)) < len(places) and places[i] < limit:
-        at = places[i]
-        commented = remark or re.match(r"\s*(?://|#|/?\*|--|;)", text[text.rfind("\n", 0, at) + 1 : at]) is not None
+def _arguments(tokens: Tokens, openings: dict[int, str], done: set[int]) -> Iterator[tuple[str, int, list[tuple[int, int, int, bool, str, str]]]]:
+    """(call, number of arguments, literals) of each call whose bracket is among the tokens and in
+    ``openings`` (place: name), each to its closing bracket, over any number of lines. A literal is
+    (start, end, argument it stands in, whether it begins that argument list, key, call that holds
+    it). One pass; ``done`` takes the places met."""
+    n = len(tokens)
+    for place in sorted(openings):
+        i = tokens.at(place)
+        if place in done or i >= n or tokens.start[i] != place or tokens.kind[i] != OPERATOR:
+            continue
         stack: list[_Frame] = []
         owners: list[_Frame] = []
-        dead: dict[str, int] = {}
         word = ""
-        while True:
-            t = _CALL_TOKEN.search(text, at, limit)
-            if not t:
-                at = limit
-                break
-            c, at = t.group(), t.end()
+        while i < n:
+            kind, at = tokens.kind[i], tokens.start[i]
             top = stack[-1] if stack else None
-            if c in "'\"`":
-                m = _STRING.match(text, t.start(), limit) if t.start() >= dead.get(c, 0) else None
-                if not m:
-                    if t.start() >= dead.get(c, 0):
-                        line_end = text.find("\n", at)
-                        dead[c] = limit if c == "`" or line_end < 0 else line_end
-                    continue
-                k, at = m.lastindex, m.end()
-                yield from _arguments(text, openings, places, m.start(k), m.end(k))
-                if _KEY_AFTER.match(text, at, limit) and top.bracket in "{[":
-                    top.key, top.word = m[k], ""
+            c = tokens.value(i) if kind in (OPERATOR, NAME, NUMBER) else ""
+            i += 1
+            if kind == STRING:
+                following = tokens.value(i) if i < n and tokens.kind[i] == OPERATOR else ""
+                if following in ("=>", ":") and top.bracket in "{[":
+                    top.key, top.word = tokens.text[tokens.a[i - 1] : tokens.b[i - 1]], ""
                 elif top.call and owners:
-                    owners[-1].literals.append((m.start(k), m.end(k), owners[-1].index, top.first and not top.index, top.key if top.key or top.bracket != "{" else "?", "" if top is owners[-1] else top.call))
+                    owners[-1].literals.append((tokens.a[i - 1], tokens.b[i - 1], owners[-1].index, top.first and not top.index, top.key if top.key or top.bracket != "{" else "?", "" if top is owners[-1] else top.call))
                 top.filled, word = True, ""
-            elif c in "([{":
+            elif kind == PIECE:
+                top.filled = True
+            elif kind in (NAME, NUMBER):
+                top.word = "" if top.filled else c
+                top.filled, word = True, c
+            elif c in ("(", "[", "{"):
                 f = _Frame(c, "", False)
-                if t.start() in openings:
-                    f.call, f.first, f.literals = openings[t.start()], True, []
+                if at in openings:
+                    done.add(at)
+                    f.call, f.first, f.literals = openings[at], True, []
                     owners.append(f)
                 elif top and top.call and not (c == "(" and LOOKUPS.match(word)) and not (c == "[" and word) and not (top.bracket == "{" and c != "{"):
                     f.call, f.first = word if c == "(" and word else top.call, top.first and not top.index
@@ -277,7 +255,7 @@ def _arguments(text: str, openings: dict[int, str], places: list[int], at: int,
                     top.filled = True
                 stack.append(f)
                 word = ""
-            elif c in ")]}" or c == ";" and top.bracket != "{" and not (top.bracket == "(" and top.word == "for"):
+            elif c in (")", "]", "}") or c == ";" and top.bracket != "{" and not (top.bracket == "(" and top.word == "for"):
                 opens = {")": "(", "]": "[", "}": "{", ";": "{"}[c]
                 while stack and (c == ";" and stack[-1].bracket != "{" or c != ";"):
                     f = stack.pop()
@@ -291,36 +269,78 @@ def _arguments(text: str, openings: dict[int, str], places: list[int], at: int,
                     break
             elif c == ",":
                 top.index, top.filled, top.key, top.word, word = top.index + 1, False, "", "", ""
-            elif c in ("//", "/*") or c == "#":
-                if not commented:
-                    end = text.find("*/" if c == "/*" else "\n", at, limit)
-                    end = limit if end < 0 else end
-                    yield from _arguments(text, openings, places, at, end, True)
-                    at = end
             elif c in (":", "=", "=>"):
-                if top.word and (c != ":" or top.bracket == "{" or text[t.end() : t.end() + 1] != ":"):
+                if top.word:
                     top.key, top.word = top.word, ""
                 word = ""
-            elif c[0] in "=!":
+            elif c[:1] in ("=", "!") and c:
                 top.word = word = ""
-            else:
-                top.word = "" if top.filled else c
-                top.filled, word = True, c
         for f in reversed(owners):  # the text ends within
             yield f.call, f.index + f.filled, f.literals
 
 
-def _passed(text: str, low: str, cues: list[tuple[int, str]], has: set[str]) -> Iterator[tuple[int, int]]:
+class _Reading:
+    """The tokens of one text, and of the insides of its literals and comments as they are asked for."""
+
+    def __init__(self, text: str, ending: str):
+        self.text, self.family = text, FAMILIES.get(ending, "plain")
+        self.tokens = lex(text, self.family)
+        self.comments = groups(self.tokens)
+        self._inner: dict[int, Tokens] = {}
+        self._breaks = [-1, *(m.start() for m in re.finditer("\n", text))]
+
+    def line(self, place: int) -> int:
+        """Where the line of a place begins."""
+        return self._breaks[bisect_left(self._breaks, place) - 1] + 1
+
+    def comment(self, place: int) -> tuple[int, int] | None:
+        k = bisect_right(self.comments, (place, len(self.text) + 1)) - 1
+        return self.comments[k] if k >= 0 and place < self.comments[k][1] else None
+
+    def around(self, place: int) -> Tokens:
+        """The tokens among which a place stands: those of the comment or literal that holds it, else
+        the text's own."""
+        tokens = self.tokens
+        while True:
+            i = tokens.at(place)
+            if i >= len(tokens) or tokens.kind[i] not in (COMMENT, STRING, PIECE, TEXT) or not tokens.a[i] <= place < tokens.b[i]:
+                return tokens
+            a, b = self.comment(place) if tokens is self.tokens and tokens.kind[i] == COMMENT else (tokens.a[i], tokens.b[i])
+            if a not in self._inner:
+                self._inner[a] = lex(self.text, self.family, a, b, inner=True)
+            tokens = self._inner[a]
+
+    def says_auth(self, place: int) -> bool:
+        """Does the name before a literal, or the line before a place in one, speak of authorization?"""
+        i = self.tokens.at(place)
+        if self.family in ("c", "php") and 0 < i < len(self.tokens):
+            return any("auth" in self.tokens.value(j).lower() for j in range(max(0, i - 3), i)) or "auth" in self.text[self.tokens.a[i] : place].lower()
+        return "auth" in self.text[self.line(place) : place].lower()
+
+    def name(self, place: int) -> tuple[int, int]:
+        """(start, end) of the name that holds a place."""
+        i = self.tokens.at(place)
+        if self.family in ("c", "php") and i < len(self.tokens) and self.tokens.kind[i] == NAME and self.tokens.start[i] <= place:
+            return self.tokens.start[i], self.tokens.end[i]
+        low = self.tokens.a[i] if i < len(self.tokens) and self.tokens.start[i] <= place and self.tokens.kind[i] != NAME else 0
+        head = place
+        while head > low and ((c := self.text[head - 1]).isalnum() or c in "_$.-"):
+            head -= 1
+        return head, _NAME_TAIL.match(self.text, place).end()
+
+
+def _passed(reading: _Reading, low: str, cues: list[tuple[int, str]], has: set[str]) -> Iterator[tuple[int, int]]:
     """The credentials passed to login calls (by place, else by what the value looks like; not the
     first of several arguments, which is a user or a host) and to calls that take a key."""
+    text = reading.text
     openings: dict[int, str] = {}
     keyed: set[str] = set()
     lines: dict[tuple[str, ...], set[int]] = {}
 
     def cued(place: int, words: tuple[str, ...]) -> bool:
         if words not in lines:
-            lines[words] = {text.rfind("\n", 0, p) for p, w in cues if w in words}
-        return text.rfind("\n", 0, place) in lines[words]
+            lines[words] = {reading.line(p) for p, w in cues if w in words}
+        return reading.line(place) in lines[words]
 
     for pattern, words in ((_LOGIN_CALL, _LOGIN_CUES), (_KEYED_CALL, _KEYED_CUES)):
         if not has.isdisjoint(words) or pattern is _LOGIN_CALL and "log_in" in low:
@@ -330,7 +350,11 @@ def _passed(text: str, low: str, cues: list[tuple[int, str]], has: set[str]) ->
                     openings[m.end() - 1] = call
                     if pattern is _KEYED_CALL:
                         keyed.add(call)
-    for call, n, literals in _arguments(text, openings, sorted(openings), 0, len(text)) if openings else ():
+    by: dict[int, tuple[Tokens, dict[int, str]]] = {}
+    for place, call in openings.items():
+        tokens = reading.around(place)
+        by.setdefault(id(tokens), (tokens, {}))[1][place] = call
+    for call, n, literals in (x for tokens, some in by.values() for x in _arguments(tokens, some, set())):
         place = _PLACE_OF.get(call.lower().lstrip("_"))
         for s, e, index, first, key, inner in literals:
             v = text[s:e]
@@ -369,9 +393,13 @@ def spans(text: str, ending: str = "") -> list[tuple[int, int, str]]:
         low = "".join(c if len(x := c.lower()) != 1 else x for c in text)
     done_names: set[int] = set()
     lines_noted: set[int] = set()
-    walked: dict[int, tuple[list, int, int, int]] = {}
+    walked: dict[int, dict[int, tuple[list, int, int, int]]] = {}
     cues = _cues(low)
     has = {w for _, w in cues}
+    if not has and not any(x in text for x in _PREFIXES) and ending not in BARE and ending not in ("json", "xml"):
+        return []
+    reading = _Reading(text, ending)
+    inside = literal_text(reading.tokens) if reading.family in ("c", "php") else text
     if "begin " in has:
         stop = 0
         ends = [m.span() for m in _KEY_BLOCK_END.finditer(text)]
@@ -383,55 +411,58 @@ def spans(text: str, ending: str = "") -> list[tuple[int, int, str]]:
             if _KEY_RUN.search(text, m.end(), body):
                 stop = after
                 found.append((m.start(), stop, "key block"))
-    for m in _PREFIXED.finditer(text) if any(x in text for x in _PREFIXES) else ():
+    for m in _PREFIXED.finditer(inside) if any(x in text for x in _PREFIXES) else ():
         if not _PLACEHOLDER.match(m.group()[4:]) and len(set(m.group()[4:])) > 5:
             found.append((m.start(), m.end(), "prefixed token"))
     if "://" in has:
-        for m in _URL.finditer(text):
+        for m in _URL.finditer(inside):
             password = m[2]
             if not _PLACEHOLDER.match(password) and not re.match(r"[${<%*]|:", password) and len(password) > 2 and not re.fullmatch(r"(?:password|passwd|pass|secret|user|x+)", password, re.I):
                 found.append((m.start(2), m.end(2), "url"))
-        for m in _PARAMETER.finditer(text):
+        for m in _PARAMETER.finditer(inside):
             if secret_like(m[1], 2) and not re.match(r"[${<%]", m[1]):
                 found.append((m.start(1), m.end(1), "url parameter"))
     if "bearer " in has or "basic " in has or "token" in has:
-        for m in _HEADER.finditer(text):
+        for m in _HEADER.finditer(inside):
             v = m[1]
-            if m.group()[:5] == "Token" and not re.search(r"auth", text[max(0, m.start() - 40) : m.start()], re.I):
+            if m.group()[:5] == "Token" and not reading.says_auth(m.start()):
                 continue
             if not _PLACEHOLDER.match(v) and (any(c.isdigit() for c in v) and any(c.isalpha() for c in v) or ":" in _decoded(v)) and secret_like(v, 2):
                 found.append((m.start(1), m.end(1), "header"))
     if "-u " in has or "user" in has:
-        for m in _FLAG.finditer(text):
+        for m in _FLAG.finditer(inside):
             if not _PLACEHOLDER.match(m[2]) and m[2][0] not in "$<{":
                 found.append((m.start(2), m.end(2), "command option"))
-    for m in _OPTION.finditer(text) if " -" in text else ():
+    for m in _OPTION.finditer(inside) if " -" in text else ():
         if secret_like(m[2], 2) and m[2][0] not in "$<{":
             found.append((m.start(2), m.end(2), "command option"))
     for m in _ENCODED.finditer(text) if ending in BARE or ending in ("json", "xml", "conf") else ():
         plain = _decoded(m[1])
         if len(m[1]) % 4 == 0 and plain.isprintable() and secret_like(plain.rsplit(":", 1)[-1], 2):
             found.append((m.start(1), m.end(1), "encoded"))
-    found += [(s, e, "argument") for s, e in _passed(text, low, cues, has)]
+    found += [(s, e, "argument") for s, e in _passed(reading, low, cues, has)]
     for place, word in cues:
         if word in ("://", "begin ", "bearer ", "basic ", "-u "):
             continue
-        line = text.rfind("\n", 0, place) + 1
+        line = reading.line(place)
+        comment = reading.comment(place)
         if word in _LOGIN_CUES and line not in lines_noted:
             lines_noted.add(line)
-            end = text.find("\n", line)
-            whole = text[line : end if end >= 0 else len(text)]
-            note = _NOTE.search(whole)
-            if note and (_COMMENT.search(whole, 0, note.start()) or ending in ("md", "mdx", "txt") or _COMMENT.match(whole.lstrip() + " ")):
-                for p in _NOTE_PAIR.finditer(whole, note.start(1)):
+            if comment or ending in ("md", "mdx", "txt"):
+                end = text.find("\n", line)
+                begin, end = line, end if end >= 0 else len(text)
+                if comment:
+                    begin, end = max(begin, comment[0]), min(end, comment[1])
+                note = _NOTE.search(text, begin, end)
+                said = _NOTE_IS.search(text, note.end(), end) if note else None
+                for p in _NOTE_PAIR.finditer(text, said.end(), end) if said else ():
                     k = p.lastindex
                     v = p[k].rstrip(".,;)'\"`*/").lstrip("('\"`")
                     at = p.start(k) + p[k].find(v)
                     if v and secret_like(v, 2):
-                        found.append((line + at, line + at + len(v), "note"))
+                        found.append((at, at + len(v), "note"))
                         break
-        head = _NAME_HEAD.search(text, max(0, place - 80), place).start()
-        tail = _NAME_TAIL.match(text, place).end()
+        head, tail = reading.name(place)
         if head in done_names:
             continue
         done_names.add(head)
@@ -495,7 +526,7 @@ def spans(text: str, ending: str = "") -> list[tuple[int, int, str]]:
         if ending in BARE and not rest.strip():
             continue
         first = rest[:1]
-        remark = first not in "'\"`[{(" and kind in (1, 2) and _COMMENT.search(text, line, head) is not None
+        remark = first not in "'\"`[{(" and kind in (1, 2) and comment is not None
         if remark:
             v = rest.split()[0].rstrip(".,;)'\"`*/") if rest.split() else ""
             if secret_like(v, trust):
@@ -511,7 +542,8 @@ def spans(text: str, ending: str = "") -> list[tuple[int, int, str]]:
             continue
         if first not in "'\"`" and kind in (2, 1) and ending in ("xml",):
             continue
-        literals = _statement(text, at, walked)
+        tokens = reading.around(at)
+        literals = _expression(tokens, tokens.at(at), walked.setdefault(id(tokens), {}))
         usable = []
         for s, e, v, call in literals:
             if call and (LOOKUPS.match(call) or call.startswith("[")):
@@ -556,13 +588,22 @@ def begins(text: str, places: list[tuple[int, int, str]]) -> list[tuple[int, int
     return out
 
 
+_ESCAPE = re.compile(r"\\u\{[0-9a-fA-F]+\}|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|\\[0-7]{1,3}|%[0-9a-fA-F]{2}|&(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z]\w*);|(\\[\s\S])|[^\s'\"`\\<>{}\[\]()$,;:#&|@/]")
+
+
 def redact(text: str, places: list[tuple[int, int, str]]) -> str:
-    """The text with the characters of each credential replaced: letters and digits become ``x``,
-    line breaks, white space and escapes stay, and so do quotes and brackets."""
+    """The text with the characters of each credential replaced, at equal length: letters, digits and
+    coded characters (``\\u0041``, ``\\x41``, ``\\101``, ``%41``, ``&amp;``) become as many ``x``; line
+    breaks, white space, other escapes, quotes and brackets stay, and so do the opening and closing
+    lines of key blocks."""
     out, at = [], 0
-    for s, e, _ in places:
+    for s, e, kind in places:
+        if kind == "key block":
+            s, whole = _KEY_BLOCK.match(text, s).end(), e
+            close = [m.start() for m in _KEY_BLOCK_END.finditer(text, s, whole)]
+            e = close[-1] if close else whole
         out.append(text[at:s])
-        out.append(re.sub(r"\\.|[^\s'\"`\\<>{}\[\]()$,;:#&|@/]", lambda m: m.group() if m.group()[0] == "\\" else "x", text[s:e]))
+        out.append(_ESCAPE.sub(lambda m: m[1] or "x" * len(m.group()), text[s:e]))
         at = e
     out.append(text[at:])
     return "".join(out)
