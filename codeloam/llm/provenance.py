@@ -1,10 +1,11 @@
 """Generated, minified, vendored and data files among source files (problem 3).
 
-Per language a character trigram model of identifiers is counted over all files; a file whose names
-are far from it (high cross-entropy) is mangled, one whose declared names repeat a few templates (low
-diversity) is generated, one whose names and text follow another package's is vendored. Headers that
-tools leave, wrappers of bundlers and transpilers, and the share of machine-made literals decide the
-rest.
+Per language a character trigram model of identifiers is counted over all files, and the spread of the
+files' cross-entropies is measured. A file's evidence is added up for each class: names far from the
+language's own (mangled) and a dense layout for minified files, names of a few templates (low diversity)
+and tools' marks for generated ones, names and text that follow another package and package marks for
+third-party ones, machine-made literals and delimited records for data. A class with enough points
+takes the file.
 """
 
 from __future__ import annotations
@@ -20,17 +21,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloam.llm.files import ending, whole_files
+from codeloam.session import materialise
 
 #: Endings that share a model of names.
 FAMILY = {"ts": "js", "tsx": "js", "js": "js", "jsx": "js", "mjs": "js", "cjs": "js", "php": "php", "sh": "sh", "json": "data", "yaml": "data", "yml": "data", "xml": "data", "toml": "data", "lock": "data"}
-#: Names per family at the most that the model keeps no count of: it counts trigrams only, and their
-#: number is bounded by the alphabet (57 signs).
 SHINGLE, SIMILARITY = 5, 0.8
 #: Names longer than this tell one package from another.
 RARE = 8
-#: Bits per character above which a file's names count as mangled.
-MANGLED_BITS = 4.0
-
+#: Points from which a class takes a file, and what each piece of evidence counts. ``names``: for each
+#: deviation by which a file's cross-entropy exceeds the language's middle, at most ``MOST_DEVIATIONS``, so
+#: that names alone, say of an HTML page saved as a script, are not enough.
+ENOUGH = 3.0
+POINTS = {"names": 0.8, "dense": 1.8, "short": 0.8, "bundle": 3.0, "mark": 3.2, "templates": 3.1, "transpiled": 3.0, "lock": 3.2, "known": 3.75, "text": 3.1, "package": 3.0, "banner": 1.5, "records": 3.1, "literals": 3.0}
+MOST_DEVIATIONS = 3.5
+CLASSES = ("generated", "third-party", "minified", "data")
+#: Least deviation (bits) of a language's cross-entropies, so that a few equal files set no scale.
+LEAST_SPREAD = 0.15
+#: Names whose bits a worker keeps; a cache only.
+MEMO = 1 << 18
+
+# Reserved words of the languages of both models, which are nobody's names.
+RESERVED = frozenset("abstract and any array as async await boolean break case catch class clone const constructor continue declare default delete do echo else elseif enum export extends false final finally fn for foreach from function get if implements import in instanceof int interface isset empty let match module exports namespace new null number object of or package private protected public readonly require require_once return self set static string super switch this throw true try type typeof undefined unknown unset use var void while yield".split())
 _NAME = re.compile(r"[A-Za-z_$][\w$]*")
 _DECLARED = re.compile(r"(?:function &?|class |interface |const |var |let |public |protected |private |\.prototype\.)(?:static |function |readonly |int |string |array |\?)*\$?([A-Za-z_$][\w$]*)")
 _METHOD = re.compile(r"\n[ \t]+(?:async |static )?([A-Za-z_$][\w$]*)\([^()\n]*\)[^\n{};]*\{")
@@ -43,7 +54,8 @@ _GENERATED = re.compile(
     re.I | re.M,
 )
 _GENERATOR_ITSELF = re.compile(r"^[\s/*#]*(?:this (?:generator|script|tool|command|module|helper)|builds? |writes? |checks? |creates? |produces? the)", re.I | re.M)
-_PACKAGE = re.compile(r"this file is part of (?:the )?[\w@/.\-]+(?: package| library| project)?\b|\(c\)\s+(?:\d{4}[-\d, ]*)?(?:the )?[\w.\-]+ (?:contributors|authors|developers)|^[\s/*!#]*@?[a-z][\w.\-]*(?:/[\w.\-]+)?[@ ]v?\d+\.\d+\.\d+\s*(?:$|\*|\||-)|^\s*/\*!|@license\b|@preserve\b", re.I | re.M)
+_PACKAGE = re.compile(r"this file is part of (?:the )?[\w@/.\-]+(?: package| library| project)?\b|\(c\)\s+(?:\d{4}[-\d, ]*)?(?:the )?[\w.\-]+ (?:contributors|authors|developers)|^[\s/*!#]*@?[a-z][\w.\-]*(?:/[\w.\-]+)?[@ ]v?\d+\.\d+\.\d+\s*(?:$|\*|\||-)|@license\b|@preserve\b", re.I | re.M)
+_TEXTS = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"")
 _TRANSPILED = re.compile(r"\(this && this\.__\w+\)|\"__esModule\"|_super\.apply\(this, arguments\)|regeneratorRuntime|_interopRequireDefault|_classCallCheck")
 _BUNDLED = re.compile(r"\(function\s*\((?:modules|e|t|n)\)\s*\{[\s\S]{0,400}?(?:\bload\b|require|cache)[\s\S]{0,400}?\}\)\(\{?\[?\s*\n?\s*(?:\d+|\"[^\"]+\")?\s*:?\s*function|__webpack_require__|webpackJsonp|System\.register\(|define\.amd")
 _LOCKED = re.compile(r"\"?lockfileVersion\"?\s*:|\"content-hash\"\s*:|^# yarn lockfile|^\s*\"?(?:resolved|integrity|checksum|_hash|sha(?:256|512)|resolution)\"?\s*[:=]", re.M)
@@ -65,10 +77,17 @@ def name_trigrams(names: Counter) -> Counter:
     return out
 
 
+def names_of(text: str) -> list[str]:
+    """The names that a code text uses, in order, without reserved words and what stands in literals
+    and comments."""
+    return [n for x in _NAME.findall(_TEXTS.sub(" ", text)) if (n := x.lstrip("$") or x) not in RESERVED]
+
+
 class NameModel:
     """Smoothed trigram model: bits per character of a name."""
 
     def __init__(self, counts: dict[str, int]):
+        self.memo: dict[str, float] = {}
         two: Counter = Counter()
         for t, n in counts.items():
             two[t[:2]] += n
@@ -76,6 +95,20 @@ class NameModel:
         self.unseen = {p: -math.log2(0.1 / (n + 5.7)) for p, n in two.items()}
         self.worst = -math.log2(0.1 / 5.7)
 
+    def file_bits(self, names: list[str]) -> float | None:
+        """Cross-entropy of a file's names, each as often as it is used; None for fewer than five."""
+        if len(names) < 5:
+            return None
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        memo, total = self.memo, 0.0
+        for x in names:
+            b = memo.get(x)
+            if b is None:
+                b = memo[x] = self.cross_entropy(x)
+            total += b
+        return total / len(names)
+
     def cross_entropy(self, name: str) -> float:
         s = _signs(name)
         total = 0.0
@@ -155,7 +188,7 @@ def data_share(text: str) -> float:
         v = m[1] or m[2] or m[3]
         if v is None:
             made += m.end() - m.start() + 1
-        elif len(v) > 3 and (not re.search(r"\s", v.strip()) and any(c.isdigit() for c in v) and not re.search(r"[./_]\w+[./_]|^/|://", v[:60]) or len(v) > 120 and sum(c.isdigit() for c in v) > len(v) / 8 or len(v) > 200 and len(v.split()) < len(v) / 60):
+        elif len(v) > 3 and (not re.search(r"\s", v.strip()) and any(c.isdigit() for c in v) and not re.search(r"[./_]\w+[./_]|^/|://", v) or len(v) > 120 and sum(c.isdigit() for c in v) > len(v) / 8 or len(v) > 200 and len(v.split()) < len(v) / 60):
             made += len(v) + 3
     return made / visible
 
@@ -168,7 +201,7 @@ def records(text: str) -> bool:
     for d in ";\t,|":
         counts = Counter(x.count(d) for x in lines)
         k, n = counts.most_common(1)[0]
-        if k >= 2 and n >= 0.9 * len(lines) and not any(_KEYWORD.search(x) and x.rstrip()[-1:] in "{};" for x in lines[:20]):
+        if k >= 2 and n >= 0.9 * len(lines) and not any(_KEYWORD.search(x) and x.rstrip()[-1:] in "{};" for x in lines):
             return True
     return False
 
@@ -176,61 +209,77 @@ def records(text: str) -> bool:
 def _marked(top: str) -> bool:
     """Has a head comment the mark of a generated file, in a line that is not about a generator?"""
     for g in _GENERATED.finditer(top):
-        line = top.rfind("\n", 0, g.start()) + 1
-        if not _GENERATOR_ITSELF.search(top[line : line + 200]):
+        line, end = top.rfind("\n", 0, g.start()) + 1, top.find("\n", g.start())
+        if not _GENERATOR_ITSELF.search(top, line, end if end >= 0 else len(top)):
             return True
     return False
 
 
-def judge(kind: str, text: str, model: NameModel | None, packages: KnownPackages | None) -> tuple[str, str] | None:
-    """(class, reason) of a file that is no hand-written source, else None."""
-    text = text.removeprefix("﻿")
+def known_package(names: list[str], text: str, packages: KnownPackages) -> list[tuple[str, float, str]]:
+    """Evidence that a file follows one of these packages, by its long names, else by its text."""
+    i, share, covered = packages.nearest({x for x in names if len(x) > RARE})
+    found = [("third-party", POINTS["known"] * share, "names of a known package")] if share else []
+    if share < SIMILARITY and (covered >= 0.5 or share >= 0.4):
+        mine = shingles(re.findall(r"\w+", text))
+        if len(mine) >= 8 and len(mine & packages.shingles[i]) >= SIMILARITY * min(len(mine), len(packages.shingles[i])):
+            found.append(("third-party", POINTS["text"], "text of a known package"))
+    return found
+
+
+def evidence(kind: str, text: str, model: NameModel | None = None, packages: KnownPackages | None = None) -> tuple[list[tuple[str, float, str]], float | None]:
+    """((class, points, reason) of all that speaks against a file's being hand-written, cross-entropy of
+    its names)."""
+    text = text.removeprefix("\ufeff")
     head = _HEAD_COMMENT.match(text)
     top = head[1] if head else ""
+    out: list[tuple[str, float, str]] = []
+
+    def add(to: str, points: str, reason: str) -> None:
+        out.append((to, POINTS[points], reason))
+
+    if _marked(top):
+        add("generated", "mark", "mark of a tool")
     if kind == "data":
         locked = _LOCKED.findall(text)
         if locked and ("lockfileVersion" in locked[0] or "content-hash" in text or "yarn lockfile" in text) or len(locked) >= 4 and len(locked) >= 0.12 * text.count("\n"):
-            return "generated", "dependency lock"
-        if _marked(top):
-            return "generated", "header"
-        return None
-    if _marked(top):
-        return "generated", "header"
-    names = _NAME.findall(text) if kind in ("js", "php") else []
-    if packages is not None and names:
-        i, share, covered = packages.nearest({x for x in names if len(x) > RARE})
-        if share >= SIMILARITY:
-            return "third-party", "names of a known package"
-        if covered >= 0.5 or share >= 0.4:
-            mine = shingles(re.findall(r"\w+", text))
-            if len(mine) >= 8 and len(mine & packages.shingles[i]) >= SIMILARITY * min(len(mine), len(packages.shingles[i])):
-                return "third-party", "text of a known package"
+            add("generated", "lock", "dependency lock")
+        return out, None
     if top and _PACKAGE.search(top):
-        return "third-party", "package header"
+        add("third-party", "package", "package mark")
+    if text.lstrip()[:3] == "/*!":
+        add("minified", "banner", "banner")
+    names = names_of(text) if kind in ("js", "php") else []
+    if packages is not None and names:
+        out += known_package(_NAME.findall(text), text, packages)
     if kind == "js":
         if _BUNDLED.search(text):
-            return "minified", "bundle"
+            add("minified", "bundle", "bundle")
         if _TRANSPILED.search(text):
-            return "generated", "transpiled"
-    lines = [x for x in text.split("\n") if x.strip()]
-    if not lines:
-        return None
-    average = len(text) / len(lines)
-    if model and kind in ("js", "php") and average > 90 and names:
-        distinct = set(names)
-        blank = sum(map(text.count, " \t")) / len(text)
-        bits = sum(model.cross_entropy(x) for x in distinct) / len(distinct)
-        short = sum(len(x) <= 3 for x in names) / len(names)
-        if blank < 0.12 and (short > 0.45 or bits > MANGLED_BITS):
-            return "minified", "mangled names"
+            add("generated", "transpiled", "transpiled")
+    lines = text.count("\n") + 1 - sum(not x or x.isspace() for x in text.split("\n"))
+    bits = model.file_bits(names) if model and names else None
+    if lines and names and len(text) / lines > 90 and sum(map(text.count, " \t")) < 0.12 * len(text):
+        add("minified", "dense", "dense layout")
+        if sum(len(x) <= 2 for x in names) > 0.4 * len(names):
+            add("minified", "short", "short names")
     if template_like(_DECLARED.findall(text) + [x for x in _METHOD.findall(text) if x not in _BLOCKS]):
-        return "generated", "template names"
+        add("generated", "templates", "template names")
     if records(text):
-        return "data", "delimited records"
+        add("data", "records", "delimited records")
     digits = sum(map(text.count, "0123456789"))
     if digits > 0.08 * len(text) and len(text) > 150 and data_share(text) > 0.45:
-        return "data", "literals"
-    return None
+        add("data", "literals", "literals")
+    return out, bits
+
+
+def judge(kind: str, text: str, model: NameModel | None, packages: KnownPackages | None, middle: float = 0.0, spread: float | None = None) -> tuple[str, str] | None:
+    """(class, strongest reason) of a file that is no hand-written source, else None."""
+    found, bits = evidence(kind, text, model, packages)
+    if bits is not None and spread:
+        found.append(("minified", POINTS["names"] * min(MOST_DEVIATIONS, max(0.0, (bits - middle) / max(spread, LEAST_SPREAD))), "mangled names"))
+    sums = {c: sum(p for to, p, _ in found if to == c) for c in CLASSES}
+    best = max(CLASSES, key=lambda c: sums[c])
+    return (best, max((p, r) for to, p, r in found if to == best)[1]) if sums[best] >= ENOUGH else None
 
 
 def _names_of(chunks: DataFrame) -> DataFrame:
@@ -245,7 +294,7 @@ def train_names(chunks: DataFrame) -> dict[str, NameModel]:
         names: dict[str, Counter] = {}
         for batch in batches:
             for e, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                names.setdefault(FAMILY[e], Counter()).update(set(_NAME.findall(text)))
+                names.setdefault(FAMILY[e], Counter()).update(set(names_of(text)))
         for family, counter in names.items():
             grams = name_trigrams(counter)
             yield pa.RecordBatch.from_arrays([pa.array([family] * len(grams)), pa.array(grams.keys(), pa.string()), pa.array(grams.values(), pa.int64())], names=["family", "gram", "n"])
@@ -258,31 +307,65 @@ def train_names(chunks: DataFrame) -> dict[str, NameModel]:
     return {f: NameModel(c) for f, c in by.items()}
 
 
-def judge_files(chunks: DataFrame, library_files: DataFrame, library_limit_mb: int = 64) -> DataFrame:
-    """``project``, ``file``, ``class`` (generated, minified, third-party, data) and ``reason``: one
-    row for each whole file; both are null for hand-written source.
+def judge_files(chunks: DataFrame, library_files: DataFrame, library_block_mb: int = 64) -> DataFrame:
+    """``project``, ``file``, ``class`` (generated, minified, third-party, data), ``reason`` (the strongest)
+    and ``points``: one row for each whole file; class and reason are null for hand-written source.
 
-    Null and empty code is hand-written; of copies of a file's row any flagged one counts. The table
-    of known packages is broadcast as names and shingles; it is measured first and must stay under
-    ``library_limit_mb`` (it is a table of fixed size).
+    Null and empty code is hand-written; of copies of a file's row the one with most points counts.
+    Configuration formats are judged by tools' marks and lock files only, endings outside ``FAMILY``
+    not at all. The known packages are broadcast as names and shingles, in blocks of at most about
+    ``library_block_mb`` of code, each looked up in one pass over the files.
+
+    The files are read twice: once for the names' counts, once for their evidence; the spread of the
+    cross-entropies is then taken over the rows of evidence, a few numbers a file.
     """
     spark = chunks.sparkSession
     models = train_names(chunks)
-    size = library_files.agg(F.coalesce(F.sum(F.length("code")), F.lit(0))).first()[0]
-    if size > library_limit_mb << 20:
-        raise ValueError(f"the table of known packages has {size} characters, more than {library_limit_mb} MB")
-    packages = KnownPackages([r[0] for r in library_files.where(F.length("code") > 0).select("code").toLocalIterator()])
-    shared = spark.sparkContext.broadcast((models, packages))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, packages = shared.value
-        for batch in batches:
-            found = []
-            for e, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                kind = FAMILY.get(e, "other")
-                found.append(judge(kind, text, models.get(kind), packages if kind in ("js", "php") else None) if text and kind != "other" else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f and f[0] for f in found], pa.string()), pa.array([f and f[1] for f in found], pa.string())], names=["project", "file", "class", "reason"])
-
-    verdicts = whole_files(chunks).withColumn("__ending", ending(F.col("file"))).select("project", "file", "__ending", "code").mapInArrow(run, "project string, file string, class string, reason string")
-    worst = F.max(F.when(F.col("class").isNotNull(), F.struct("class", "reason")))
-    return verdicts.groupBy("project", "file").agg(worst.alias("x")).select("project", "file", F.col("x.class").alias("class"), F.col("x.reason").alias("reason"))
+    known = library_files.where(F.length("code") > 0)
+    size = known.agg(F.coalesce(F.sum(F.length("code")), F.lit(0))).first()[0]
+    blocks = 1 + size // (library_block_mb << 20)
+    files = whole_files(chunks).withColumn("__ending", ending(F.col("file"))).select("project", "file", "__ending", "code")
+    schema = "project string, file string, family string, bits double, " + ", ".join(f"`{c}` double, `why {c}` string" for c in CLASSES)
+
+    def read(block: int) -> DataFrame:
+        part = known.where(F.pmod(F.xxhash64("code"), F.lit(blocks)) == block) if blocks > 1 else known
+        shared = spark.sparkContext.broadcast((models, KnownPackages([r[0] for r in part.select("code").toLocalIterator()])))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            models, packages = shared.value
+            for batch in batches:
+                rows = []
+                for e, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                    kind = FAMILY.get(e, "other")
+                    found, bits = [], None
+                    if text and kind != "other":
+                        code = kind in ("js", "php")
+                        if not block:
+                            found, bits = evidence(kind, text, models.get(kind), packages if code else None)
+                        elif code:
+                            found = known_package(_NAME.findall(text), text, packages)
+                    row = [kind, bits]
+                    for c in CLASSES:
+                        mine = [(p, r) for to, p, r in found if to == c]
+                        row += [sum(p for p, _ in mine), max(mine)[1] if mine else None]
+                    rows.append(row)
+                columns = zip(*rows) if rows else [()] * (2 + 2 * len(CLASSES))
+                types = [pa.string(), pa.float64(), *[pa.float64(), pa.string()] * len(CLASSES)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, types))], names=names)
+
+        return files.mapInArrow(run, schema)
+
+    names = ["project", "file", "family", "bits", *(x for c in CLASSES for x in (c, f"why {c}"))]
+    rows = read(0)
+    for block in range(1, blocks):
+        rows = rows.unionByName(read(block))
+    rows = materialise(rows)
+    at = F.percentile_approx("bits", F.array(F.lit(0.5), F.lit(0.84)), 10_000)
+    usual = rows.where("bits IS NOT NULL").groupBy("family").agg(at.alias("q")).select("family", F.col("q")[0].alias("middle"), F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_SPREAD)).alias("spread"))
+    names_points = POINTS["names"] * F.least(F.lit(MOST_DEVIATIONS), F.greatest(F.lit(0.0), (F.col("bits") - F.col("middle")) / F.col("spread")))
+    judged = rows.join(F.broadcast(usual), "family", "left").withColumn("by names", F.coalesce(names_points, F.lit(0.0)))
+    judged = judged.withColumn("why minified", F.when(F.col("by names") > 1.5, "mangled names").otherwise(F.col("why minified"))).withColumn("minified", F.col("minified") + F.col("by names"))
+    best = F.greatest(*(F.struct(F.col(f"`{c}`").alias("points"), F.lit(-i).alias("place"), F.lit(c).alias("class"), F.col(f"`why {c}`").alias("reason")) for i, c in enumerate(CLASSES)))
+    top = judged.groupBy("project", "file").agg(F.max(best).alias("x"))
+    enough = F.col("x.points") >= ENOUGH
+    return top.select("project", "file", F.when(enough, F.col("x.class")).alias("class"), F.when(enough, F.col("x.reason")).alias("reason"), F.col("x.points").alias("points"))
