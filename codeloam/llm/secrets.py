@@ -14,6 +14,7 @@ import binascii
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -284,10 +285,39 @@ class _Reading:
 
     def __init__(self, text: str, ending: str):
         self.text, self.family = text, FAMILIES.get(ending, "plain")
-        self.tokens = lex(text, self.family)
-        self.comments = groups(self.tokens)
         self._inner: dict[int, Tokens] = {}
-        self._breaks = [-1, *(m.start() for m in re.finditer("\n", text))]
+        self._head = self._tail = self._said = 0
+
+    @cached_property
+    def tokens(self) -> Tokens:
+        return lex(self.text, self.family)
+
+    @cached_property
+    def comments(self) -> list[tuple[int, int]]:
+        return groups(self.tokens)
+
+    @cached_property
+    def _breaks(self) -> list[int]:
+        return [-1, *(m.start() for m in re.finditer("\n", self.text))]
+
+    @cached_property
+    def _inside(self) -> str:
+        return literal_text(self.tokens) if self.family in ("c", "php") else self.text
+
+    def forms(self, pattern: re.Pattern) -> Iterator[re.Match]:
+        """Matches inside literals and comments, or anywhere where values need no quotes."""
+        return pattern.finditer(self._inside) if pattern.search(self.text) else iter(())
+
+    def credential_name(self, place: int) -> int:
+        """What the name around a place tells, read without tokens."""
+        if self._head <= place < self._tail:
+            return self._said
+        head = place
+        while head and ((c := self.text[head - 1]).isalnum() or c in "_$.-"):
+            head -= 1
+        self._head, self._tail = head, _NAME_TAIL.match(self.text, place).end()
+        self._said = named(self.text[head : self._tail].rsplit(".", 1)[-1])
+        return self._said
 
     def line(self, place: int) -> int:
         """Where the line of a place begins."""
@@ -399,7 +429,6 @@ def spans(text: str, ending: str = "") -> list[tuple[int, int, str]]:
     if not has and not any(x in text for x in _PREFIXES) and ending not in BARE and ending not in ("json", "xml"):
         return []
     reading = _Reading(text, ending)
-    inside = literal_text(reading.tokens) if reading.family in ("c", "php") else text
     if "begin " in has:
         stop = 0
         ends = [m.span() for m in _KEY_BLOCK_END.finditer(text)]
@@ -411,29 +440,29 @@ def spans(text: str, ending: str = "") -> list[tuple[int, int, str]]:
             if _KEY_RUN.search(text, m.end(), body):
                 stop = after
                 found.append((m.start(), stop, "key block"))
-    for m in _PREFIXED.finditer(inside) if any(x in text for x in _PREFIXES) else ():
+    for m in reading.forms(_PREFIXED) if any(x in text for x in _PREFIXES) else ():
         if not _PLACEHOLDER.match(m.group()[4:]) and len(set(m.group()[4:])) > 5:
             found.append((m.start(), m.end(), "prefixed token"))
     if "://" in has:
-        for m in _URL.finditer(inside):
+        for m in reading.forms(_URL):
             password = m[2]
             if not _PLACEHOLDER.match(password) and not re.match(r"[${<%*]|:", password) and len(password) > 2 and not re.fullmatch(r"(?:password|passwd|pass|secret|user|x+)", password, re.I):
                 found.append((m.start(2), m.end(2), "url"))
-        for m in _PARAMETER.finditer(inside):
+        for m in reading.forms(_PARAMETER):
             if secret_like(m[1], 2) and not re.match(r"[${<%]", m[1]):
                 found.append((m.start(1), m.end(1), "url parameter"))
     if "bearer " in has or "basic " in has or "token" in has:
-        for m in _HEADER.finditer(inside):
+        for m in reading.forms(_HEADER):
             v = m[1]
             if m.group()[:5] == "Token" and not reading.says_auth(m.start()):
                 continue
             if not _PLACEHOLDER.match(v) and (any(c.isdigit() for c in v) and any(c.isalpha() for c in v) or ":" in _decoded(v)) and secret_like(v, 2):
                 found.append((m.start(1), m.end(1), "header"))
     if "-u " in has or "user" in has:
-        for m in _FLAG.finditer(inside):
+        for m in reading.forms(_FLAG):
             if not _PLACEHOLDER.match(m[2]) and m[2][0] not in "$<{":
                 found.append((m.start(2), m.end(2), "command option"))
-    for m in _OPTION.finditer(inside) if " -" in text else ():
+    for m in reading.forms(_OPTION) if " -" in text else ():
         if secret_like(m[2], 2) and m[2][0] not in "$<{":
             found.append((m.start(2), m.end(2), "command option"))
     for m in _ENCODED.finditer(text) if ending in BARE or ending in ("json", "xml", "conf") else ():
@@ -445,10 +474,11 @@ def spans(text: str, ending: str = "") -> list[tuple[int, int, str]]:
         if word in ("://", "begin ", "bearer ", "basic ", "-u "):
             continue
         line = reading.line(place)
-        comment = reading.comment(place)
         if word in _LOGIN_CUES and line not in lines_noted:
             lines_noted.add(line)
-            if comment or ending in ("md", "mdx", "txt"):
+            end = text.find("\n", line)
+            comment = None
+            if _NOTE.search(text, line, end if end >= 0 else len(text)) and ((comment := reading.comment(place)) or ending in ("md", "mdx", "txt")):
                 end = text.find("\n", line)
                 begin, end = line, end if end >= 0 else len(text)
                 if comment:
@@ -462,6 +492,9 @@ def spans(text: str, ending: str = "") -> list[tuple[int, int, str]]:
                     if v and secret_like(v, 2):
                         found.append((at, at + len(v), "note"))
                         break
+        if not reading.credential_name(place):
+            continue
+        comment = reading.comment(place)
         head, tail = reading.name(place)
         if head in done_names:
             continue
