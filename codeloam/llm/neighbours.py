@@ -16,13 +16,17 @@ from codeloam.session import materialise
 
 #: Links per node (twice as many on the ground layer), candidates a node's links are chosen from,
 #: and the beam of a search.
-LINKS, CANDIDATES, BEAM = 16, 48, 40
+LINKS, CANDIDATES, BEAM = 16, 32, 40
 #: Dimensions of the random projection that a search walks on; results are ranked on all of them.
-WALK_DIMS = 128
-#: Vectors per shard aimed at (least, most), and the most shards that have a centroid of their own.
-SHARD, SHARD_MOST, CENTROIDS_MOST = 2500, 65_536, 4096
-#: The routing's centroids are fitted on a sample of so many vectors per centroid, this many at most.
-SAMPLE_PER_CENTROID, SAMPLE_LEAST, SAMPLE_MOST = 128, 4096, 65_536
+WALK_DIMS = 192
+#: Vectors per shard aimed at. A cell with more than twice as many is split by centroids of its own.
+SHARD = 2500
+#: The centroids are fitted on a sample of so many vectors a shard (least, most in all). The most sample
+#: vectors and the least of a shard bound the number of shards, 16,384: a table of more than 41 million
+#: rows has larger shards, in which a vector costs the same but for a logarithm.
+SAMPLE_PER_SHARD, SAMPLE_LEAST, SAMPLE_MOST, LEAST_PER_SHARD = 128, 4096, 262_144, 16
+#: Parts that one cell is split into at a time, and vectors inserted into a graph at a time.
+FANOUT, BATCH = 64, 512
 #: A query visits its own shard and those whose centroid is at most ``REACH`` less similar to it
 #: than its nearest centroid, ``PROBES`` in all.
 PROBES, REACH = 3, 0.25
@@ -31,74 +35,92 @@ PROBES, REACH = 3, 0.25
 class Hnsw:
     """A hierarchical navigable small-world graph over unit vectors, kept as flat arrays.
 
-    Layer ``l`` holds the nodes ``members[l]`` and an int32 array ``links[l]`` of their neighbours
-    (places within the layer, padded with -1); ``below[l]`` gives their places one layer down.
-    Candidates of a node are its nearest in the layer and in two random prefixes of it, found by
-    blocked products, so that long links exist as in one-by-one insertion; links are chosen by the
-    diversity rule (a candidate nearer to a chosen one than to the node is left for last).
+    Layer ``l`` holds the nodes ``members[l]`` (the first ones of a random order) and an int32 array
+    ``links[l]`` of their neighbours (places within the layer, padded with -1). Layers are built from
+    the top down; each takes its nodes in batches that search the graph built so far, from where the
+    search of the layers above ends. Links are chosen by the diversity rule (a candidate nearer to a
+    chosen one than to the node is left for last) and go both ways.
     """
 
     def __init__(self, vectors: np.ndarray, walk: np.ndarray, seed: int = 1):
-        self.vectors, self.walk = vectors, walk
         n = len(walk)
-        level = (-np.log(np.random.default_rng(seed).random(n)) / np.log(LINKS)).astype(int)
-        self.members, self.links = [np.arange(n)], []
-        while len(self.members[-1]) > 4 * LINKS:
-            inner = self.members[-1][level[self.members[-1]] >= len(self.members)]
-            if len(inner) in (0, len(self.members[-1])):
-                break
-            self.members.append(inner)
-        for at, own in enumerate(self.members):
-            self.links.append(self._layer(walk[own], LINKS * 2 if at == 0 else LINKS))
-        self.below = [np.searchsorted(self.members[i - 1], m) if i else m for i, m in enumerate(self.members)]
-
-    @staticmethod
-    def _layer(x: np.ndarray, degree: int) -> np.ndarray:
-        n = len(x)
-        if n <= 1:
-            return np.full((n, degree), -1, np.int32)
-        links = np.full((n, degree), -1, np.int32)
-        sims = np.full((n, degree), -np.inf, np.float32)
-        near = min(CANDIDATES, n - 1)
-        for a in range(0, n, 512):
-            b = min(n, a + 512)
-            s = x[a:b] @ x.T
-            s[np.arange(b - a), np.arange(a, b)] = -np.inf
-            cand = np.argpartition(s, n - near, axis=1)[:, n - near :]
-            for prefix in (n // 4, n // 16):
-                if prefix > 16:
-                    cand = np.concatenate([cand, np.argpartition(s[:, :prefix], prefix - 6, axis=1)[:, prefix - 6 :]], axis=1)
-            cs = np.take_along_axis(s, cand, 1)
-            order = np.argsort(-cs, axis=1, kind="stable")
-            cand, cs = np.take_along_axis(cand, order, 1), np.take_along_axis(cs, order, 1)
-            repeat = np.zeros(cand.shape, bool)
-            repeat[:, 1:] = (cand[:, 1:] == cand[:, :-1]) | np.isneginf(cs[:, 1:])
+        #: place of a vector in the random order in which nodes are inserted, and back
+        self.order = np.random.default_rng(seed).permutation(n)
+        self.place = np.argsort(self.order)
+        self.vectors, self.walk = vectors, np.ascontiguousarray(walk[self.order])
+        self.sizes = [n]
+        while self.sizes[-1] > 4 * LINKS:
+            self.sizes.append(-(-self.sizes[-1] // LINKS))
+        self.links: list[np.ndarray] = [np.zeros((0, 0), np.int32)] * len(self.sizes)
+        for layer in range(len(self.sizes) - 1, -1, -1):
+            self._build(layer, LINKS * 2 if layer == 0 else LINKS)
+
+    def _build(self, layer: int, degree: int) -> None:
+        n, x = self.sizes[layer], self.walk
+        self.links[layer] = links = np.full((n, degree), -1, np.int32)
+        score = np.full((n, degree), -np.inf, np.float32)
+        done = 0
+        while done < n:
+            b = min(n, done + min(BATCH, max(done, 4 * LINKS)))
+            new = np.arange(done, b)
+            q = x[done:b]
+            s = q @ q.T  # a batch's nodes are candidates of each other
+            np.fill_diagonal(s, -np.inf)
+            near = min(CANDIDATES if not done else LINKS, b - done - 1)
+            own = np.argpartition(-s, near - 1, axis=1)[:, :near] if near > 0 else np.zeros((b - done, 0), np.int64)
+            cand, cs = done + own, np.take_along_axis(s, own, 1)
+            if done:
+                ids, sims = self._beam(layer, q, self._entry(layer, q, done), min(CANDIDATES, done))
+                cand, cs = np.concatenate([cand, ids], 1), np.concatenate([cs, np.where(ids >= 0, sims, -np.inf)], 1)
+            rank = np.argsort(-cs, axis=1, kind="stable")
+            cand, cs = np.take_along_axis(cand, rank, 1), np.take_along_axis(cs, rank, 1)
+            void = np.isneginf(cs)
             between = np.matmul(x[cand], x[cand].transpose(0, 2, 1))
             kept = np.zeros(cand.shape, bool)
             for c in range(cand.shape[1]):
-                kept[:, c] = ~repeat[:, c] & ~(kept[:, :c] & (between[:, c, :c] > cs[:, c, None])).any(1)
-            rank = np.argsort(np.where(repeat, 2, np.where(kept, 0, 1)), axis=1, kind="stable")[:, :degree]
-            valid = ~np.take_along_axis(repeat, rank, 1)
-            links[a:b, : rank.shape[1]] = np.where(valid, np.take_along_axis(cand, rank, 1), -1)
-            sims[a:b, : rank.shape[1]] = np.where(valid, np.take_along_axis(cs, rank, 1) + np.take_along_axis(kept, rank, 1) * 2, -np.inf)
-        # links both ways: each node keeps its best, the diverse ones first
-        src, col = np.nonzero(links >= 0)
-        dst, sim = links[src, col], sims[src, col]
-        both = np.unique(np.concatenate([np.stack([src, dst], 1), np.stack([dst, src], 1)]).astype(np.int64), axis=0, return_index=True)
-        edges, w = both[0], np.concatenate([sim, sim])[both[1]]
-        order = np.lexsort((-w, edges[:, 0]))
-        edges = edges[order]
-        first = np.searchsorted(edges[:, 0], np.arange(n))
-        place = np.arange(len(edges)) - first[edges[:, 0]]
-        take = place < degree
-        links[:] = -1
-        links[edges[take, 0], place[take]] = edges[take, 1]
-        return links
+                kept[:, c] = ~void[:, c] & ~(kept[:, :c] & (between[:, c, :c] > cs[:, c, None])).any(1)
+            worth = np.where(void, -np.inf, cs + 4 * kept)  # the diverse ones first
+            best = np.argsort(-worth, axis=1, kind="stable")[:, :degree]
+            cand, worth = np.take_along_axis(cand, best, 1), np.take_along_axis(worth, best, 1)
+            r, c = np.nonzero(~np.isneginf(worth))
+            self._connect(links, score, np.concatenate([new[r], cand[r, c]]), np.concatenate([cand[r, c], new[r]]), np.concatenate([worth[r, c]] * 2))
+            done = b
+
+    @staticmethod
+    def _connect(links: np.ndarray, score: np.ndarray, src: np.ndarray, dst: np.ndarray, worth: np.ndarray) -> None:
+        """Adds links; each node keeps its best."""
+        degree = links.shape[1]
+        nodes = np.unique(src)
+        old = links[nodes]
+        r, c = np.nonzero(old >= 0)
+        src, dst, worth = np.concatenate([nodes[r], src]), np.concatenate([old[r, c], dst]), np.concatenate([score[nodes][r, c], worth])
+        order = np.lexsort((dst, -worth, src))
+        src, dst, worth = src[order], dst[order], worth[order]
+        _, first = np.unique(src * len(links) + dst, return_index=True)  # a pair met from both ends counts once
+        keep = np.zeros(len(src), bool)
+        keep[first] = True
+        src, dst, worth = src[keep], dst[keep], worth[keep]
+        at = np.arange(len(src)) - np.searchsorted(src, src)
+        take = at < degree
+        links[nodes], score[nodes] = -1, -np.inf
+        links[src[take], at[take]], score[src[take], at[take]] = dst[take], worth[take]
+
+    def _entry(self, layer: int, q: np.ndarray, done: int) -> np.ndarray:
+        """Nodes of a layer, among its first ``done``, from which each query is searched there: what the
+        layers above give, and the first nodes of all."""
+        top = len(self.sizes) - 1
+        entry = np.tile(np.arange(min(self.sizes[top], 4 * LINKS if layer == top else 8 * LINKS, done), dtype=np.int32), (len(q), 1))
+        for above in range(top, layer, -1):
+            found, _ = self._beam(above, q, entry, min(8, self.sizes[above]))
+            entry = np.concatenate([np.where(found < done, found, -1), entry[:, :2]], 1)
+            entry.sort(axis=1)
+            entry[:, 1:][entry[:, 1:] == entry[:, :-1]] = -1
+        return entry
 
     def _beam(self, layer: int, q: np.ndarray, entry: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
         """Best ``ef`` nodes of a layer for each query, walked from ``entry`` (padded with -1)."""
-        x, links = self.walk[self.members[layer]], self.links[layer]
-        n, m = len(x), len(q)
+        x, links = self.walk, self.links[layer]
+        n, m = self.sizes[layer], len(q)
         seen = np.zeros((m, n + 1), bool)
         ids = np.full((m, ef), -1, np.int32)
         sims = np.full((m, ef), -np.inf, np.float32)
@@ -143,15 +165,9 @@ class Hnsw:
         """(nodes, cosines) of the ``k`` best for each query, padded with -1; ``own`` gives the
         queries' own nodes, where the walk starts and which are no results."""
         ef = min(max(BEAM, 2 * k), len(self.walk))
-        if own is not None:
-            entry = own[:, None]
-        else:
-            top = len(self.members) - 1
-            entry = np.tile(np.arange(min(len(self.members[top]), 8 * LINKS), dtype=np.int32), (len(q), 1))
-            for layer in range(top, 0, -1):
-                found, _ = self._beam(layer, q_walk, entry, min(8, len(self.members[layer])))
-                entry = np.where(found >= 0, self.below[layer][found], -1)
-        ids, _ = self._beam(0, q_walk, entry, ef)
+        at = None if own is None else self.place[own].astype(np.int32)
+        found, _ = self._beam(0, q_walk, self._entry(0, q_walk, len(self.walk)) if at is None else at[:, None], ef)
+        ids = np.where(found >= 0, self.order[found], -1)
         if own is not None:
             ids = np.where(ids == own[:, None], -1, ids)
         cos = np.where(ids >= 0, np.matmul(self.vectors[ids], q[:, :, None])[:, :, 0], -np.inf)
@@ -198,34 +214,56 @@ def fit_centroids(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 3) ->
     return centres
 
 
+def fit_shards(sample: np.ndarray, rows: int, target: int = SHARD) -> np.ndarray:
+    """Centroids of shards of about ``target`` rows: a cell with more than twice as many by its part of
+    the sample is split by centroids of its own, at most ``FANOUT`` at a time, until none is left that
+    is crowded or has too few sample vectors to split."""
+    share = rows / max(1, len(sample))
+    cells, out = [np.arange(len(sample))], []
+    while cells:
+        cell = cells.pop()
+        x = sample[cell]
+        k = min(FANOUT, round(len(cell) * share / target), len(cell) // LEAST_PER_SHARD)
+        if k > 1 and len(cell) * share > 2 * target:
+            centres = fit_centroids(x, k)
+            near = (x @ centres.T).argmax(1)
+            parts = [cell[near == i] for i in range(k)]
+            if sum(len(p) > 0 for p in parts) > 1:
+                cells += [p for p in parts if len(p)]
+                continue
+        centre = x.sum(0)
+        out.append(centre / max(1e-9, float(np.linalg.norm(centre))))
+    return np.array(out, np.float32).reshape(-1, sample.shape[1])
+
+
 def class_neighbours(vectors: DataFrame, vec_id: str, vector: str, dims: int, k: int, rows: int) -> DataFrame:
     """``rep`` and ``near`` (array of (-cosine, rep), best first): the ``k`` best among the distinct
-    vectors for each distinct vector, known by one ``vec_id`` of its copies (``rep``)."""
+    vectors for each distinct vector, known by one ``vec_id`` of its copies (``rep``). A vector is sent
+    to its own shard and to at most ``PROBES - 1`` others, in dense regions too."""
     spark = vectors.sparkSession
     table = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("vector"))
-    target = min(SHARD_MOST, max(SHARD, rows // CENTROIDS_MOST))
-    k_shards = max(1, min(CENTROIDS_MOST, round(rows / target)))
-    if k_shards > 1:
-        want = min(SAMPLE_MOST, max(SAMPLE_LEAST, SAMPLE_PER_CENTROID * k_shards))
-        share = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(min(1.0, want / rows) * (1 << 20))
-        kept = table.where(share).limit(2 * want).toArrow().combine_chunks()
-        batches = kept.to_batches() or [pa.RecordBatch.from_pylist([], schema=kept.schema)]
-        sample = _unit(np.concatenate([_usable(b, dims)[1] for b in batches]))
-        k_shards = max(1, min(k_shards, len(sample)))
-        centres = fit_centroids(sample, k_shards) if k_shards > 1 else np.zeros((1, dims), np.float32)
-        load = np.bincount((sample @ centres.T).argmax(1), minlength=k_shards) / max(1, len(sample)) * rows
-    else:
-        centres, load = np.zeros((1, dims), np.float32), np.array([rows])
-    subs = np.maximum(1, np.ceil(load / (4 * target))).astype(int)  # a crowded shard is several graphs
-    first = np.concatenate([[0], np.cumsum(subs)]).astype(int)
     onto = np.random.default_rng(5).standard_normal((dims, min(WALK_DIMS, dims))).astype(np.float32)
     onto = np.linalg.qr(onto)[0] if dims > WALK_DIMS else np.eye(dims, dtype=np.float32)
-    shared = spark.sparkContext.broadcast((centres, subs, first, onto))
+    centres = np.zeros((1, onto.shape[1]), np.float32)
+    if rows > 2 * SHARD:
+        want = min(SAMPLE_MOST, max(SAMPLE_LEAST, SAMPLE_PER_SHARD * round(rows / SHARD)))
+        share = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(min(1.0, want / rows) * (1 << 20))
+
+        def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                _, x = _usable(batch, dims)
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in _unit(x) @ onto] if len(x) else [], pa.binary())], names=["walk"])
+
+        kept = table.where(share).mapInArrow(project, "walk binary").limit(2 * want).toArrow().column(0).to_pylist()
+        sample = np.frombuffer(b"".join(kept), np.float32).reshape(-1, onto.shape[1])
+        if len(sample):
+            centres = fit_shards(sample / np.maximum(1e-9, np.linalg.norm(sample, axis=1, keepdims=True)), rows)
+    shared = spark.sparkContext.broadcast((centres, onto))
 
     schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("query", T.BooleanType()), T.StructField("vec_id", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("unit", T.BinaryType())])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, subs, first, _ = shared.value
+        centres, onto = shared.value
         sent: set[bytes] = set()
         for batch in batches:
             at, x = _usable(batch, dims)
@@ -241,23 +279,20 @@ def class_neighbours(vectors: DataFrame, vec_id: str, vector: str, dims: int, k:
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)[at][fresh]
             u, digests = _unit(x[fresh]), [digests[i] for i in fresh]
-            s = u @ centres.T
+            s = (u @ onto) @ centres.T
             near = np.argsort(-s, axis=1, kind="stable")[:, :PROBES]
             close = np.take_along_axis(s, near, 1)
             visit = close >= close[:, :1] - REACH
-            own = np.frombuffer(b"".join(d[:4] for d in digests), np.uint32).astype(np.int64)
-            shard, query, row = [first[near[:, 0]] + own % subs[near[:, 0]]], [np.zeros(len(u), bool)], [np.arange(len(u))]
-            for p in range(near.shape[1]):
-                for sub in range(int(subs[near[:, p]].max())):
-                    to = first[near[:, p]] + sub
-                    there = np.flatnonzero(visit[:, p] & (sub < subs[near[:, p]]) & (to != shard[0]))
-                    shard.append(to[there]), query.append(np.ones(len(there), bool)), row.append(there)
+            shard, query, row = [near[:, 0]], [np.zeros(len(u), bool)], [np.arange(len(u))]
+            for p in range(1, near.shape[1]):
+                there = np.flatnonzero(visit[:, p])
+                shard.append(near[there, p]), query.append(np.ones(len(there), bool)), row.append(there)
             r = np.concatenate(row)
             packed = [v.tobytes() for v in u]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shard), pa.int32()), pa.array(np.concatenate(query)), pa.array(ids[r], pa.int64()), pa.array([digests[i] for i in r], pa.binary()), pa.array([packed[i] for i in r], pa.binary())], names=schema.names)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        onto = shared.value[3]
+        onto = shared.value[1]
         now, held, held_ids, graph, reps = None, [], [], None, None
         segment = last = None
 
@@ -272,10 +307,11 @@ def class_neighbours(vectors: DataFrame, vec_id: str, vector: str, dims: int, k:
             if held:
                 x = np.concatenate(held)
                 reps = np.array(held_ids, np.int64)
-                graph, held = Hnsw(x, x @ onto), []
+                walk = x @ onto
+                graph, held = Hnsw(x, walk), []
                 for a in range(0, len(x), 512):
                     own = np.arange(a, min(len(x), a + 512), dtype=np.int32)
-                    yield result(reps[own], *graph.search(x[own], graph.walk[own], own, k))
+                    yield result(reps[own], *graph.search(x[own], walk[own], own, k))
 
         for batch in batches:
             shards = batch.column(0).to_numpy()
@@ -311,7 +347,7 @@ def class_neighbours(vectors: DataFrame, vec_id: str, vector: str, dims: int, k:
                     yield result(ids[part], *graph.search(q, q @ onto, None, k))
         yield from built()
 
-    n_shards = int(first[-1])
+    n_shards = len(centres)
     routed = table.mapInArrow(route, schema)
     found = routed.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", "query", "digest", "vec_id").mapInArrow(search, "rep bigint, near array<struct<far: double, rep: bigint>>")
     return found.groupBy("rep").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))

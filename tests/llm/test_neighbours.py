@@ -20,7 +20,7 @@ def brute(ids, x, k):
 def test_graph_finds_the_nearest():
     x = N._unit(clustered(3000, 48))
     g = N.Hnsw(x, x)
-    assert len(g.members) > 1 and all(l.dtype == np.int32 for l in g.links)
+    assert len(g.sizes) > 1 and all(l.dtype == np.int32 for l in g.links)
     q = N._unit(clustered(200, 48, seed=1) + 0.01)
     nodes, cos = g.search(q, q, None, 5)
     truth = np.argsort(-(q @ x.T), axis=1)[:, :5]
@@ -46,6 +46,32 @@ def test_shards_against_brute_force(spark, monkeypatch):
     assert np.mean([len(set(got[i].values()) & set(want[i])) / 5 for i in ids]) >= 0.95
 
 
+def test_dense_region_is_split_and_found(spark, monkeypatch):
+    """Two thirds of the vectors lie in one narrow region; each is still sent to few shards."""
+    monkeypatch.setattr(N, "SHARD", 200)
+    monkeypatch.setattr(N, "SAMPLE_LEAST", 2048)
+    rng = np.random.default_rng(4)
+    hot = rng.standard_normal(24)
+    x = np.concatenate([hot + 0.15 * clustered(1600, 24, seed=5, clusters=40), clustered(800, 24, seed=6)]).astype(np.float32)
+    ids = list(range(1, len(x) + 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, vector array<float>").repartition(4)
+    centres = N.fit_shards(N._unit(x), len(x), 200)
+    load = np.bincount((N._unit(x) @ centres.T).argmax(1), minlength=len(centres))
+    assert len(centres) >= 9 and load.max() <= 600
+    got = {}
+    for r in N.similar_vectors(df, dims=24, k=5).collect():
+        got.setdefault(r["vec_id"], set()).add(r["neighbour"])
+    want = brute(ids, x, 5)
+    assert len(got) == len(ids) and np.mean([len(got[i] & set(want[i])) / 5 for i in ids]) >= 0.95
+
+
+def test_every_vector_has_all_its_ranks(spark):
+    x = clustered(300, 16)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vector array<float>")
+    rows = N.similar_vectors(df, dims=16, k=5).groupBy("vec_id").count().collect()
+    assert len(rows) == 300 and {r["count"] for r in rows} == {5}
+
+
 def test_copies_ties_and_unusable_rows(spark):
     hot = [1.0, 2.0, 0.0, 0.0]
     rows = [(i, hot) for i in range(100, 160)] + [(1, [1.0, 2.0, 0.1, 0.0]), (2, [0.0, 0.0, 1.0, 0.0]), (3, [0.0, 0.0, 2.0, 0.01]), (4, [0.0, 0.0, 1.0, 0.0])]
