@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +16,9 @@ from codeloam.session import materialise
 
 #: Dimensions of the curve, bits per dimension, and buckets of the hashed document vectors.
 DIMS, BITS, BUCKETS = 4, 10, 4096
-#: Items packed together: neighbours along the curve. A block's least filled containers (at most
-#: ``REOPENED``) are packed again with the next block, so that a block's end costs no space.
-BLOCK, REOPENED = 4096, 64
+#: Items along the curve that a container is filled from: its neighbours first, and when less than this
+#: part of it is free, whatever of the window fits best.
+WINDOW, REST = 192, 4
 #: Items per range partition aimed at.
 PER_PARTITION = 50_000
 
@@ -56,30 +57,49 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Items (by index) of each container: largest first, each into the fullest that takes it.
+class CurvePacker:
+    """Fills containers from items that come in the order of the curve.
 
-    ``mask`` has a bit for each amount of free space that an open container has, so the fullest
-    one that fits is found without a search.
+    The last ``WINDOW`` unplaced items are at hand. A container takes the items nearest to its first one
+    that fit, until less than a part in ``REST`` is free, then the largest that fit. The first item
+    of the window is always taken, so none is left behind.
     """
-    by_free: dict[int, list[list[int]]] = {}
-    mask, out = 0, []
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        size = sizes[i]
-        fits = mask >> size
-        if fits:
-            free = size + (fits & -fits).bit_length() - 1
-            box = by_free[free].pop()
-            if not by_free[free]:
-                mask &= ~(1 << free)
-        else:
-            free = capacity
-            out.append(box := [])
-        box.append(i)
-        if left := free - size:
-            by_free.setdefault(left, []).append(box)
-            mask |= 1 << left
-    return out
+
+    def __init__(self, capacity: int, window: int = WINDOW):
+        self.capacity, self.window = capacity, window
+        self.near: list[tuple[int, int, tuple]] = []  # (number, size, item), in order of the curve
+        self.sizes: list[tuple[int, int]] = []  # (size, number), in order of size
+        self.count = 0
+
+    def add(self, size: int, item: tuple) -> Iterator[list[tuple]]:
+        """Takes an item; gives the containers that are complete."""
+        self.near.append((self.count, size, item))
+        insort(self.sizes, (size, self.count))
+        self.count += 1
+        if len(self.near) >= self.window:
+            yield self._filled()
+
+    def rest(self) -> Iterator[list[tuple]]:
+        while self.near:
+            yield self._filled()
+
+    def _take(self, at: int) -> tuple[int, int, tuple]:
+        entry = self.near.pop(at)
+        self.sizes.pop(bisect_left(self.sizes, (entry[1], entry[0])))
+        return entry
+
+    def _filled(self) -> list[tuple]:
+        room, box, at = self.capacity, [], 0
+        while at < len(self.near) and room * REST > self.capacity:
+            if self.near[at][1] <= room:
+                box.append(self._take(at))
+                room -= box[-1][1]
+            else:
+                at += 1
+        while room and (i := bisect_right(self.sizes, (room, self.count))):
+            box.append(self._take(bisect_left(self.near, (self.sizes[i - 1][1],))))
+            room -= box[-1][1]
+        return [item for _, _, item in sorted(box, key=lambda x: x[0])]
 
 
 def document_sizes(documents: DataFrame, item_id: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
@@ -148,37 +168,25 @@ def pack_documents(documents: DataFrame, capacity: int, item_id: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
-        carried: list[tuple] = []
-
-        def closed(last: bool) -> pa.RecordBatch:
-            nonlocal carried, first
-            boxes = best_fit([x[2] for x in carried], capacity)
-            again = []
-            if not last:
-                fill = sorted((sum(carried[i][2] for i in b), k) for k, b in enumerate(boxes))
-                again = [k for f, k in fill[:REOPENED] if f < 0.98 * capacity]
-            rows: list[tuple] = []
-            for k, b in enumerate(boxes):
-                if k in again:
-                    continue
+        packer = CurvePacker(capacity)
+        types = [pa.int64(), pa.int32(), pa.int32(), None, pa.int32(), pa.int64(), pa.int32()]
+
+        def rows(boxes: list[list[tuple]]) -> pa.RecordBatch:
+            nonlocal first
+            out: list[tuple] = []
+            for box in boxes:
                 at = 0
-                for position, i in enumerate(sorted(b)):
-                    item, part, size = carried[i]
-                    rows.append((first, position, at, item, part, part * capacity, size))
+                for position, (item, part, size) in enumerate(box):
+                    out.append((first, position, at, item, part, part * capacity, size))
                     at += size
                 first += 1
-            carried = [carried[i] for i in sorted(i for k in again for i in boxes[k])]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, types)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 7, types)], names=names)
 
-        types = [pa.int64(), pa.int32(), pa.int32(), None, pa.int32(), pa.int64(), pa.int32()]
         for batch in batches:
             types[3] = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, BLOCK):
-                carried += zip(*(c.to_pylist() for c in batch.slice(at, BLOCK).columns))
-                if len(carried) >= BLOCK:
-                    yield closed(False)
-        if carried:
-            yield closed(True)
+            yield rows([box for x in zip(*(c.to_pylist() for c in batch.columns)) for box in packer.add(x[2], x)])
+        if packer.near:
+            yield rows([*packer.rest()])
 
     kind = dict(documents.dtypes)[item_id]
     return ordered.select(item_id, "part", "size").mapInArrow(run, f"container bigint, position int, offset int, `{item_id}` {kind}, part int, start_token bigint, n_tokens int")

@@ -1,10 +1,11 @@
 import os
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from codeloam.llm.packing import best_fit, hilbert_key, pack_documents
+from codeloam.llm.packing import CurvePacker, hilbert_key, pack_documents
 from codeloam.llm.perfect_hash import PerfectHash
 from codeloam.llm.tokenizer import Encoder, encode_corpus, vocabulary
 
@@ -75,11 +76,23 @@ def test_hilbert_neighbours_touch():
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 100), max_size=80))
-def test_best_fit(sizes):
-    boxes = best_fit(sizes, 100)
-    assert sorted(i for b in boxes for i in b) == list(range(len(sizes)))
-    assert all(sum(sizes[i] for i in b) <= 100 for b in boxes)
-    assert sum(sum(sizes[i] for i in b) <= 50 for b in boxes) <= 1
+def test_window_larger_than_all(sizes):
+    packer = CurvePacker(100)
+    boxes = [b for i, n in enumerate(sizes) for b in packer.add(n, (i,))] + [*packer.rest()]
+    assert sorted(i for b in boxes for (i,) in b) == list(range(len(sizes))) and not packer.near and not packer.sizes
+    assert all(sum(sizes[i] for (i,) in b) <= 100 for b in boxes)
+    assert sum(sum(sizes[i] for (i,) in b) <= 50 for b in boxes) <= 1
+
+
+def test_containers_follow_the_curve():
+    rng = np.random.default_rng(2)
+    sizes = np.minimum(2048, rng.lognormal(5.5, 1.2, 20_000).astype(int) + 1).tolist()
+    packer = CurvePacker(2048)
+    boxes = [b for i, n in enumerate(sizes) for b in packer.add(n, (i,))] + [*packer.rest()]
+    assert sorted(i for b in boxes for (i,) in b) == list(range(len(sizes)))
+    assert sum(sizes) / (2048 * len(boxes)) > 0.99
+    reach = [max(b)[0] - min(b)[0] for b in boxes]
+    assert np.median(reach) < 200 and np.mean([np.std([i for (i,) in b]) for b in boxes]) < 100
 
 
 def test_containers(spark, reference):
