@@ -43,14 +43,15 @@ def _between(name: str, value: int, low: int, high: int) -> int:
 
 
 class Engine:
-    """Indexes the tree at ``root`` into ``store`` (a folder that all executors share) and answers.
+    """Indexes the tree at ``root`` into ``store`` (a folder that all executors share) and answers;
+    directories named in ``skip`` are left out.
 
     Reading tools raise ``NotIndexedError`` before the first ``index_project``; an unknown symbol or
     file gives an empty result.
     """
 
-    def __init__(self, spark: SparkSession, root: str, store: str | None = None):
-        self.spark, self.root = spark, os.path.abspath(root)
+    def __init__(self, spark: SparkSession, root: str, store: str | None = None, skip: tuple[str, ...] = ()):
+        self.spark, self.root, self.skip = spark, os.path.abspath(root), skip
         self.repository = git.git_root(self.root)
         self.branch = git.branch_name(self.repository) if self.repository else None
         self.project = hashlib.sha256(f"{self.root}\n{self.branch}".encode() if self.branch else self.root.encode()).hexdigest()[:8]
@@ -59,13 +60,12 @@ class Engine:
     # ---- indexing
 
     def _sources(self) -> DataFrame:
-        wanted = FS.scan(self.spark, self.root)
-        code = wanted.where(FS.extension(F.col("rel")).isin(*FS.SOURCE_EXTENSIONS))
+        code = FS.scan(self.spark, self.root, "source", self.skip)
         return code.select(F.lit(self.project).alias("project"), F.col("rel").alias("file"), F.decode("content", "UTF-8").alias("text"), "mtime_ms")
 
     def _chunks(self, sources: DataFrame) -> DataFrame:
         symbols = source.extract_chunks(sources, ["project"]).join(sources.select("file", "mtime_ms"), "file")
-        plain = FS.plain_chunks(FS.scan(self.spark, self.root)).withColumn("project", F.lit(self.project))
+        plain = FS.plain_chunks(FS.scan(self.spark, self.root, "plain", self.skip)).withColumn("project", F.lit(self.project))
         every = symbols.unionByName(plain, allowMissingColumns=True)
         # two symbols of one name in a file share an id: the last one stands
         last = every.withColumn("chunk_row", F.xxhash64("id", F.coalesce("start_line", F.lit(0))))
@@ -75,9 +75,10 @@ class Engine:
         """Extracts, compares with the last index, deletes what is stale or orphaned, embeds what has no
         vector, and refreshes the project memory; the manifest is written last. ``progress`` is called
         with (phase, done, total) as vectors are embedded and stored."""
-        sources = self._sources()
+        sources = materialise(self._sources())  # read once for chunks, calls and definitions
         chunks = self.store.write("chunks", self._chunks(sources))
         edges = self.store.write("edges", source.call_edges(sources, ["project"]))
+        self.store.write("symbol_files", retrieval.symbol_files(source.symbol_definitions(sources, ["project"])))
         manifest = incremental.build_manifest(chunks)
         old, kept, deleted, orphans = self.store.read_or_none("manifest"), self.store.read_or_none("chunk_vectors"), 0, 0
         if kept is not None:  # vectors of another length, say of an older embedder, are made again
@@ -105,12 +106,12 @@ class Engine:
     def sync_memory(self) -> tuple[int, int]:
         """Rebuilds documents, builds entries of new commits only, keeps the newest 150; gives the
         numbers of added and deleted entries."""
-        docs = FS.document_files(FS.scan(self.spark, self.root)).withColumn("project", F.lit(self.project))
+        docs = FS.document_files(FS.scan(self.spark, self.root, "doc", self.skip)).withColumn("project", F.lit(self.project))
         entries = memory.document_entries(docs)
         previous = self.store.read_or_none("entries")
         known = materialise(previous.select("project", "id")) if previous is not None else None  # outlives the old table
         if self.repository:
-            log = git.history(self.spark, self.repository).withColumn("project", F.lit(self.project))
+            log = materialise(git.history(self.spark, self.repository).withColumn("project", F.lit(self.project)))
             had = previous.where("kind = 'change'") if previous is not None else None
             new = log if had is None else log.join(had.select("sha"), "sha", "left_anti")
             built = memory.change_entries(new.drop("patch"), git.change_touches(new, self.repository))
@@ -124,7 +125,13 @@ class Engine:
         stored = self.store.write("entries", entries.withColumn("embedding_text", text))
         difference = incremental.entry_difference(known, stored) if known is not None else stored.select("project", "id", F.lit("added").alias("change")).distinct()
         counts = {r["change"]: r["n"] for r in difference.groupBy("change").agg(F.count("*").alias("n")).collect()}
-        self.store.write("memory_vectors", vectors.embed_column(stored.dropDuplicates(["id"]), ["project", "id"], "embedding_text"))
+        wanted = stored.dropDuplicates(["id"])
+        had = self.store.read_or_none("memory_vectors")
+        if had is not None:  # an entry's id stands for its text: only new ones are embedded
+            had = had.where(F.size("vector") == K.VECTOR_DIMS).join(wanted.select("project", "id"), ["project", "id"], "left_semi")
+            wanted = wanted.join(had.select("project", "id"), ["project", "id"], "left_anti")
+        made = vectors.embed_column(wanted, ["project", "id"], "embedding_text")
+        self.store.write("memory_vectors", made if had is None else had.unionByName(made))
         return counts.get("added", 0), counts.get("stale", 0)
 
     def _entries(self, sync: bool) -> DataFrame:
@@ -133,6 +140,11 @@ class Engine:
         e = self.store.read("entries").dropDuplicates(["project", "id"])
         return memory.dated(e.withColumn("kind_ord", F.when(F.col("kind") == "change", 0).otherwise(1)))
 
+    def latest_sha(self) -> str | None:
+        """The newest commit in log order, which need not be the newest in time."""
+        row = memory.log_newest(self.store.read("entries")).first() if self.repository else None
+        return row["latest_sha"] if row else None
+
     # ---- code tools
 
     def query_project(self, question: str) -> DataFrame:
@@ -150,8 +162,13 @@ class Engine:
 
     def index_status(self) -> DataFrame:
         """One row: files, chunks, symbols, edges, vectors, entries."""
-        counted = {"files": self.store.read("manifest").count(), "chunks": self.store.read("chunks").count(), "symbols": self.store.read("chunks").select("symbol").distinct().count(), "edges": self.store.read("edges").count(), "vectors": self.store.read("chunk_vectors").count(), "entries": self.store.read("entries").count()}
-        return self.spark.createDataFrame([(self.project, self.branch, *counted.values())], "project string, branch string, " + ", ".join(f"{k} long" for k in counted))
+        read = self.store.read
+        count = lambda t, c: read(t).agg(F.count("*").alias(c))
+        parts = [read("chunks").agg(F.count("*").alias("chunks"), F.countDistinct("symbol").alias("symbols")), *(count(t, c) for t, c in (("manifest", "files"), ("edges", "edges"), ("chunk_vectors", "vectors"), ("entries", "entries")))]
+        one = parts[0]
+        for p in parts[1:]:  # rows of one: no more than a line of counters
+            one = one.join(F.broadcast(p))
+        return one.select(F.lit(self.project).alias("project"), F.lit(self.branch).cast("string").alias("branch"), "files", "chunks", "symbols", "edges", "vectors", "entries")
 
     def get_symbol(self, symbol: str) -> DataFrame:
         """Up to ten chunks of a symbol, with callees and callers."""
@@ -175,7 +192,7 @@ class Engine:
         _between("hops", hops, 1, 3)
         start = self.spark.createDataFrame([(self.project, s, i) for i, s in enumerate(seeds)], "project string, symbol string, ord int")
         found = graph.expand_graph(self.store.read("edges"), start, hops, direction)
-        return found.join(retrieval.first_chunk_per_symbol(self.store.read("chunks"), found), ["project", "symbol"]).orderBy("pos")
+        return found.join(retrieval.first_chunk_per_symbol(self.store.read("chunks"), found, self.store.read_or_none("symbol_files")), ["project", "symbol"]).orderBy("pos")
 
     def list_symbols(self, file_filter: str | None = None) -> DataFrame:
         chunks = self.store.read("chunks")

@@ -379,7 +379,7 @@ def chunks_of(file: str, text: str) -> list[tuple[str, str, str, list[str], int,
     line = lambda at: bisect_right(starts, at)
     if ending == "php":
         if "<?" not in text:
-            return [(file, "file", text[:PLAIN_BYTES], [], 1, len(starts))]
+            return unread_chunk(file, text)
         found, imports = php_symbols(text), php_imports(text)
     else:
         found, imports = [s for s in ts_symbols(text) if s.kind != "closure"], ts_imports(text)
@@ -391,6 +391,11 @@ def chunks_of(file: str, text: str) -> list[tuple[str, str, str, list[str], int,
     return out
 
 
+def unread_chunk(file: str, text: str) -> list[tuple[str, str, str, list[str], int, int]]:
+    """A PHP file that is not read as such: one file chunk of at most 32,000 signs; none for others."""
+    return [(file, "file", text[:PLAIN_BYTES], [], 1, text.count("\n") + 1)] if file.lower().endswith(".php") else []
+
+
 def ranges_of(file: str, text: str) -> list[tuple[str, str, int, int]]:
     """(symbol, kind, first line, last line), closed; a symbol of the same name and first line once."""
     php = file.lower().endswith(".php")
@@ -405,25 +410,28 @@ def ranges_of(file: str, text: str) -> list[tuple[str, str, int, int]]:
     return list(seen.values())
 
 
-def _flat(files: DataFrame, keys: list[str], schema: str, types: list[pa.DataType], make) -> DataFrame:
-    """Rows of ``make(file, text)`` for each row of ``files(keys, file, text)``; a text that cannot be
-    read gives none."""
+def _flat(files: DataFrame, keys: list[str], schema: str, types: list[pa.DataType], make, otherwise=None) -> DataFrame:
+    """Rows of ``make(file, text)`` for each row of ``files(keys, file, text)``; a text on which that
+    fails gives those of ``otherwise``, else none."""
     n = len(keys)
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                file, text = batch.column(n)[i].as_py(), batch.column(n + 1)[i].as_py()
+            at, out = [], []
+            for i, (file, text) in enumerate(zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist())):
                 if not file or not text:
                     continue
+                text = text.removeprefix("\ufeff")
                 try:
-                    rows = make(file, text.removeprefix("﻿"))
-                except RecursionError:
-                    rows = []
-                if rows:
-                    own = [pa.array([batch.column(k)[i].as_py()] * len(rows), batch.column(k).type) for k in range(n)]
-                    yield pa.RecordBatch.from_arrays([*own, pa.array([file] * len(rows)), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names=[*keys, "file", *names])
+                    rows = make(file, text)
+                except Exception:  # a source that cannot be read is no reason to lose the others
+                    rows = otherwise(file, text) if otherwise else []
+                at += [i] * len(rows)
+                out += rows
+            rows_of = pa.array(at, pa.int64())
+            columns = zip(*out) if out else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows_of) for k in range(n + 1)), *(pa.array(c, t) for c, t in zip(columns, types))], names=[*keys, "file", *names])
 
     own = ", ".join(f"`{a}` {b}" for a, b in files.select(*keys).dtypes)
     return files.select(*keys, "file", "text").mapInArrow(run, ", ".join(x for x in (own, "file string", schema) if x))
@@ -432,7 +440,7 @@ def _flat(files: DataFrame, keys: list[str], schema: str, types: list[pa.DataTyp
 def extract_chunks(files: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Symbol chunks of source files: ``keys``, ``file``, ``symbol``, ``type``, ``code``, ``imports``,
     ``start_line``, ``end_line`` and the chunk ``id``."""
-    rows = _flat(files, keys or [], "symbol string, type string, code string, imports array<string>, start_line int, end_line int", [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32()], chunks_of)
+    rows = _flat(files, keys or [], "symbol string, type string, code string, imports array<string>, start_line int, end_line int", [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32()], chunks_of, unread_chunk)
     return rows.withColumn("id", chunk_id(F.col("file"), F.col("symbol")))
 
 
@@ -447,3 +455,17 @@ def _edges(file: str, text: str) -> list[tuple[str, str, int]]:
 def call_edges(files: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``src``, ``dst``, ``edge_ord`` of each file's calls."""
     return _flat(files, keys or [], "src string, dst string, edge_ord int", [pa.string(), pa.string(), pa.int32()], _edges)
+
+
+def _definitions(file: str, text: str) -> list[tuple[str, int]]:
+    if file.lower().endswith(".php"):
+        return [(s.name, i) for i, s in enumerate(php_symbols(text))]
+    order = {"function": 0, "closure": 1, "method": 2}
+    found = sorted((s for s in ts_symbols(text) if s.kind in order and s.name != "<anonymous>"), key=lambda s: (order[s.kind], s.start))
+    return [(s.name, i) for i, s in enumerate(found)]
+
+
+def symbol_definitions(files: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``symbol`` and ``def_ord`` of everything a file defines that calls can name: functions, closures and
+    methods, of PHP files classes, interfaces and traits too."""
+    return _flat(files, keys or [], "symbol string, def_ord int", [pa.string(), pa.int32()], _definitions)

@@ -5,7 +5,7 @@ PLAIN_EXTENSIONS = "json yaml yml toml sh bash dockerfile conf ini xml md mdx".s
 PLAIN_NAMES = ["Makefile", "Dockerfile", "docker-compose.yml", "docker-compose.yaml", ".dockerignore", ".gitignore", ".npmrc", ".nvmrc", ".editorconfig"]
 DOC_EXTENSIONS = "md mdx txt".split()
 DOC_NAMES = ["README", "README.md", "README.mdx", "CHANGELOG", "CHANGELOG.md", "CHANGELOG.txt", "HISTORY", "HISTORY.md", "ROADMAP.md", "NOTES.md", "RUNBOOK.md"]
-SKIPPED_DIRS = ["node_modules", ".git", ".code-intelligence", "dist", ".codeloam"]
+SKIPPED_DIRS = ["node_modules", ".git", "dist", ".codeloam"]
 PLAIN_BYTES, DOC_BYTES, DOC_BODY_CHARS, DOC_SECTIONS, DOC_ENTRIES = 32_000, 96_000, 4_000, 24, 120
 RESULT_CHARS, HISTORY_DEPTH, VECTOR_DIMS = 12_000, 150, 384
 

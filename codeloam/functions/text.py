@@ -1,7 +1,7 @@
 """Scalar functions as Column expressions; none needs Python on the executors.
 
 Null handling: a null text gives null, except where a docstring says otherwise. Lengths count code
-points. ``\\s`` below is Unicode white space where the text is trimmed.
+points unless said otherwise. ``\\s`` below is Unicode white space where the text is trimmed.
 """
 
 from __future__ import annotations
@@ -119,18 +119,23 @@ def strip_markdown(c: Column) -> Column:
     return c
 
 
-def normalise_line(c: Column) -> Column:
-    """Without the marks of headings, lists and quotes, with single blanks."""
-    c = trim(c)
-    for pattern, put in ((r"^#{1,6}\s+", ""), (r"^[-*+]\s+", ""), (r"^\d+\.\s+", ""), (r"^>\s?", ""), (r"\|", " "), (r"(?U)\s+", " ")):
-        c = F.regexp_replace(c, pattern, put)
-    return trim(c)
+#: White space of any kind but the line feed.
+_IN_LINE = r"[\s&&[^\n]]"
+
+
+def normalise_lines(c: Column) -> Column:
+    """A text whose lines are without the marks of headings, lists and quotes, with single blanks. Each
+    pattern runs once over the whole text, not once a line."""
+    ends = lambda x: F.regexp_replace(x, rf"(?U)(?md)^{_IN_LINE}+|{_IN_LINE}+$", "")
+    c = ends(c)
+    for pattern, put in ((rf"^#{{1,6}}{_IN_LINE}+", ""), (rf"^[-*+]{_IN_LINE}+", ""), (rf"^\d+\.{_IN_LINE}+", ""), (rf"^>{_IN_LINE}?", ""), (r"\|", " "), (rf"(?U){_IN_LINE}+", " ")):
+        c = F.regexp_replace(c, f"(?md){pattern}", put)
+    return ends(c)
 
 
 def meaningful_lines(c: Column) -> Column:
     """Normalised lines of at least 12 signs that are no rules; none for null."""
-    lines = F.transform(F.split(strip_markdown(text(c)), "\n"), normalise_line)
-    return F.filter(lines, lambda x: (F.length(x) >= 12) & ~x.rlike("^[-=_]{3,}$"))
+    return F.filter(F.split(normalise_lines(strip_markdown(text(c))), "\n"), lambda x: (F.length(x) >= 12) & ~x.rlike("^[-=_]{3,}$"))
 
 
 def inline_symbols(c: Column) -> Column:
@@ -140,9 +145,10 @@ def inline_symbols(c: Column) -> Column:
 
 
 def section_summary(doc_type: Column, title: Column, body: Column) -> Column:
-    lines = F.slice(meaningful_lines(body), 1, 2)
     head = F.concat(doc_type, F.lit(" note: "), title)
-    return F.when(F.size(lines) == 0, head).otherwise(F.substring(F.concat(head, F.lit(". "), F.array_join(lines, " ")), 1, 320))
+    of = lambda lines: F.when(F.size(lines) == 0, head).otherwise(F.substring(F.concat(head, F.lit(". "), F.array_join(lines, " ")), 1, 320))
+    # bound as a lambda's variable, so that the lines are made once
+    return F.element_at(F.transform(F.array(F.slice(meaningful_lines(body), 1, 2)), of), 1)
 
 
 # ---- changes
@@ -253,3 +259,18 @@ def score_label(score: Column) -> Column:
 
 def entry_label(kind: Column, sha: Column, path: Column) -> Column:
     return F.when(kind == "change", F.substring(sha, 1, 8)).otherwise(path)
+
+
+def entry_type(kind: Column, change_type: Column, doc_type: Column) -> Column:
+    return F.when(kind == "change", change_type).otherwise(F.concat(doc_type, F.lit(" doc")))
+
+
+def entry_source(kind: Column, sha: Column, path: Column, section: Column) -> Column:
+    """The commit; of a document its path, with the section unless that is the file's own name."""
+    named = (text(section) != "") & (section != F.regexp_extract(path, r"([^/\\\\]*)$", 1))
+    return F.when(kind == "change", sha).when(F.coalesce(named, F.lit(False)), F.concat(path, F.lit(" > "), section)).otherwise(path)
+
+
+def utf16_length(c: Column) -> Column:
+    """Length in UTF-16 units: a sign beyond the basic plane counts twice; 0 for null."""
+    return F.coalesce(F.length(c) + F.length(F.regexp_replace(c, r"[^\x{10000}-\x{10FFFF}]", "")), F.lit(0))

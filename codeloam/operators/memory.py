@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,6 +65,19 @@ def timeline(entries: DataFrame) -> DataFrame:
     return ranked.join(offsets, on).select(*(ranked[c] for c in entries.columns), (F.col("__at") + F.col("__before")).alias("pos"))
 
 
+def log_newest(changes: DataFrame) -> DataFrame:
+    """The newest commit of each project in log order (``log_pos``), which need not be the newest in
+    time: ``project``, ``latest_sha``."""
+    return changes.where("kind = 'change' AND log_pos IS NOT NULL").groupBy("project").agg(F.min_by("sha", "log_pos").alias("latest_sha"))
+
+
+def by_change_of_file(documents: DataFrame) -> DataFrame:
+    """Document entries with their place ``pos`` in their project: last changed file first, sections of
+    the same time in the order they were read (path and section)."""
+    w = Window.partitionBy("project").orderBy(F.col("source_mtime_ms").desc_nulls_last(), "path", "section_no")
+    return documents.withColumn("pos", F.row_number().over(w))
+
+
 def newest(entries: DataFrame, n: int) -> DataFrame:
     """The ``n`` newest entries of each project with their place ``pos``."""
     w = Window.partitionBy("project").orderBy(*newest_first())
@@ -108,27 +124,43 @@ def feature_map(entries: DataFrame, documents: int = 8, fallback: int = 5, chang
     return features.unionByName(others).withColumn("part", F.lit("documented")).unionByName(recent.withColumn("part", F.lit("recent")))
 
 
-def _top_topics(tokens: DataFrame, keys: list[str], most: int = 6) -> DataFrame:
-    scored = tokens.groupBy(*keys, "token").agg(F.sum("weight").alias("score"))
-    best = first_per_key(scored, keys, F.col("score").desc(), "token", n=most)
-    sorted_topics = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "token")))
-    return best.groupBy(*keys).agg(F.transform(sorted_topics, lambda x: x["token"]).alias("topics"))
+def _top_topics(rows: DataFrame, keys: list[str], parts: list[tuple[Column, int]], stop: list[str], most: int = 6) -> DataFrame:
+    """``keys`` and ``topics`` of each row that has a token: a token's score is the sum of the weights of
+    the texts it occurs in; best first, ties by name. A score concerns one row only, so there is no shuffle.
+    """
+    n, weights, stopped = len(keys), [w for _, w in parts], frozenset(stop)
+    camel, rest = re.compile("([a-z0-9])([A-Z])"), re.compile("[^a-z0-9]+")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, topics = [], []
+            for i, texts in enumerate(zip(*(batch.column(n + j).to_pylist() for j in range(len(weights))))):
+                score: Counter = Counter()
+                for text, w in zip(texts, weights):
+                    for t in rest.split(camel.sub(r"\1 \2", text).lower()) if text else ():
+                        if 3 <= len(t) <= 24 and t not in stopped:
+                            score[t] += w
+                if score:
+                    kept.append(i)
+                    topics.append([t for t, _ in sorted(score.items(), key=lambda x: (-x[1], x[0]))[:most]])
+            at = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(j).take(at) for j in range(n)), pa.array(topics, pa.list_(pa.string()))], names=[*keys, "topics"])
+
+    schema = ", ".join(f"`{a}` {b}" for a, b in rows.select(*keys).dtypes) + ", topics array<string>"
+    return rows.select(*keys, *(c.alias(f"__part{j}") for j, (c, _) in enumerate(parts))).mapInArrow(run, schema)
 
 
 def change_topics(changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Up to six topics of each change by weighted tokens of title, body, files, symbols and hints."""
-    w, stop = K.CHANGE_WEIGHTS, K.CHANGE_STOP_WORDS
-    weighted = lambda tokens, n: F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(n).alias("weight")))
-    each = lambda values, n: weighted(F.flatten(F.transform(values, lambda v: T.split_tokens(v, stop))), n)
-    everything = F.concat(weighted(T.split_tokens(T.text("title"), stop), w["title"]), weighted(T.split_tokens(T.text("body"), stop), w["body"]), each(T.items("files"), w["files"]), each(T.items("symbols"), w["symbols"]), each(T.all_hints(F.col("impacts")), w["hints"]))
-    return _top_topics(changes.select(*keys, F.explode(everything).alias("x")).select(*keys, "x.token", "x.weight"), keys)
+    """Up to six topics of each change by weighted tokens of title, body, files, symbols and hints; a
+    change without tokens has no row."""
+    w = K.CHANGE_WEIGHTS
+    lines = lambda c: F.array_join(c, "\n")
+    return _top_topics(changes, keys, [(T.text("title"), w["title"]), (T.text("body"), w["body"]), (lines(T.items("files")), w["files"]), (lines(T.items("symbols")), w["symbols"]), (lines(T.all_hints(F.col("impacts"))), w["hints"])], K.CHANGE_STOP_WORDS)
 
 
 def document_topics(documents: DataFrame, keys: list[str]) -> DataFrame:
     """Up to six topics of each document section by weighted tokens of path, title, body and type."""
-    w, stop = K.DOCUMENT_WEIGHTS, K.DOCUMENT_STOP_WORDS
-    weighted = lambda c: F.transform(T.split_tokens(T.text(c), stop), lambda t: F.struct(t.alias("token"), F.lit(w[c]).alias("weight")))
-    return _top_topics(documents.select(*keys, F.explode(F.concat(*(weighted(c) for c in w))).alias("x")).select(*keys, "x.token", "x.weight"), keys)
+    return _top_topics(documents, keys, [(T.text(c), w) for c, w in K.DOCUMENT_WEIGHTS.items()], K.DOCUMENT_STOP_WORDS)
 
 
 def freshness(kind: Column, at: Column, as_of: dt.datetime) -> Column:
@@ -170,7 +202,7 @@ def change_entries(commits: DataFrame, touches: DataFrame) -> DataFrame:
 def document_entries(files: DataFrame) -> DataFrame:
     """Assembles document entries from ``files(project, path, text, mtime_ms)``: their sections with
     body (cut to 4,000 signs), type, topics, summary and symbols; sections without a meaningful line
-    are dropped; a project keeps the newest 120 (by path and place first)."""
+    are dropped; a project keeps the first 120 by path and place."""
     from codeloam.extract.markdown import split_sections
 
     s = split_sections(files, ["project", "path"], "text").join(files.select("project", "path", "mtime_ms"), ["project", "path"])
@@ -179,4 +211,4 @@ def document_entries(files: DataFrame) -> DataFrame:
     s = s.withColumn("id", T.document_id(F.col("path"), F.col("title"), F.col("body"))).withColumn("summary", T.section_summary(F.col("doc_type"), F.col("title"), F.col("body")))
     s = s.join(document_topics(s, ["project", "path", "section_no"]), ["project", "path", "section_no"], "left").withColumn("topics", T.items("topics"))
     at = F.date_format(F.timestamp_millis(F.floor("mtime_ms")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    return s.select("project", "id", F.lit("document").alias("kind"), at.alias("timestamp"), "title", "body", "summary", F.lit("docs").alias("change_type"), "topics", F.array("path").alias("files"), T.inline_symbols(F.col("body")).alias("symbols"), "path", "doc_type", F.col("title").alias("section"), F.col("mtime_ms").alias("source_mtime_ms"), "section_no")
+    return s.select("project", "id", F.lit("document").alias("kind"), at.alias("timestamp"), "title", "body", "summary", F.lit("docs").alias("change_type"), "topics", F.array("path").alias("files"), T.inline_symbols(F.concat_ws("\n", "title", "body")).alias("symbols"), "path", "doc_type", F.col("title").alias("section"), F.col("mtime_ms").alias("source_mtime_ms"), "section_no")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloam.functions.text import question_tokens, uuid_form
+from codeloam.functions.text import question_tokens, utf16_length, uuid_form
 from codeloam.operators.graph import retrieval_expand
 from codeloam.operators.ordering import first_per_key, greedy_budget
 
@@ -29,11 +29,23 @@ def missing_symbols(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.select("project", "symbol").distinct().join(chunks.select("project", "symbol"), ["project", "symbol"], "left_anti")
 
 
-def first_chunk_per_symbol(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
-    """One row for each symbol: its first chunk, or ``?`` and ``unknown`` where there is none."""
+def symbol_files(definitions: DataFrame) -> DataFrame:
+    """``project``, ``symbol``, ``file``: where each symbol is defined; the last definition wins, PHP files
+    being read after the others, each kind in order of path."""
+    visited = F.struct(F.lower("file").endswith(".php"), "file", "def_ord")
+    return definitions.where("symbol IS NOT NULL AND file IS NOT NULL").groupBy("project", "symbol").agg(F.max_by("file", visited).alias("file"))
+
+
+def first_chunk_per_symbol(chunks: DataFrame, symbols: DataFrame, defined: DataFrame | None = None) -> DataFrame:
+    """One row for each symbol: its first chunk; where there is none, type ``unknown`` and the file of
+    ``defined`` (``symbol_files``), else ``?``."""
     first = with_point(chunks).where("symbol IS NOT NULL").groupBy("project", "symbol").agg(F.min_by(F.struct("file", "type", "chunk_row"), F.struct("point_id", "chunk_row")).alias("c"))
     joined = symbols.select("project", "symbol").distinct().join(first, ["project", "symbol"], "left")
-    return joined.select("project", "symbol", F.coalesce("c.file", F.lit("?")).alias("file"), F.coalesce("c.type", F.lit("unknown")).alias("type"), F.col("c.chunk_row").alias("chunk_row"))
+    known = F.lit(None).cast("string")
+    if defined is not None:
+        joined = joined.join(defined.select("project", "symbol", F.col("file").alias("defined_in")), ["project", "symbol"], "left")
+        known = F.col("defined_in")
+    return joined.select("project", "symbol", F.coalesce("c.file", known, F.lit("?")).alias("file"), F.coalesce("c.type", F.lit("unknown")).alias("type"), F.col("c.chunk_row").alias("chunk_row"))
 
 
 def related_chunks(chunks: DataFrame, related: DataFrame, results: DataFrame, most: int = 20) -> DataFrame:
@@ -66,6 +78,6 @@ def query_project(chunks: DataFrame, edges: DataFrame, hits: DataFrame, question
     found = direct.unionByName(related, allowMissingColumns=True)
     names = file_token_matches(chunks, question).join(found.select("project", "symbol").distinct(), ["project", "symbol"], "left_anti")
     names = first_per_key(names, ["project", "symbol"], F.col("pos").desc()).withColumn("score", F.lit(0.0)).withColumn("pos", F.col("pos").cast("long"))
-    every = found.unionByName(names, allowMissingColumns=True).withColumn("size", F.length("code"))
+    every = found.unionByName(names, allowMissingColumns=True).withColumn("size", utf16_length(F.col("code")))
     kept = greedy_budget(every, "project", "size", "pos")
     return every.join(kept, ["project", "pos"])

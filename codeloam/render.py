@@ -24,9 +24,11 @@ def result_lines(results: DataFrame) -> DataFrame:
 
 
 def memory_lines(hits: DataFrame) -> DataFrame:
-    """``line``, best first: score, source, title and summary of a memory question's results."""
-    source = T.entry_label(F.col("kind"), F.col("sha"), F.col("path"))
-    return hits.select(F.concat(F.format_string("%.3f", "score"), F.lit("  "), T.text(source), F.lit("  "), T.text("title"), F.lit(": "), T.text("summary")).alias("line"))
+    """``line``, best first: score, source, type, title and summary of a memory question's results."""
+    col = F.col
+    source = T.entry_source(col("kind"), col("sha"), col("path"), col("section"))
+    kind = T.entry_type(col("kind"), col("change_type"), col("doc_type"))
+    return hits.select(F.concat(F.format_string("%.3f", "score"), F.lit("  "), T.text(source), F.lit("  ["), T.text(kind), F.lit("]"), F.lit("  "), T.text("title"), F.lit(": "), T.text("summary")).alias("line"))
 
 
 def status_lines(status: dict[str, DataFrame]) -> DataFrame:
