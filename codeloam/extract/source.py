@@ -256,6 +256,8 @@ def ts_calls(text: str) -> list[tuple[str, str]]:
         name = m[2]
         if m.start(2) in declared:
             continue
+        if name == "async" and not m[1] and re.compile(r"\s*(?::[^={}]*)?=>").match(masked, _close(masked, m.end() - 1)):
+            continue  # the head of an arrow function
         if m[1]:
             calls.append((m.start(2), name, m[1].lstrip().startswith("this")))
         elif name not in _KEYWORDS and name != "constructor" and not re.search(r"\bnew\s+\Z", masked[max(0, m.start() - 16) : m.start()]):

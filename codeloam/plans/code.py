@@ -94,11 +94,12 @@ def stale_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH known AS (SELECT DISTINCT project, unnest(chunk_ids) AS id FROM file_manifest)
+WITH known AS (SELECT DISTINCT project, unnest(chunk_ids) AS id FROM file_manifest WHERE NOT ends_with(file, '.ts'))
 SELECT DISTINCT c.project, c.id FROM code_chunks c WHERE c.id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM known k WHERE k.project = c.project AND k.id = c.id)"""
 )
 def orphan_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = load(spark, sf_dir, "file_manifest").select("project", F.explode("chunk_ids").alias("id"))
+    """Stored ids that the manifest does not know once its TypeScript files are gone."""
+    known = load(spark, sf_dir, "file_manifest").where("NOT endswith(file, '.ts')").select("project", F.explode("chunk_ids").alias("id"))
     return incremental.orphan_ids(load(spark, sf_dir, "code_chunks"), known)
 
 
@@ -274,15 +275,14 @@ def file_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE r AS (SELECT project, chunk_row, coalesce(length(code), 0) AS s, row_number() OVER (PARTITION BY project ORDER BY chunk_row) AS n FROM code_chunks QUALIFY n <= 250),
+    r"""WITH RECURSIVE r AS (SELECT project, chunk_row, coalesce(length(code) + length(regexp_replace(code, '[^\x{10000}-\x{10FFFF}]', '', 'g')), 0) AS s, row_number() OVER (PARTITION BY project ORDER BY chunk_row) AS n FROM code_chunks),
 w AS (SELECT project, chunk_row, n, CASE WHEN s <= 12000 THEN s ELSE 0 END AS used, s <= 12000 AS kept FROM r WHERE n = 1
       UNION ALL SELECT r.project, r.chunk_row, r.n, CASE WHEN w.used + r.s <= 12000 THEN w.used + r.s ELSE w.used END, w.used + r.s <= 12000 FROM w JOIN r ON r.project = w.project AND r.n = w.n + 1)
 SELECT project, chunk_row, CAST(used AS BIGINT) AS used FROM w WHERE kept"""
 )
 def greedy_budget_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every chunk of a project in order, cut to the size budget. The SQL above stops at 250 chunks a
-    project, so it lacks what still fits after them: no row of sf0.01, one of sf0.1."""
-    sized = load(spark, sf_dir, "code_chunks").withColumn("size", F.length("code"))
+    """Every chunk of a project in order, cut to the size budget in UTF-16 units."""
+    sized = load(spark, sf_dir, "code_chunks").withColumn("size", T.utf16_length(F.col("code")))
     return greedy_budget(sized, "project", "size", "chunk_row")
 
 

@@ -27,7 +27,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def _fill() -> None:
-    from codeloam.plans import code, history, vectors  # noqa: F401
+    from codeloam.plans import code, history, parsers, vectors  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -21,21 +21,29 @@ ENTRY_FIELDS = [
 _ENTRY = "struct<" + ",".join(f"{a}:{t}" for a, t, _ in ENTRY_FIELDS) + ">"
 
 
-def _document(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One row ``d``: the parsed document; no row if there is no such file."""
+def _text(spark: SparkSession, path: str) -> DataFrame:
+    """One row ``value``: a document's text; no row if there is no such file."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return spark.createDataFrame([], "j string").select(F.from_json("j", schema).alias("d"))
-    return spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("d"))
+        return spark.createDataFrame([], "value string")
+    return spark.read.text(path, wholetext=True)
+
+
+def _document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return _text(spark, path).select(F.from_json("value", schema).alias("d"))
+
+
+def parse_manifest(documents: DataFrame, json: str) -> DataFrame:
+    """``file``, ``mtime_ms``, ``chunk_ids`` of manifest texts; a file in one of a text's two maps only has
+    null for the other."""
+    d = documents.select(F.from_json(json, "mtimes map<string,double>, fileChunks map<string,array<string>>").alias("d"))
+    both = F.array_union(F.map_keys("d.mtimes"), F.map_keys("d.fileChunks"))
+    return d.select("d", F.explode(both).alias("file")).select("file", F.try_element_at("d.mtimes", "file").alias("mtime_ms"), F.try_element_at("d.fileChunks", "file").alias("chunk_ids"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """``file``, ``mtime_ms``, ``chunk_ids``; a file in one of the two maps only has null for the other."""
-    d = _document(spark, path, "mtimes map<string,double>, fileChunks map<string,array<string>>")
-    times = d.select(F.explode("d.mtimes").alias("file", "mtime_ms"))
-    chunks = d.select(F.explode("d.fileChunks").alias("file", "chunk_ids"))
-    return times.join(chunks, "file", "full").select("file", "mtime_ms", "chunk_ids")
+    return parse_manifest(_text(spark, path), "value")
 
 
 def read_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -59,13 +67,14 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
     return _document(spark, path, "map<string,array<float>>").select(F.explode("d").alias("id", "vector"))
 
 
-def manifest_json(manifest: DataFrame) -> DataFrame:
-    """One row ``json`` of ``manifest(file, mtime_ms, chunk_ids)``."""
+def manifest_json(manifest: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``keys`` and ``json``: one document of ``manifest(file, mtime_ms, chunk_ids)`` for each key. A document
+    holds a whole project, as its format demands."""
     pairs = F.array_sort(F.collect_list(F.struct("file", "mtime_ms", "chunk_ids")))
-    made = manifest.where("file IS NOT NULL").agg(pairs.alias("p"))
+    made = manifest.where("file IS NOT NULL").groupBy(*(keys or [])).agg(pairs.alias("p"))
     times = F.map_from_entries(F.transform(F.filter("p", lambda x: x["mtime_ms"].isNotNull()), lambda x: F.struct(x["file"], x["mtime_ms"])))
     chunks = F.map_from_entries(F.transform("p", lambda x: F.struct(x["file"], F.coalesce(x["chunk_ids"], F.array().cast(_STRINGS)))))
-    return made.select(F.to_json(F.struct(times.alias("mtimes"), chunks.alias("fileChunks"))).alias("json"))
+    return made.select(*(keys or []), F.to_json(F.struct(times.alias("mtimes"), chunks.alias("fileChunks"))).alias("json"))
 
 
 def memory_json(entries: DataFrame, branch: str | None, head_sha: str | None, synced_at: str, max_commits: int) -> DataFrame:
