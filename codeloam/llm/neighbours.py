@@ -22,9 +22,9 @@ WALK_DIMS = 192
 #: Vectors per shard aimed at. A cell with more than twice as many is split by centroids of its own.
 SHARD = 2500
 #: The centroids are fitted on a sample of so many vectors a shard (least, most in all). The most sample
-#: vectors and the least of a shard bound the number of shards, 16,384: a table of more than 41 million
+#: vectors and the least of a shard bound the number of shards, 8,192: a table of more than 20 million
 #: rows has larger shards, in which a vector costs the same but for a logarithm.
-SAMPLE_PER_SHARD, SAMPLE_LEAST, SAMPLE_MOST, LEAST_PER_SHARD = 128, 4096, 262_144, 16
+SAMPLE_PER_SHARD, SAMPLE_LEAST, SAMPLE_MOST, LEAST_PER_SHARD = 128, 4096, 131_072, 16
 #: Parts that one cell is split into at a time, and vectors inserted into a graph at a time.
 FANOUT, BATCH = 64, 512
 #: A query visits its own shard and those whose centroid is at most ``REACH`` less similar to it

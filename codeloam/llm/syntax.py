@@ -56,6 +56,8 @@ _JS_INFIX = frozenset("in of instanceof as is extends implements from satisfies"
 _JS_RESERVED = frozenset("const var return throw new delete typeof void case if while switch else do class".split())
 _JS_CONTROL = frozenset("if while for switch with catch".split())
 _JS_MODIFIERS = frozenset("private public protected readonly abstract override declare".split())
+#: What may follow ``export``.
+_JS_EXPORTED = frozenset("const let var function class default async interface type enum namespace module abstract declare import as".split())
 _JS_BINARY = frozenset("= == === != !== && || ?? + - / % ** += -= *= /= %= &= |= ^= &&= ||= ??= **= <<= >>= >>>= => . ?. <= >= <<".split())
 _JS_NEVER_FIRST = _JS_BINARY - {"+", "-", "/", "."} | {"*"}
 _JSX_ELEMENT = re.compile(r"<(?:>|[A-Za-z_$])")
@@ -77,7 +79,8 @@ def check_js(text: str, ts: bool = False, jsx: bool = False) -> None:
     operand = True  # may an operand come next
     prev, prev2, kind = ";", "", "op"  # last token, the one before, its kind
     newline = True
-    word_before_paren = False
+    class_due = -1  # depth at which a class body is awaited
+    last_paren, pattern = "", False  # what the last closed parenthesis was; was it a pattern that must be assigned
 
     def template(at: int) -> tuple[int, bool]:
         m = _TEMPLATE.match(text, at)
@@ -173,20 +176,24 @@ def check_js(text: str, ts: bool = False, jsx: bool = False) -> None:
                 operand, kind = False, "word"
             else:
                 infix = tok in _JS_INFIX
-                if kind in ("word", "num", "str") and not newline and not operand and not infix:
+                if kind in ("word", "num", "str") and not operand and not infix and (not newline or top[0] == "(" or top[0] == "[" or not ts and top[1] == "object"):
                     raise Invalid("two operands without an operator", start)
+                if prev == "export" and kind == "word" and tok not in _JS_EXPORTED:
+                    raise Invalid("declaration expected", start)
+                if pattern and prev == "}" and not infix:
+                    raise Invalid("pattern without a value", start)
                 if not ts and kind == "word" and not newline:
                     if prev in _JS_MODIFIERS or prev in ("interface", "enum", "namespace", "type") and prev2 in (";", "}", "{", "export", "") and tok not in _JS_INFIX:
                         raise Invalid("type syntax outside TypeScript", start)
                 if not ts and prev == "as" and kind == "word" and not operand_before_as_ok(top, prev2):
                     raise Invalid("type syntax outside TypeScript", start)
-                if kind == "op" and prev == "as!":
-                    pass
                 operand, kind = tok in _JS_BEFORE_OPERAND, "word"
-                if tok == "case" or tok == "default":
+                if tok == "case" or tok == "default" and prev != "export":
+                    if top[4] and top[1] == "block":
+                        raise Invalid("label without a colon", start)
                     top[4] = True
-                if tok in _JS_CONTROL or tok == "function":
-                    word_before_paren = True
+                elif tok == "class":
+                    class_due = len(stack)
             prev2, prev = prev, tok
             newline = False
             continue
@@ -211,7 +218,15 @@ def check_js(text: str, ts: bool = False, jsx: bool = False) -> None:
         if group == 8:
             what = "block"
             if tok == "{":
-                if operand and kind == "op" and prev not in (";", "{", "}", ")", "=>", "", "${") and not (prev == ":" and (top[4] or ts)):
+                if prev == ")" and kind == "op" and last_paren == "call" and not newline and top[1] not in ("class", "object") and class_due != len(stack):
+                    raise Invalid("brace after an expression", start)
+                if kind in ("word", "str", "num", "tpl") and not operand and top[0] in ("(", "[") and class_due != len(stack):
+                    raise Invalid("brace after an operand", start)
+                if class_due == len(stack):
+                    what, class_due = "class", -1
+                elif prev in ("const", "let", "var") and kind == "word" and not member:
+                    what = "pattern"
+                elif operand and kind == "op" and prev not in (";", "{", "}", ")", "=>", "", "${") and not (prev == ":" and (top[4] or ts)):
                     what = "object"
                 elif prev in ("return", "default", "throw", "yield", "await", "typeof", "in", "of") and kind == "word" and not member:
                     what = "object"
@@ -222,6 +237,8 @@ def check_js(text: str, ts: bool = False, jsx: bool = False) -> None:
             elif tok == "(":
                 if prev in _JS_CONTROL and not (prev2 in (".", "?.")) or prev == "await" and prev2 == "for":
                     what = "control"
+                elif prev == "function" or prev2 == "function" or prev2 == "*" or prev == "*" or prev == ">":
+                    what = "params"
                 elif kind == "num" and not newline:
                     raise Invalid("number called", start)
             stack.append(top)
@@ -236,9 +253,14 @@ def check_js(text: str, ts: bool = False, jsx: bool = False) -> None:
                 raise Invalid("operand missing", start)
             if kind == "word" and prev in ("new", "typeof", "const", "throw", "case", "instanceof") and prev2 not in (".", "?.", ",", "{", "get", "set"):
                 raise Invalid("operand missing", start)
+            if what_open(top, ts):
+                raise Invalid("operand missing", start)
             what, tag = top[1], top[3]
             top = stack.pop()
             newline = False
+            if tok == ")":
+                last_paren = "call" if what == "block" else what
+            pattern = what == "pattern"
             if what == "template":
                 pos, whole = template(pos)
                 if whole:
@@ -305,6 +327,10 @@ def check_js(text: str, ts: bool = False, jsx: bool = False) -> None:
             top[3] += 1
             if not ts and text[pos : pos + 1] == ":":
                 raise Invalid("type syntax outside TypeScript", start)
+        if tok == ";":
+            if what_open(top, ts):
+                raise Invalid("operand missing", start)
+            top[3] = 0
         if tok in _JS_NEVER_FIRST and kind == "op" and (prev in (";", "(", "[", ",", "{") or prev in _JS_BINARY):
             if not (tok == "*" and prev in ("{", ",", ";")) and not (tok == "=>" and prev == ")"):
                 raise Invalid("operand missing", start)
@@ -328,6 +354,14 @@ def check_js(text: str, ts: bool = False, jsx: bool = False) -> None:
         raise Invalid("premature end", n)
 
 
+def what_open(top: list, ts: bool) -> bool:
+    """Is a label or, outside TypeScript, a conditional still without its colon where a statement or a
+    bracket ends?"""
+    if top[0] in ("{", "") and top[1] == "block" and top[4]:
+        return True
+    return not ts and top[1] in ("block", "control", "class", "params") and isinstance(top[3], int) and top[3] > 0
+
+
 def operand_before_as_ok(top: list, before: str) -> bool:
     """Is ``x as y`` legal in JavaScript here: in the braces of an import or export, or after ``*``."""
     return top[1] in ("import", "object") or before == "*" or top[0] == "{" and top[1] == "block" and before in ("default",)
@@ -355,6 +389,9 @@ _PHP_BINARY = frozenset("= == === != !== && || ?? + - * / % ** += -= *= /= .= %=
 _PHP_NEVER_FIRST = _PHP_BINARY - {"+", "-", "::"}
 _PHP_BEFORE_OPERAND = frozenset("return echo print new clone throw case instanceof and or xor as insteadof include include_once require require_once yield from global static function fn class interface trait enum extends implements namespace use const public private protected abstract final readonly var if elseif else while for foreach switch match catch try finally do goto default declare".split())
 _PHP_CONTROL = frozenset("if elseif while for foreach switch catch declare".split())
+#: Words that may stand right after a value.
+_PHP_AFTER_VALUE = frozenset("instanceof and or xor as insteadof use extends implements".split())
+_PHP_MODIFIERS = frozenset("public private protected static abstract final readonly".split())
 _PHP_CAST = re.compile(r"\(\s*(?:int|integer|bool|boolean|float|double|real|string|array|object|unset|binary)\s*\)", re.I)
 _PHP_NEEDS_OPERAND = frozenset("new clone throw instanceof function class".split())
 
@@ -363,14 +400,15 @@ def check_php(text: str) -> None:
     """PHP 8; text outside ``<?php`` is free."""
     n, pos = len(text), 0
     stack: list[list] = []
-    top = ["", "block", 0]
+    top = ["", "block", 0, 0]  # character, kind, place, open conditionals
+    closed_what = ""
     while True:
         opened = re.compile(r"<\?(?:php\b|=|(?=\s))", re.I).search(text, pos)
         if not opened:
             break
         pos = opened.end()
         prev, prev2, kind = ";", "", "op"
-        ended = False
+        ended = closed_may_precede = closed_control = closed_call = after_match = after_attribute = word_is_member = False
         while pos < n:
             m = _PHP.match(text, pos)
             if m is None:
@@ -422,23 +460,31 @@ def check_php(text: str) -> None:
                     raise Invalid("two operands without an operator", start)
                 if not member and kind == "word" and prev.lower() not in _PHP_BEFORE_OPERAND and low not in ("instanceof", "and", "or", "xor", "as", "insteadof", "extends", "implements") and top[1] != "types":
                     raise Invalid("two operands without an operator", start)
+                if kind == "op" and (prev == "]" and not after_attribute or prev == ")" and closed_call) and low not in _PHP_AFTER_VALUE:
+                    raise Invalid("two operands without an operator", start)
                 word_is_member = member and prev != "::" or member
                 prev2, prev, kind = prev, tok, "word"
                 continue
             if group == 11:
                 what = "block"
                 low = prev.lower() if kind == "word" else ""
-                if tok == "(":
+                if tok == "(" and kind == "word" and prev2.lower() in _PHP_MODIFIERS and low not in ("function", "fn"):
+                    raise Invalid("function expected", start)
+                if tok == "(" and low in ("class", "use"):
+                    what = "class"
+                elif tok == "(":
                     what = "control" if low in _PHP_CONTROL and not word_is_member else "match" if low == "match" else "params" if low in ("function", "fn") or prev2.lower() in ("function", "fn") or prev2 == "&" else "cast" if _PHP_CAST.match(text, start) else "call"
                 elif tok == "{":
                     if prev == ")" and after_match:
                         what = "match"
+                    elif prev == ")" and kind == "op" and closed_call and closed_what != "class":
+                        raise Invalid("brace after an expression", start)
                     elif member or low.endswith("\\"):
                         what = "name"
                     elif kind in ("var", "str", "num"):
                         raise Invalid("brace after an operand", start)
                 stack.append(top)
-                top = [tok, what, start]
+                top = [tok, what, start, 0]
                 prev2, prev, kind = prev, tok, "op"
                 continue
             if group == 12:
@@ -451,6 +497,11 @@ def check_php(text: str) -> None:
                     raise Invalid("operand missing", start)
                 if tok == "}" and top[1] == "block" and (kind in ("var", "str", "num") or kind == "word" and prev.lower() not in ("else", "do", "try") or kind == "op" and prev in (")", "]") and not closed_control):
                     raise Invalid("statement without its semicolon", start)
+                if top[3]:
+                    raise Invalid("operand missing", start)
+                closed_what = top[1]
+                closed_call = tok == ")" and top[1] in ("call", "class")
+                after_attribute = top[0] == "#["
                 closed_may_precede = tok == ")" and top[1] in ("control", "cast")
                 closed_control = tok == ")" and top[1] == "control"
                 after_match = tok == ")" and top[1] == "match"
@@ -469,6 +520,12 @@ def check_php(text: str) -> None:
                 raise Invalid("operand missing", start)
             if tok == ";" and top[0] in ("(", "[") and top[1] != "control":
                 raise Invalid(f"unbalanced {top[0]}", top[2])
+            if tok == "?" and (kind in ("var", "str", "num") or kind == "op" and prev in (")", "]") or kind == "word" and (word_is_member or prev.lower() not in _PHP_BEFORE_OPERAND)):
+                top[3] += 1
+            elif tok == ":" and top[3]:
+                top[3] -= 1
+            elif tok in (";", ",") and top[3]:
+                raise Invalid("operand missing", start)
             if kind == "word" and tok in _PHP_NEVER_FIRST - {"->", "?->", ".", "*", "<", ">"} and prev.lower() in ("return", "echo", "new", "throw", "function") and prev2 not in ("->", "?->", "::", "const", "case"):
                 raise Invalid("operand missing", start)
             if tok == "\\":

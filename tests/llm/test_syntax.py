@@ -50,3 +50,17 @@ def test_table(spark):
     rates = {(r["project"], r["language"]): (r["files"], r["invalid"], r["rate"]) for r in parse_rates(df).collect()}
     assert rates["p", "javascript"] == (2, 1, 0.5) and rates["p", "json"] == (1, 1, 1.0)
     assert parse_files(df.limit(0)).count() == parse_rates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("ending", "text", "valid"),
+    [
+        ("php", "<?php\n$a = f($x)\nreturn $a;", False), ("php", "<?php\n$a = [1]\nforeach ($a as $b) {}", False), ("php", "<?php\n$f = function () use ($x) { return 1; };\nif ($a) return f(1) and g();", True), ("php", "<?php\nclass A { public run($x) {} }", False), ("php", "<?php\nrun($x) { return 1; }", False),
+        ("php", "<?php\n$a = $b ? f($c) [0];", False), ("php", "<?php\nfunction f(?int $a): ?string { return $a ? 'x' : ($a ?: 'y'); }", True), ("php", "<?php\n$o = new class(1) extends B implements C { };", True), ("php", "<?php\nswitch ($a) { case 1: echo 'x'; break; default: g(); }", True),
+        ("js", "switch (a) { case 'x'\n f(); break; }", False), ("js", "const f = (a) { return a; };", False), ("js", "f(a { b: 1 });", False), ("js", "export async function f() {}\nexport f() {}", False), ("js", "const { a, b } f(c);", False), ("js", "a ? b; c();", False),
+        ("js", "class A extends m(B) { get x() { return 1; } static async *g(a) { } }\nif (a) { b() }\n{ c }", True), ("js", "const o = { f(a) { }, async g() { }, case: 1, default: 2 };", True), ("js", "for (const { a } of b) { }\nexport default class { }\nexport * from './x'", True), ("ts", "function f<T>(a?: T, b?): a is B { return a ? { c: 1 } : d; }\nabstract class A { private x?: string; constructor(@In() a: B,\n b: C) { super(); } }", True),
+        ("ts", "type X = {\n a: string\n b?: number\n}\ndeclare module 'x' { function f(a: string): void }\nenum E { A, B }", True),
+    ],
+)
+def test_missing_signs(ending, text, valid):
+    assert (fault(ending, text) is None) is valid
