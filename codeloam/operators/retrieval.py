@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from codeloam.functions.text import question_tokens, utf16_length, uuid_form
 from codeloam.operators.graph import retrieval_expand
 from codeloam.operators.ordering import first_per_key, greedy_budget
+from codeloam.session import materialise
 
 
 def with_point(chunks: DataFrame) -> DataFrame:
@@ -71,13 +72,13 @@ def query_project(chunks: DataFrame, edges: DataFrame, hits: DataFrame, question
     ``(project, chunk_row, score)`` by score, then related chunks; cut to the size budget."""
     direct = with_point(chunks).join(hits, ["project", "chunk_row"])
     w = Window.partitionBy("project").orderBy(F.col("score").desc(), "chunk_row")
-    direct = direct.withColumn("pos", F.row_number().over(w).cast("long"))
+    direct = materialise(direct.withColumn("pos", F.row_number().over(w).cast("long")))  # a few rows a project, read five times
     related = related_chunks(chunks, retrieval_expand(edges, direct), direct)
     rw = Window.partitionBy("project").orderBy("point_id", "chunk_row")
     related = related.withColumn("score", F.lit(0.0)).withColumn("pos", F.row_number().over(rw) + F.lit(1000).cast("long"))
     found = direct.unionByName(related, allowMissingColumns=True)
     names = file_token_matches(chunks, question).join(found.select("project", "symbol").distinct(), ["project", "symbol"], "left_anti")
     names = first_per_key(names, ["project", "symbol"], F.col("pos").desc()).withColumn("score", F.lit(0.0)).withColumn("pos", F.col("pos").cast("long"))
-    every = found.unionByName(names, allowMissingColumns=True).withColumn("size", utf16_length(F.col("code")))
+    every = materialise(found.unionByName(names, allowMissingColumns=True).withColumn("size", utf16_length(F.col("code"))))
     kept = greedy_budget(every, "project", "size", "pos")
     return every.join(kept, ["project", "pos"])

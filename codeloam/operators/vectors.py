@@ -91,16 +91,27 @@ def exact_search(queries: DataFrame, vectors: DataFrame, k: int, dims: int, id:
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "id"))).select("query_id", "rank", "id", "cosine")
 
 
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+
+
 def embed(texts: list[str | None], dims: int = VECTOR_DIMS) -> np.ndarray:
     """Deterministic hashed bag of words, bigrams and name parts, of unit length; a text without words
-    gives a zero vector."""
+    gives a zero vector. Words are numbered once a batch; all counting is done on arrays."""
+    words: dict[str, int] = {}
+    codes = [[words.setdefault(w.lower(), len(words)) for w in _PART.findall(t)] if t else [] for t in texts]
     out = np.zeros((len(texts), dims), np.float32)
-    for i, t in enumerate(texts):
-        words = re.findall(r"[A-Za-z]+|\d+", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", t or ""))
-        words = [w.lower() for w in words]
-        for w in words + [f"{a} {b}" for a, b in zip(words, words[1:])]:
-            h = xxhash.xxh3_64_intdigest(w)
-            out[i, h % dims] += 1 if h >> 63 else -1
+    if not words:
+        return out
+    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    flat = np.fromiter((c for row in codes for c in row), np.int64)
+    row = np.repeat(np.arange(len(texts)), [len(c) for c in codes])
+    pair = row[1:] == row[:-1]
+    h = hashes[flat]
+    both = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:])[pair] * np.uint64(0xC2B2AE3D27D4EB4F)
+    both ^= both >> np.uint64(29)
+    h, row = np.concatenate([h, both]), np.concatenate([row, row[1:][pair]])
+    sign = np.where(h >> np.uint64(63), 1.0, -1.0)
+    out += np.bincount(row * dims + (h % np.uint64(dims)).astype(np.int64), sign, len(texts) * dims).reshape(len(texts), dims).astype(np.float32)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm == 0, 1, norm)
 

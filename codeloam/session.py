@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from pathlib import Path
@@ -57,13 +56,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: lineage ends there, and the
-    result is not computed again when it is used twice."""
+    result is not computed again when it is used twice. The table is deleted when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/codeloam-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def tokenizer_dir() -> str:
-    """Where the public vocabularies lie; ``CODELOAM_TOKENIZERS`` overrides it."""
-    return os.environ.get("CODELOAM_TOKENIZERS", "/opt/tokenizers")

@@ -68,6 +68,33 @@ def test_ignore_rules(directory, rule, path, hit):
     assert bool(re.search(FS.rule_pattern(directory, rule), path)) is hit
 
 
+def test_negated_rules_and_kinds(spark, tmp_path):
+    for p in ("keep/a.ts", "logs/x.log", "logs/keep.log", "sub/logs/y.log", "big.md", "small.md", "idx/z.ts"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("x" * (200_000 if p == "big.md" else 5))
+    (tmp_path / ".gitignore").write_text("*.log\n!keep.log\n")
+    (tmp_path / "sub/.gitignore").write_text("# own\n!y.log\n")
+    names = lambda *a, **k: sorted(r["rel"] for r in FS.scan(spark, str(tmp_path), *a, **k).collect())
+    assert names(skip=("idx",)) == [".gitignore", "big.md", "keep/a.ts", "logs/keep.log", "small.md", "sub/.gitignore", "sub/logs/y.log"]
+    assert names("source") == ["idx/z.ts", "keep/a.ts"] and names("doc") == ["small.md"] and names("plain") == [".gitignore", "small.md", "sub/.gitignore"]
+
+
+def test_many_rules_meet_their_own_directories(spark):
+    files = spark.createDataFrame([("a/b/x.ts",), ("a/y.ts",), ("b/x.ts",), ("top.ts",), (None,)], "rel string")
+    rules = spark.createDataFrame([("a", "x.ts"), ("", "top.*"), ("b", "/y.ts"), ("a", "x.ts")], "dir string, rule string")
+    want = ["a/y.ts", "b/x.ts", None]
+    for most in (2_000, 1):
+        assert sorted((r["rel"] for r in FS.drop_ignored(files, rules, most_inlined=most).collect()), key=str) == sorted(want, key=str)
+
+
+def test_git_failures_are_no_empty_rows(tree):
+    sha = git.head_sha(str(tree))
+    assert git.patches(str(tree), [sha])[sha].startswith("diff --git") and git.patches(str(tree), []) == {}
+    assert git.blobs(str(tree), [f"{sha}:app.json", f"{sha}:none", f"{sha}:src"]) == ['{"name": "demo"}', None, None]
+    with pytest.raises(git.GitError):
+        git.patches(str(tree), ["0" * 40])
+
+
 def test_history(spark, tree):
     commits = git.history(spark, str(tree)).orderBy("log_pos").collect()
     assert [c["title"] for c in commits] == ["fix login of padded names", "add the auth service"]
@@ -112,6 +139,7 @@ def test_engine(spark, tree, tmp_path):
 
     (tree / "src/tool.php").unlink()
     os.utime(tree / "src/auth.ts", (2e9, 2e9))
+    assert engine.latest_sha() == git.head_sha(str(tree))
     second = engine.index_project()
     assert second.deleted > 0 and second.entries_added == second.entries_deleted == 0 and 0 < second.embedded < first.embedded
     assert engine.get_symbol("T\\run").count() == 0
@@ -148,3 +176,9 @@ def test_store_replaces_whole_tables(spark, tmp_path):
     store.write("t", spark.range(3))
     store.write("t", store.read("t").where(F.col("id") > 0))
     assert sorted(r["id"] for r in store.read("t").collect()) == [1, 2] and store.read_or_none("none") is None
+    before = store.read("t")  # a reader of the version before is not disturbed
+    store.write("t", spark.range(7))
+    assert before.count() == 2 and store.read("t").count() == 7
+    for _ in range(3):
+        store.write("t", spark.range(1))
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("v-")]) == 2

@@ -48,6 +48,14 @@ def test_overlap_equals_nested_loop(spark, ranges, hunks):
     assert sorted(x["symbol"] for x in intervals.touched_symbols(r, h, ["file"]).collect()) == want
 
 
+def test_overlap_of_very_long_intervals(spark):
+    ranges = [("f", "whole", 1, 10**9), ("f", "one", 5, 5), ("f", "far", 7 * 10**8, 7 * 10**8 + 3), ("g", "whole", 1, 10**9), ("g", "miss", 70, 90), ("h", "long", 2, 10**8), ("h", "after", 2 * 10**8, 3 * 10**8)]
+    hunks = [("f", 5, 6), ("f", 6 * 10**8, 8 * 10**8), ("g", 10**9, 2 * 10**9), ("h", 1, 10**8 + 5)]
+    r, h = spark.createDataFrame(ranges, "file string, symbol string, start_line int, end_line int"), spark.createDataFrame(hunks, "file string, start int, end int")
+    got = sorted((x["file"], x["symbol"]) for x in intervals.touched_symbols(r, h, ["file"]).collect())
+    assert got == [("f", "far"), ("f", "one"), ("f", "whole"), ("g", "whole"), ("h", "long")]
+
+
 def test_prune_parents(spark):
     arr = F.array(*map(F.lit, ["AuthService", "AuthService.login", "Auth", "N\\C", "N\\C::m", "Lone"]))
     assert one(spark, intervals.prune_parents(arr)) == ["AuthService.login", "Auth", "N\\C::m", "Lone"]
@@ -98,6 +106,39 @@ def test_commit_log(spark):
     assert [(r["sha"], r["parents"], r["title"], r["body"]) for r in got] == [("s1", ["p1", "p2"], "fix it", "line 1\nline 2"), ("s2", [], "root", "")]
 
 
+def test_snapshots_as_json(spark, tmp_path):
+    import json
+
+    from codeloam.sources import snapshots as J
+
+    (tmp_path / "m.json").write_text(json.dumps({"mtimes": {"a.ts": 1.5, "b.ts": 2.0}, "fileChunks": {"a.ts": ["x", "y"], "c.ts": []}}))
+    read = {r["file"]: (r["mtime_ms"], r["chunk_ids"]) for r in J.read_manifest(spark, str(tmp_path / "m.json")).collect()}
+    assert read == {"a.ts": (1.5, ["x", "y"]), "b.ts": (2.0, None), "c.ts": (None, [])}
+    again = J.parse_manifest(J.manifest_json(J.read_manifest(spark, str(tmp_path / "m.json"))), "json")
+    assert {r["file"]: (r["mtime_ms"], r["chunk_ids"]) for r in again.collect()} == read | {"b.ts": (2.0, [])}
+    (tmp_path / "g.json").write_text(json.dumps({"symbols": {"f": ["g", "h"]}, "callers": {"g": ["f"]}, "files": {"a.ts": ["./x"]}, "symbolFile": {"f": "a.ts"}}))
+    g = J.read_graph(spark, str(tmp_path / "g.json"))
+    assert [tuple(r) for r in g["edges"].orderBy("edge_ord").collect()] == [("f", "g", 0), ("f", "h", 1)] and g["symbol_files"].first()["file"] == "a.ts" and g["imports"].first()["import"] == "./x"
+    entries = [{"id": "change:1", "kind": "change", "sha": "1", "parents": ["0"], "timestamp": "2024-01-01T00:00:00Z", "title": "t", "topics": ["a"], "impacts": [{"file": "f", "status": "M", "symbols": ["s"], "hints": []}]}, {"id": "doc:2", "kind": "document", "path": "a.md", "docType": "note", "sourceMtimeMs": 5.5}]
+    (tmp_path / "p.json").write_text(json.dumps({"branch": "main", "headSha": None, "syncedAt": "now", "maxCommits": 150, "entries": entries}))
+    meta, rows = J.read_memory(spark, str(tmp_path / "p.json"))
+    assert tuple(meta.first()) == ("main", None, "now", 150) and [r["id"] for r in rows.orderBy("pos").collect()] == ["change:1", "doc:2"]
+    back = json.loads(J.memory_json(rows, "main", None, "now", 150).first()["json"])
+    assert back["entries"] == entries and back["maxCommits"] == 150
+    (tmp_path / "c.json").write_text(json.dumps({"x": [1.0, 2.0]}))
+    assert J.read_cache(spark, str(tmp_path / "c.json")).first()["vector"] == [1.0, 2.0]
+    assert J.read_cache(spark, str(tmp_path / "no.json")).count() == J.read_manifest(spark, str(tmp_path / "no.json")).count() == 0
+
+
+def test_entry_labels(spark):
+    rows = [("change", "abcdef0123", "fix", None, None, None), ("document", None, None, "note", "docs/a.md", "Intro"), ("document", None, None, "note", "docs/a.md", "a.md"), ("document", None, None, "note", "docs/a.md", None)]
+    d = spark.createDataFrame(rows, "kind string, sha string, change_type string, doc_type string, path string, section string")
+    c = F.col
+    got = d.select(T.entry_label(c("kind"), c("sha"), c("path")), T.entry_type(c("kind"), c("change_type"), c("doc_type")), T.entry_source(c("kind"), c("sha"), c("path"), c("section"))).collect()
+    assert [tuple(r) for r in got] == [("abcdef01", "fix", "abcdef0123"), ("docs/a.md", "note doc", "docs/a.md > Intro"), ("docs/a.md", "note doc", "docs/a.md"), ("docs/a.md", "note doc", "docs/a.md")]
+    assert one(spark, T.utf16_length(F.lit("a\U0001F600é"))) == 4 and one(spark, T.utf16_length(F.lit(None).cast("string"))) == 0
+
+
 def test_status_lines(spark):
     df = spark.createDataFrame([(" M a.ts",), ("?? b.md",), ("R  old.ts -> new.ts",)], "l string")
     assert [tuple(r) for r in parse_status(df, "l").collect()] == [("a.ts", "M"), ("b.md", "??"), ("new.ts", "R")]
