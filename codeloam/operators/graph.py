@@ -18,7 +18,8 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
 
 
 def adjacency(edges: DataFrame, inverse: bool = False) -> DataFrame:
-    """``symbol`` and its callees (or callers), in order of first occurrence."""
+    """``symbol`` and its callees (or callers) as an array, in order of first occurrence. For the edges of
+    listed symbols only; of all symbols ``callees`` and ``inverse`` give rows."""
     a, b = ("dst", "src") if inverse else ("src", "dst")
     pairs = F.array_sort(F.collect_list(F.struct("edge_ord", F.col(b).alias("other"))))
     return distinct_edges(edges).groupBy("project", F.col(a).alias("symbol")).agg(F.transform(pairs, lambda x: x["other"]).alias("callers" if inverse else "callees"))
@@ -83,6 +84,11 @@ def retrieval_expand(edges: DataFrame, hits: DataFrame) -> DataFrame:
     return one.unionByName(two).unionByName(back).distinct().join(hits, ["project", "symbol"], "left_anti")
 
 
+def callees(edges: DataFrame) -> DataFrame:
+    """``symbol``, ``callee``, ``edge_ord``: one row for each distinct call, at its first place."""
+    return distinct_edges(edges).select("project", F.col("src").alias("symbol"), F.col("dst").alias("callee"), "edge_ord")
+
+
 def inverse(edges: DataFrame) -> DataFrame:
     """``symbol``, ``caller``, ``edge_ord``: one row for each distinct call. A hub's callers can be a large
     part of all edges, so they are rows, not an array."""

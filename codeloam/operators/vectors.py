@@ -12,12 +12,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from codeloam.functions.constants import VECTOR_DIMS
 from codeloam.operators.ordering import first_per_key
 
-#: Queries in a block: what is sent to every task at once is at most this many vectors.
-QUERY_BLOCK = 4096
+#: Queries in a block, and blocks that one scan of all rows serves: what a task holds at once is at most
+#: so many vectors (about 100 MB at 384 dimensions).
+QUERY_BLOCK, BLOCKS_A_SCAN = 4096, 8
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -43,8 +45,10 @@ def exact_search(queries: DataFrame, vectors: DataFrame, k: int, dims: int, id:
     ``query_id``, ``rank``, ``id``, ``cosine``; ties by smaller id. Unusable vectors (null, of another
     length, zero, not finite) are no queries and no results; no rows give no rows.
 
-    Queries go in blocks of ``QUERY_BLOCK`` against all rows: a block is sent to each task (a bounded
-    size), and each batch of rows returns its best ``k`` a query, so few rows are shuffled.
+    Queries go in blocks of ``QUERY_BLOCK`` against all rows, ``BLOCKS_A_SCAN`` of them in one scan: they
+    are sent to each task (a bounded size), and each batch of rows returns its best ``k`` a query, so
+    few rows are shuffled. The cost is that of an exact search: queries times rows, and one scan of
+    the rows for every 32,768 queries.
     """
     spark = vectors.sparkSession
     wanted = queries.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("v"))
@@ -52,6 +56,29 @@ def exact_search(queries: DataFrame, vectors: DataFrame, k: int, dims: int, id:
     blocks = max(1, math.ceil(n / QUERY_BLOCK * 1.1))
     table = vectors.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("v"))
     found: list[DataFrame] = []
+    held: list = []
+
+    def scan(shared: list) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, x = _rows(batch, dims)
+                if not len(at):
+                    continue
+                own = np.asarray(batch.column(0))[at]
+                for block in shared:
+                    ids, q = block.value
+                    for a in range(0, len(q), 512):
+                        s = np.round(q[a : a + 512] @ x.T, 12)
+                        if not include_self:
+                            s[ids[a : a + 512, None] == own[None, :]] = -np.inf
+                        m = min(k, s.shape[1])
+                        # everything at least as good as the k-th best: ties are cut later, by id
+                        least = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
+                        r, c = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 512][r]), pa.array(own[c]), pa.array(s[r, c])], names=["query_id", "id", "cosine"])
+
+        return table.mapInArrow(run, "query_id bigint, id bigint, cosine double")
+
     for b in range(blocks):
         part = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
         got = part.toArrow().combine_chunks()
@@ -62,32 +89,16 @@ def exact_search(queries: DataFrame, vectors: DataFrame, k: int, dims: int, id:
         ids, q = np.concatenate([p[0] for p in pieces]), np.concatenate([p[1] for p in pieces])
         if not len(ids):
             continue
-        shared = spark.sparkContext.broadcast((ids, q))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            for batch in batches:
-                at, x = _rows(batch, dims)
-                if not len(at):
-                    continue
-                own = np.asarray(batch.column(0))[at]
-                for a in range(0, len(q), 512):
-                    s = np.round(q[a : a + 512] @ x.T, 12)
-                    if not include_self:
-                        s[ids[a : a + 512, None] == own[None, :]] = -np.inf
-                    m = min(k, s.shape[1])
-                    # everything at least as good as the k-th best: ties are cut later, by id
-                    least = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
-                    r, c = np.nonzero((s >= least[:, None]) & np.isfinite(s))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 512][r]), pa.array(own[c]), pa.array(s[r, c])], names=["query_id", "id", "cosine"])
-
-        found.append(table.mapInArrow(run, "query_id bigint, id bigint, cosine double"))
+        held.append(spark.sparkContext.broadcast((ids, q)))
+        if len(held) == BLOCKS_A_SCAN:
+            found.append(scan(held))
+            held = []
+    if held:
+        found.append(scan(held))
     if not found:
         return spark.createDataFrame([], "query_id bigint, rank int, id bigint, cosine double")
     every = reduce(DataFrame.unionByName, found)
     best = first_per_key(every, ["query_id"], F.col("cosine").desc(), "id", n=k)
-    from pyspark.sql.window import Window
-
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "id"))).select("query_id", "rank", "id", "cosine")
 
 

@@ -14,6 +14,7 @@ from codeloam.sources.files import is_doc_file, is_plain_file
 
 SPLIT_FILE = "regexp_extract(file, '([^/\\\\]*)$', 1)"
 EDGES = "SELECT project, src, dst, min(edge_ord) AS edge_ord FROM call_edges WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY ALL"
+SEEDS = """seeds AS (SELECT project, src AS symbol, row_number() OVER (PARTITION BY project ORDER BY count(*) DESC, src) AS ord FROM e GROUP BY project, src QUALIFY ord <= 3)"""
 POINT = r"regexp_replace(id, '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5')"
 QUESTION = "Where does the orchard vector kernel load its config?"
 
@@ -135,9 +136,20 @@ def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(e, "project", "left").withColumn("edges", F.coalesce("edges", F.lit(0)))
 
 
-@query(f"WITH e AS ({EDGES}) SELECT project, src AS symbol, string_agg(dst, ',' ORDER BY edge_ord, dst) AS callees FROM e GROUP BY ALL")
+@query(f"WITH e AS ({EDGES}) SELECT project, src AS symbol, dst AS callee, edge_ord FROM e")
 def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.adjacency(load(spark, sf_dir, "call_edges")).withColumn("callees", F.array_join("callees", ","))
+    return graph.callees(load(spark, sf_dir, "call_edges"))
+
+
+@query(
+    f"""WITH e AS ({EDGES}), {SEEDS}, o AS (SELECT project, src AS symbol, string_agg(dst, ',' ORDER BY edge_ord, dst) AS callees FROM e GROUP BY ALL), i AS (SELECT project, dst AS symbol, string_agg(src, ',' ORDER BY edge_ord, src) AS callers FROM e GROUP BY ALL)
+SELECT project, symbol, coalesce(callees, '') AS callees, coalesce(callers, '') AS callers FROM seeds LEFT JOIN o USING (project, symbol) LEFT JOIN i USING (project, symbol)"""
+)
+def neighbours_of_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Callees and callers of the listed symbols."""
+    edges = load(spark, sf_dir, "call_edges")
+    found = graph.with_neighbours(_seeds(edges).select("project", "symbol"), edges)
+    return found.select("project", "symbol", F.array_join("callees", ",").alias("callees"), F.array_join("callers", ",").alias("callers"))
 
 
 @query(f"WITH e AS ({EDGES}) SELECT project, dst AS symbol, src AS caller, edge_ord FROM e")
@@ -165,8 +177,6 @@ def symbols_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("symbols", F.array_join(F.transform("symbols", lambda x: F.concat_ws(" ", x["symbol"], x["out_degree"], x["in_degree"])), ","))
 
 
-SEEDS = """seeds AS (SELECT project, src AS symbol, row_number() OVER (PARTITION BY project ORDER BY count(*) DESC, src) AS ord FROM e GROUP BY project, src QUALIFY ord <= 3)"""
-
 
 def _seeds(edges: DataFrame) -> DataFrame:
     """The three symbols of each project that call most others."""
