@@ -249,7 +249,7 @@ def check_js(text: str, ts: bool = False, jsx: bool = False) -> None:
             want = {")": "(", "]": "[", "}": "{"}[tok]
             if top[0] != want:
                 raise Invalid(f"unbalanced {tok}", start)
-            if kind == "op" and prev in _JS_BINARY and not (prev == "=>" and False):
+            if kind == "op" and prev in _JS_BINARY:
                 raise Invalid("operand missing", start)
             if kind == "word" and prev in ("new", "typeof", "const", "throw", "case", "instanceof") and prev2 not in (".", "?.", ",", "{", "get", "set"):
                 raise Invalid("operand missing", start)
@@ -284,7 +284,7 @@ def check_js(text: str, ts: bool = False, jsx: bool = False) -> None:
         if tok[0] in "<>=|":
             _marker(text, start)
         if tok == "/" or tok == "/=":
-            if operand and not (prev in (")", "}") and kind == "op" and not (prev == "}" or top)):
+            if operand:
                 r = _REGEX.match(text, start)
                 if r:
                     pos = r.end()
@@ -514,7 +514,7 @@ def check_php(text: str) -> None:
             # operators
             if tok[0] in "<>=|":
                 _marker(text, start)
-            if kind == "op" and tok in _PHP_NEVER_FIRST and (prev in (";", "(", "[", ",", "{", "=>") or prev in _PHP_BINARY) and not (tok == "." and False):
+            if kind == "op" and tok in _PHP_NEVER_FIRST and (prev in (";", "(", "[", ",", "{", "=>") or prev in _PHP_BINARY):
                 raise Invalid("operand missing", start)
             if kind == "op" and tok in (";", ",") and (prev in _PHP_BINARY or prev == "=>"):
                 raise Invalid("operand missing", start)
@@ -774,7 +774,7 @@ def check_yaml(text: str) -> None:
                     raise Invalid("neither key nor item", starts[i])
                 parent = value_due[0] if value_due else -1
                 if first and not stack and value_due is None:
-                    if getattr(check_yaml, "_", None) is None and i and any(x.strip() and x.lstrip()[0] != "#" for x in lines[:i]) and not re.match(r"---", lines[0]):
+                    if i and any(x.strip() and x.lstrip()[0] != "#" for x in lines[:i]) and not re.match(r"---", lines[0]):
                         raise Invalid("text after a value", starts[i])
                 i = value(body.rstrip(), i, column, parent)
                 break
@@ -985,7 +985,7 @@ def check_sh(text: str) -> None:
                 stack[-1][2] = True
                 stack[-1].append(True)
                 continue
-            if command or last in ("word", "redirect") and tok == "}" and False:
+            if command:
                 if last == "redirect":
                     last = "word"
                     continue
