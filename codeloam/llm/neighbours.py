@@ -16,13 +16,13 @@ from codeloam.session import materialise
 
 #: Links per node (twice as many on the ground layer), candidates a node's links are chosen from,
 #: and the beam of a search.
-LINKS, CANDIDATES, BEAM = 16, 32, 40
+LINKS, CANDIDATES, BEAM = 16, 32, 48
 #: Dimensions of the random projection that a search walks on; results are ranked on all of them.
-WALK_DIMS = 192
+WALK_DIMS = 320
 #: Vectors per shard aimed at. A cell with more than twice as many is split by centroids of its own.
-SHARD = 2500
+SHARD = 6000
 #: The centroids are fitted on a sample of so many vectors a shard (least, most in all). The most sample
-#: vectors and the least of a shard bound the number of shards, 8,192: a table of more than 20 million
+#: vectors and the least of a shard bound the number of shards, 8,192: a table of more than 49 million
 #: rows has larger shards, in which a vector costs the same but for a logarithm.
 SAMPLE_PER_SHARD, SAMPLE_LEAST, SAMPLE_MOST, LEAST_PER_SHARD = 128, 4096, 131_072, 16
 #: Parts that one cell is split into at a time, and vectors inserted into a graph at a time.
@@ -214,7 +214,7 @@ def fit_centroids(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 3) ->
     return centres
 
 
-def fit_shards(sample: np.ndarray, rows: int, target: int = SHARD) -> np.ndarray:
+def fit_shards(sample: np.ndarray, rows: int, target: int) -> np.ndarray:
     """Centroids of shards of about ``target`` rows: a cell with more than twice as many by its part of
     the sample is split by centroids of its own, at most ``FANOUT`` at a time, until none is left that
     is crowded or has too few sample vectors to split."""
@@ -257,7 +257,7 @@ def class_neighbours(vectors: DataFrame, vec_id: str, vector: str, dims: int, k:
         kept = table.where(share).mapInArrow(project, "walk binary").limit(2 * want).toArrow().column(0).to_pylist()
         sample = np.frombuffer(b"".join(kept), np.float32).reshape(-1, onto.shape[1])
         if len(sample):
-            centres = fit_shards(sample / np.maximum(1e-9, np.linalg.norm(sample, axis=1, keepdims=True)), rows)
+            centres = fit_shards(sample / np.maximum(1e-9, np.linalg.norm(sample, axis=1, keepdims=True)), rows, SHARD)
     shared = spark.sparkContext.broadcast((centres, onto))
 
     schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("query", T.BooleanType()), T.StructField("vec_id", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("unit", T.BinaryType())])
