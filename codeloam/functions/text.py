@@ -273,4 +273,4 @@ def entry_source(kind: Column, sha: Column, path: Column, section: Column) -> Co
 
 def utf16_length(c: Column) -> Column:
     """Length in UTF-16 units: a sign beyond the basic plane counts twice; 0 for null."""
-    return F.coalesce(F.length(c) + F.length(F.regexp_replace(c, r"[^\x{10000}-\x{10FFFF}]", "")), F.lit(0))
+    return F.coalesce((F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int"), F.lit(0))

@@ -13,7 +13,7 @@ def touched_symbols(ranges: DataFrame, hunks: DataFrame, keys: list[str]) -> Dat
     """Rows of ``ranges(keys, start_line, end_line, ...)`` that a row of ``hunks(keys, start, end)``
     overlaps (closed intervals), each once. Rows with a null or reversed interval overlap nothing.
 
-    Both sides are cut into line buckets and joined on (keys, way, bucket), so a long file does not meet
+    Both sides are cut into line buckets and joined on (keys, place), so a long file does not meet
     all of its hunks in one place. An interval of more than ``MOST_BUCKETS`` buckets is not cut (a range
     to line 10^9 is one row); it meets all intervals of the other side, by ways of their own: 0 cut with
     cut, 1 long range with any hunk, 2 cut range with long hunk. So cut intervals never meet each other
@@ -21,16 +21,15 @@ def touched_symbols(ranges: DataFrame, hunks: DataFrame, keys: list[str]) -> Dat
     """
 
     def cut(d: DataFrame, a: str, b: str, long_ways: tuple[int, ...], cut_way: int) -> DataFrame:
-        first, last = F.floor(F.col(a) / BUCKET), F.floor(F.col(b) / BUCKET)
-        place = lambda way, bucket: F.struct(F.lit(way).alias("way"), bucket.cast("long").alias("bucket"))
-        pieces = F.concat(F.transform(F.sequence(first, last), lambda x: place(0, x)), F.array(place(cut_way, F.lit(0))))
-        places = F.when(last - first >= MOST_BUCKETS, F.array(*(place(w, F.lit(0)) for w in long_ways))).otherwise(pieces)
+        first, last = F.floor(F.col(a) / BUCKET).cast("long"), F.floor(F.col(b) / BUCKET).cast("long")
+        way = lambda n: F.lit((1 << 60) + n)  # a place that no bucket has
+        places = F.when(last - first >= MOST_BUCKETS, F.array(*map(way, long_ways))).otherwise(F.concat(F.sequence(first, last), F.array(way(cut_way))))
         return d.where(F.col(a) <= F.col(b)).withColumn("__at", F.explode(places))
 
     h = cut(hunks.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("start").alias("__start"), F.col("end").alias("__end")), "__start", "__end", (1, 2), 1)
-    h = h.withColumnsRenamed({"__at": "__there"})
+    h = h.withColumnRenamed("__at", "__there")
     r = cut(ranges.withColumn("__row", F.monotonically_increasing_id()), "start_line", "end_line", (1,), 2)
-    on = (F.col("__at.way") == F.col("__there.way")) & (F.col("__at.bucket") == F.col("__there.bucket")) & (F.col("start_line") <= F.col("__end")) & (F.col("__start") <= F.col("end_line"))
+    on = (F.col("__at") == F.col("__there")) & (F.col("start_line") <= F.col("__end")) & (F.col("__start") <= F.col("end_line"))
     for k in keys:
         on = on & (F.col(k) == F.col(f"__{k}"))
     return r.join(h, on, "left_semi").dropDuplicates([*keys, "__row"]).drop("__row", "__at")
